@@ -46,32 +46,59 @@ def ends_with_any(s: Column, tails) -> Column:
     return _any([F.endswith(s, F.lit(t)) for t in tails])
 
 
+def prefix_any(norm: Column, prefixes) -> Column:
+    return _any([F.startswith(norm, F.lit(p)) for p in prefixes])
+
+
 def starts_with_any(text: Column, prefixes) -> Column:
     """True when the normalised text starts with one of the prefixes."""
-    return _any([F.startswith(norm_text(text), F.lit(p)) for p in prefixes])
+    return prefix_any(norm_text(text), prefixes)
+
+
+class Normalised:
+    """Predicates over text that `norm_text` already cleaned, so that a job
+    normalises each utterance once."""
+
+    @staticmethod
+    def asks(norm: Column, tail: Column, lex: Lexicon) -> Column:
+        return _has_mark(norm, lex) | ends_with_any(tail, lex.question_tails)
+
+    @staticmethod
+    def particle(norm: Column, tail: Column, lex: Lexicon) -> Column:
+        asks = Normalised.asks(tail, tail, lex)
+        return (
+            F.when(norm == "", "NONE")
+            .when(ends_with_any(tail, lex.ne_tails), F.when(asks, "NE_Q").otherwise("NE"))
+            .when(ends_with_any(tail, lex.yo_tails), "YO")
+            .otherwise("OTHER")
+        )
+
+    @staticmethod
+    def head_token(norm: Column) -> Column:
+        head = F.ltrim(norm, F.lit(lx.HEAD_PUNCTUATION + WHITESPACE))
+        return F.regexp_extract(head, f"^({lx.HEAD_TOKEN})", 1)
+
+    @staticmethod
+    def fillers(norm: Column, lex: Lexicon) -> dict[str, Column]:
+        eto = F.regexp_count(norm, F.lit(lex.filler_eto))
+        e = F.regexp_count(F.regexp_replace(norm, lex.filler_eto, ""), F.lit(lex.filler_e))
+        ano = F.regexp_count(norm, F.lit(lex.filler_ano))
+        return {"eto": eto, "e": e, "ano": ano, "total": eto + e + ano}
 
 
 def is_question(text: Column, lex: Lexicon = JA) -> Column:
     t = norm_text(text)
-    return _has_mark(t, lex) | ends_with_any(strip_tail(t), lex.question_tails)
+    return Normalised.asks(t, strip_tail(t), lex)
 
 
 def sfp_group(text: Column, lex: Lexicon = JA) -> Column:
     """Sentence-final particle class: NONE / NE / NE_Q / YO / OTHER."""
     t = norm_text(text)
-    tail = strip_tail(t)
-    asks = _has_mark(tail, lex) | ends_with_any(tail, lex.question_tails)
-    return (
-        F.when(t == "", "NONE")
-        .when(ends_with_any(tail, lex.ne_tails), F.when(asks, "NE_Q").otherwise("NE"))
-        .when(ends_with_any(tail, lex.yo_tails), "YO")
-        .otherwise("OTHER")
-    )
+    return Normalised.particle(t, strip_tail(t), lex)
 
 
 def first_token(text: Column) -> Column:
-    head = F.ltrim(norm_text(text), F.lit(lx.HEAD_PUNCTUATION + WHITESPACE))
-    return F.regexp_extract(head, f"^({lx.HEAD_TOKEN})", 1)
+    return Normalised.head_token(norm_text(text))
 
 
 def is_aizuchi(text: Column, lex: Lexicon = JA) -> Column:
@@ -100,19 +127,14 @@ def length_without_blank(text: Column) -> Column:
 
 
 def char_bigrams(text: Column) -> Column:
-    """Character 2-grams of the text without white space (duplicates kept).
-
-    Splitting once and pairing neighbours is linear in the text; taking a
-    substring per position would be quadratic in UTF-8.
-    """
-    t = without_space(text)
-    chars = F.split(t, "")
-    pairs = F.zip_with(
-        F.slice(chars, 1, F.size(chars) - 1),
-        F.slice(chars, 2, F.size(chars) - 1),
-        lambda a, b: F.concat(a, b),
-    )
-    return F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(pairs)
+    """Character 2-grams of the text without white space (duplicates kept)."""
+    return bigrams_of(without_space(text))
+
+
+def bigrams_of(solid: Column) -> Column:
+    """The lookahead takes the pair and the dot steps one code point: one
+    linear pass, where a substring per position is quadratic in UTF-8."""
+    return F.regexp_extract_all(solid, F.lit("(?s)(?=(..))."), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -129,11 +151,7 @@ def lex_overlap(prev_text: Column, text: Column) -> Column:
 
 def filler_counts(text: Column, lex: Lexicon = JA) -> dict[str, Column]:
     """eto / e / ano counts; e is counted after the eto matches are removed."""
-    t = norm_text(text)
-    eto = F.regexp_count(t, F.lit(lex.filler_eto))
-    e = F.regexp_count(F.regexp_replace(t, lex.filler_eto, ""), F.lit(lex.filler_e))
-    ano = F.regexp_count(t, F.lit(lex.filler_ano))
-    return {"eto": eto, "e": e, "ano": ano, "total": eto + e + ano}
+    return Normalised.fillers(norm_text(text), lex)
 
 
 def filler_count_simple(text: Column, lex: Lexicon = JA) -> Column:

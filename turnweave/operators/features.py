@@ -52,36 +52,44 @@ COUNTS = [
 def utterance_facts(utt: DataFrame, lexicons: list[Lexicon], hot: bool) -> DataFrame:
     """One narrow row per utterance: durations, filler counts, and for
     responses the gap, overlap and per-lexicon flags. Text ends here."""
-    pre = utt
-    for i, lex in enumerate(lexicons):
-        pre = pre.withColumn(f"sfp{i}", tx.sfp_group(F.col("text"), lex)).withColumn(
-            f"q{i}", tx.is_question(F.col("text"), lex)
-        )
-    carry = ["text"] + [f"{n}{i}" for i in range(len(lexicons)) for n in ("sfp", "q")]
+    n = tx.Normalised
+    text, tail = F.col("text"), F.col("tail")
+    pre = utt.withColumn("text", tx.norm_text(text)).withColumn("tail", tx.strip_tail(text))
+    pre = pre.select(
+        *KEYS, "utt_seq", "text", "start_time", "end_time",
+        *[n.particle(text, tail, lex).alias(f"sfp{i}") for i, lex in enumerate(lexicons)],
+        *[n.asks(text, tail, lex).alias(f"q{i}") for i, lex in enumerate(lexicons)],
+    )
+    carry = ["text"] + [f"{c}{i}" for i in range(len(lexicons)) for c in ("sfp", "q")]
     pre = with_previous(pre, carry, hot)
-    pair = has_turn_change()
-    text = F.col("text")
+    pre = pre.withColumn("pair", has_turn_change()).withColumn("solid", tx.without_space(text))
+    pair = F.col("pair")
+    pre = pre.withColumns({
+        "own_grams": F.when(pair, tx.bigrams_of(F.col("solid"))),
+        "prev_grams": F.when(pair, tx.bigrams_of(tx.without_space(F.col("prev.text")))),
+        "token": n.head_token(text),
+    })
     cols = [
         *[F.col(k) for k in KEYS], "start_time", "end_time",
         F.greatest(F.col("end_time") - F.col("start_time"), F.lit(0.0)).alias("speech"),
         (F.col("start_time") - F.col("own_prev_end")).alias("pause"),
-        tx.length_without_space(text).alias("chars"),
-        pair.alias("pair"),
+        F.length("solid").alias("chars"),
+        "pair",
         F.when(pair, F.col("start_time") - F.col("prev.end_time")).alias("gap"),
-        F.when(pair, tx.lex_overlap(F.col("prev.text"), text)).alias("overlap"),
+        F.when(pair, tx.jaccard(F.col("prev_grams"), F.col("own_grams"))).alias("overlap"),
     ]
     for i, lex in enumerate(lexicons):
         sfp = F.col(f"prev.sfp{i}")
         kind = F.when(pair & sfp.isin("NE", "NE_Q"), "NE").when(pair & (sfp == "YO"), "YO")
-        token = tx.first_token(text)
-        fills = tx.filler_counts(text, lex)
+        fills = n.fillers(text, lex)
         cols += [
             kind.alias(f"kind{i}"),
-            F.when(kind.isNotNull(), F.when(token == "", "<EMPTY>").otherwise(token)).alias(f"tok{i}"),
+            F.when(kind.isNotNull(), F.when(F.col("token") == "", "<EMPTY>").otherwise(F.col("token")))
+            .alias(f"tok{i}"),
             (pair & F.col(f"prev.q{i}")).alias(f"afterq{i}"),
-            tx.is_aizuchi(text, lex).cast("double").alias(f"aiz{i}"),
-            tx.is_yesno(text, lex).cast("double").alias(f"yn{i}"),
-            tx.is_oir(text, lex).cast("double").alias(f"oir{i}"),
+            tx.prefix_any(text, lex.aizuchi).cast("double").alias(f"aiz{i}"),
+            tx.prefix_any(text, lex.yesno).cast("double").alias(f"yn{i}"),
+            tx.prefix_any(text, lex.oir).cast("double").alias(f"oir{i}"),
             *[fills[k].alias(f"{k}{i}") for k in ("eto", "e", "ano")],
         ]
     return pre.select(*cols)
