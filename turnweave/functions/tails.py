@@ -9,6 +9,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _normal_two_sided(z: float) -> float:
@@ -78,7 +79,7 @@ def rank_sum_exact(u: float, n1: int, n2: int) -> float:
     return float(min(1.0, 2.0 * dist[int(math.ceil(u)):].sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation from its t statistic."""
     def one(rv, nv):
@@ -90,7 +91,7 @@ def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(r, n)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mann_whitney_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
     """Exact when the smaller group has at most 8 values and nothing ties,
     else normal with tie and continuity correction."""
@@ -108,7 +109,7 @@ def mann_whitney_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series)
     return pd.Series([one(*x) for x in zip(u, n1, n2, ties)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def signed_rank_p(w: pd.Series, n: pd.Series, ties: pd.Series, zeros: pd.Series) -> pd.Series:
     """Exact for n <= 50 without ties or zeros, else tie-corrected normal."""
     def one(wv, nv, t, z):
