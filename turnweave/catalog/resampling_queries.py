@@ -1 +1,134 @@
-"""Registered queries."""
+"""Folds, ridge, permutation and bootstrap over the document record table."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.lexicon import WORDS
+from ..operators import folds as fo
+from ..operators import ranks as rk
+from ..operators import resampling as rs
+from ..operators import ridge
+from ..operators.ridge import Spec
+from ..plans import studies as st
+from . import query
+from .views import r, rounded, table
+
+SEED, K = 42, 5
+X = ["x_words", "x_lines", "x_commas", "x_comma_gap", "x_upper"]
+
+
+# --- record table -----------------------------------------------------------------
+def records(spark, sf):
+    t = F.col("text")
+    count = lambda s: (F.length(t) - F.length(F.replace(t, F.lit(s), F.lit("")))).cast("double")
+    commas = count(",")
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    return d.select(
+        F.col("doc_id").cast("string").alias("id"), "source",
+        count(" ").alias("x_words"), count("\n").alias("x_lines"), commas.alias("x_commas"),
+        F.when(commas > 0, F.try_divide(F.length(t).cast("double"), commas)).alias("x_comma_gap"),
+        F.regexp_count(t, F.lit("[A-Z]")).cast("double").alias("x_upper"),
+        (F.col("quality") + F.col("toxic") * 0.5).alias("y_label"),
+        (F.length(t) / F.lit(1000.0)).alias("y_size"),
+    )
+
+
+RECORDS = """SELECT doc_id::VARCHAR AS id, source,
+  (length(text) - length(replace(text, ' ', '')))::DOUBLE AS x_words, (length(text) - length(replace(text, chr(10), '')))::DOUBLE AS x_lines,
+  (length(text) - length(replace(text, ',', '')))::DOUBLE AS x_commas,
+  CASE WHEN contains(text, ',') THEN length(text) / (length(text) - length(replace(text, ',', ''))) END AS x_comma_gap,
+  len(regexp_extract_all(text, '[A-Z]'))::DOUBLE AS x_upper,
+  quality + toxic * 0.5::DOUBLE AS y_label, length(text) / 1000.0::DOUBLE AS y_size
+  FROM documents JOIN labels USING (doc_id)"""
+
+POS = f"row_number() OVER (ORDER BY md5('{SEED}:fold:' || id), id) - 1"
+FOLDED = f"SELECT *, {POS} AS pos, ({POS}) % {K} AS fold FROM ({RECORDS})"
+GROUP_FOLD = f"""SELECT source, CASE WHEN (rn // {K}) % 2 = 0 THEN rn % {K} ELSE {K} - 1 - rn % {K} END AS fold FROM
+  (SELECT source, row_number() OVER (ORDER BY n DESC, md5(source), source) - 1 AS rn FROM (SELECT source, count(*) AS n FROM ({RECORDS}) GROUP BY 1))"""
+GROUP_FOLDED = f"SELECT d.* EXCLUDE (fold), g.fold FROM ({FOLDED}) d JOIN ({GROUP_FOLD}) g USING (source)"
+
+
+@query("g2_shuffled_folds", f"SELECT id, pos, fold::INTEGER AS fold FROM ({FOLDED})")
+def shuffled_folds(spark, sf):
+    return fo.shuffled_folds(records(spark, sf), "id", K, SEED).select("id", "pos", "fold")
+
+
+@query("g3_group_folds", f"SELECT id, source, fold::INTEGER AS fold FROM ({GROUP_FOLDED})")
+def group_folds(spark, sf):
+    return fo.group_folds(records(spark, sf), "source", K).select("id", "source", "fold")
+
+
+# --- ridge as SQL -------------------------------------------------------------------
+def sql_train(src: str, xs: list[str], k: int = K) -> str:
+    """CTEs: imputed and standardised rows `z` per held-out fold tf, plus the
+    elimination that solves (Z'Z + alpha I) for right-hand sides in `rhs`."""
+    meds = ", ".join(f"quantile_cont({x}, 0.5) AS m_{x}" for x in xs)
+    imp = ", ".join(f"coalesce({x}, m_{x}) AS {x}" for x in xs)
+    mus = ", ".join(f"avg({x}) FILTER (is_tr) AS mu_{x}, stddev_pop({x}) FILTER (is_tr) AS sd_{x}" for x in xs)
+    zs = ", ".join(f"({x} - mu_{x}) / CASE WHEN sd_{x} > 0 THEN sd_{x} ELSE 1 END" for x in xs)
+    return f"""base AS ({src}), held AS (SELECT range AS tf FROM range({k})),
+med AS (SELECT tf, {meds} FROM base JOIN held ON fold <> tf GROUP BY 1),
+imp AS (SELECT id, pos, fold, tf, fold <> tf AS is_tr, y, {imp} FROM base CROSS JOIN med),
+sc AS (SELECT tf, avg(y) FILTER (is_tr) AS ybar, {mus} FROM imp GROUP BY 1),
+z AS (SELECT id, pos, fold, tf, is_tr, y, ybar, [{zs}] AS z FROM imp JOIN sc USING (tf))"""
+
+
+def sql_solve(p: int, alpha: str, rhs: str, extra: str = "") -> str:
+    """`coef`(tf, j, i, v): solution i for right-hand side j, by elimination."""
+    return f"""lhs AS (SELECT tf, i.range AS i, j.range AS j, sum(z[i.range] * z[j.range]) + CASE WHEN i.range = j.range THEN {alpha} ELSE 0 END AS v
+  FROM z, range(1, {p + 1}) i, range(1, {p + 1}) j WHERE is_tr GROUP BY tf, i.range, j.range),
+rhs AS ({rhs}),
+gj(s, tf, i, j, v) AS (
+  SELECT 0, tf, i, j, v FROM (SELECT tf, i, j, v FROM lhs UNION ALL SELECT tf, i, j, v FROM rhs)
+  UNION ALL
+  SELECT s + 1, tf, i, j, CASE WHEN i = s + 1 THEN v / piv ELSE v - colv * rowv / piv END FROM (
+    SELECT *, max(CASE WHEN i = s + 1 AND j = s + 1 THEN v END) OVER (PARTITION BY tf) AS piv,
+      max(CASE WHEN j = s + 1 THEN v END) OVER (PARTITION BY tf, i) AS colv,
+      max(CASE WHEN i = s + 1 THEN v END) OVER (PARTITION BY tf, j) AS rowv
+    FROM gj WHERE s < {p})),
+coef AS (SELECT tf, j, i, v FROM gj WHERE s = {p} AND j > {p})"""
+
+
+def sql_predictions(src: str, xs: list[str], alpha: float = 100.0) -> str:
+    """Out-of-fold prediction rows: id, pos, fold, y, yhat."""
+    p = len(xs)
+    rhs = f"SELECT tf, i.range AS i, {p + 1} AS j, sum(z[i.range] * (y - ybar)) AS v FROM z, range(1, {p + 1}) i WHERE is_tr GROUP BY tf, i.range"
+    return f"""WITH RECURSIVE {sql_train(src, xs)}, {sql_solve(p, str(alpha), rhs)},
+beta AS (SELECT tf, list(v ORDER BY i) AS b FROM coef GROUP BY 1)
+SELECT id, pos, fold, y, ybar + list_dot_product(z, b) AS yhat FROM z JOIN beta USING (tf) WHERE NOT is_tr"""
+
+
+def _src(y: str, folded: str = FOLDED) -> str:
+    return f"SELECT id, pos, fold, {y} AS y, {', '.join(X)} FROM ({folded})"
+
+
+def sql_scores(pred: str, name: str, outcome: str, p: int, alpha: float = 100.0) -> str:
+    return f"""SELECT '{name}' AS name, '{outcome}' AS outcome, {p}::INTEGER AS n_features, {alpha}::DOUBLE AS alpha, count(*) AS n,
+  (SELECT round(avg(rf), 6) + 0.0 FROM (SELECT corr(y, yhat) AS rf FROM ({pred}) GROUP BY fold)) AS r_foldmean,
+  {r('corr(y, yhat)', 'r_oof')}, {r('1 - sum((yhat - y) ** 2) / (var_pop(y) * count(*))', '"R2_oof"')},
+  {r('sqrt(avg((yhat - y) ** 2))', '"RMSE"')} FROM ({pred})"""
+
+
+@query("g7_g8_cv_scores", " UNION ALL ".join(
+    sql_scores(sql_predictions(_src(y), X), "all", y, 5) for y in ("y_label", "y_size")))
+def cv_scores(spark, sf):
+    specs = [Spec("all", tuple(X), y) for y in ("y_label", "y_size")]
+    return rounded(st.fit_scores(records(spark, sf), "id", specs, K, SEED))
+
+
+@query("g7_group_cv_scores", sql_scores(sql_predictions(_src("y_label", GROUP_FOLDED), X), "all", "y_label", 5))
+def group_cv_scores(spark, sf):
+    return rounded(st.fit_scores(records(spark, sf), "id", [Spec("all", tuple(X), "y_label")], K, SEED, "source"))
+
+
+@query("g8_oof_predictions", f"SELECT id, fold::INTEGER AS fold, {r('y', 'y')}, {r('yhat', 'yhat')} FROM ({sql_predictions(_src('y_size'), X)})")
+def oof_predictions(spark, sf):
+    pred, _ = st.stage_predictions(records(spark, sf), "id", "y_size", {1: ("all", tuple(X))}, K, SEED)
+    return rounded(pred.select("id", "fold", "y", F.col("yhat1").alias("yhat")))
+
+
+@query("g9_oof_metrics", f"""SELECT count(*) AS n, {r('corr(y, yhat)', 'r_oof')}, {r('1 - sum((yhat - y) ** 2) / (var_pop(y) * count(*))', '"R2_oof"')},
+  {r('sqrt(avg((yhat - y) ** 2))', '"RMSE"')}, {r('avg(abs(yhat - y))', '"MAE"')} FROM ({sql_predictions(_src('y_size'), X)})""")
+def oof_metrics(spark, sf):
+    pred, _ = st.stage_predictions(records(spark, sf), "id", "y_size", {1: ("all", tuple(X))}, K, SEED)
+    return rounded(st.oof_metrics(pred, "yhat1"))
