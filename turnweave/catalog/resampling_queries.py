@@ -59,20 +59,26 @@ def group_folds(spark, sf):
 
 
 # --- ridge as SQL -------------------------------------------------------------------
-def sql_train(src: str, xs: list[str], k: int = K) -> str:
-    """CTEs: imputed and standardised rows `z` per held-out fold tf, plus the
-    elimination that solves (Z'Z + alpha I) for right-hand sides in `rhs`."""
-    meds = ", ".join(f"quantile_cont({x}, 0.5) AS m_{x}" for x in xs)
+def sql_design(rows: str, xs: list[str]) -> str:
+    """CTE `z`: imputed and standardised rows of `rows`(tf, is_tr, id, pos,
+    fold, y, x...), where each tf is one training problem."""
+    meds = ", ".join(f"quantile_cont({x}, 0.5) FILTER (is_tr) AS m_{x}" for x in xs)
     imp = ", ".join(f"coalesce({x}, m_{x}) AS {x}" for x in xs)
     mus = ", ".join(f"avg({x}) FILTER (is_tr) AS mu_{x}, stddev_pop({x}) FILTER (is_tr) AS sd_{x}" for x in xs)
     zs = ", ".join(f"({x} - mu_{x}) / CASE WHEN sd_{x} > 0 THEN sd_{x} ELSE 1 END" for x in xs)
-    return f"""base AS ({src}), held AS (SELECT range AS tf FROM range({k})),
-med AS (SELECT tf, {meds} FROM base JOIN held ON fold <> tf GROUP BY 1),
-imp AS (SELECT id, pos, fold, tf, fold <> tf AS is_tr, y, {imp} FROM base CROSS JOIN med),
+    return f"""src AS ({rows}),
+med AS (SELECT tf, {meds} FROM src GROUP BY 1),
+imp AS (SELECT id, pos, fold, tf, is_tr, y, {imp} FROM src JOIN med USING (tf)),
 sc AS (SELECT tf, avg(y) FILTER (is_tr) AS ybar, {mus} FROM imp GROUP BY 1),
 z AS (SELECT id, pos, fold, tf, is_tr, y, ybar, [{zs}] AS z FROM imp JOIN sc USING (tf))"""
 
 
+def sql_train(src: str, xs: list[str], k: int = K) -> str:
+    """One training problem per held-out fold."""
+    rows = "SELECT base.*, range AS tf, fold <> range AS is_tr FROM base CROSS JOIN range(" + str(k) + ")"
+    return f"base AS ({src}), {sql_design(rows, xs)}"
+
+
 def sql_solve(p: int, alpha: str, rhs: str, extra: str = "") -> str:
     """`coef`(tf, j, i, v): solution i for right-hand side j, by elimination."""
     return f"""lhs AS (SELECT tf, i.range AS i, j.range AS j, sum(z[i.range] * z[j.range]) + CASE WHEN i.range = j.range THEN {alpha} ELSE 0 END AS v
@@ -132,3 +138,281 @@ def oof_predictions(spark, sf):
 def oof_metrics(spark, sf):
     pred, _ = st.stage_predictions(records(spark, sf), "id", "y_size", {1: ("all", tuple(X))}, K, SEED)
     return rounded(st.oof_metrics(pred, "yhat1"))
+
+
+# --- permutation -----------------------------------------------------------------
+N_PERM = 20
+
+
+def sql_permuted(src: str, xs: list[str], alpha: float = 100.0, n_perm: int = N_PERM) -> str:
+    """rep, r_foldmean, r_oof; replicate 0 is the observed order."""
+    p = len(xs)
+    rhs = f"""SELECT tf, i.range AS i, {p + 1} + rep AS j, sum(z[i.range] * ys) AS v FROM z JOIN ystar USING (pos), range(1, {p + 1}) i
+      WHERE is_tr GROUP BY tf, i.range, rep"""
+    return f"""WITH RECURSIVE {sql_train(src, xs)},
+ystar AS (SELECT 0 AS rep, pos, y AS ys FROM base UNION ALL
+  SELECT rep.range, row_number() OVER (PARTITION BY rep.range ORDER BY md5('{SEED}:' || rep.range || ':' || id), id) - 1, y
+  FROM base, range(1, {n_perm + 1}) rep),
+{sql_solve(p, str(alpha), rhs)},
+beta AS (SELECT tf, j - {p + 1} AS rep, list(v ORDER BY i) AS b FROM coef GROUP BY 1, 2),
+yb AS (SELECT tf, rep, avg(ys) AS yb FROM z JOIN ystar USING (pos) WHERE is_tr GROUP BY 1, 2),
+pr AS (SELECT rep, fold, ys, yb + list_dot_product(z, b) AS yhat FROM z JOIN beta USING (tf) JOIN yb USING (tf, rep) JOIN ystar USING (pos, rep)
+  WHERE NOT is_tr),
+rf AS (SELECT rep, avg(rf) AS r_foldmean FROM (SELECT rep, fold, corr(ys, yhat) AS rf FROM pr GROUP BY 1, 2) GROUP BY 1),
+ro AS (SELECT rep, corr(ys, yhat) AS r_oof, count(*) AS n FROM pr GROUP BY 1)
+SELECT rep, r_foldmean, r_oof, n FROM rf JOIN ro USING (rep)"""
+
+
+def sql_test(perm: str, name: str, outcome: str, p: int, alpha: float = 100.0, n_perm: int = N_PERM, by: str = "r_foldmean") -> str:
+    return f"""SELECT '{name}' AS name, '{outcome}' AS outcome, {p}::INTEGER AS n_features, {alpha}::DOUBLE AS alpha, max(n) AS n,
+  {r('max(r_foldmean) FILTER (rep = 0)', 'r_foldmean')}, {r('max(r_oof) FILTER (rep = 0)', 'r_oof')},
+  {r(f'(count(*) FILTER (rep > 0 AND abs({by}) >= seen) + 1.0) / {n_perm + 1}', 'p_value')}
+  FROM (SELECT *, max(abs({by})) FILTER (rep = 0) OVER () AS seen FROM ({perm}))"""
+
+
+def _union_all(parts) -> str:
+    return " UNION ALL ".join(f"({p})" for p in parts)
+
+
+_TESTS = [("all", "y_label", X), ("all", "y_size", X), ("two", "y_label", X[:2])]
+
+
+@query("g11_permutation_test", _union_all(sql_test(sql_permuted(_src(y), xs), n, y, len(xs)) for n, y, xs in _TESTS))
+def permutation_test(spark, sf):
+    specs = [Spec(n, tuple(xs), y) for n, y, xs in _TESTS]
+    return rounded(st.permutation_study(records(spark, sf), "id", specs, N_PERM, K, SEED))
+
+
+@query("g11_permutation_test_pooled", sql_test(sql_permuted(_src("y_label"), X), "all", "y_label", 5, by="r_oof"))
+def permutation_test_pooled(spark, sf):
+    return rounded(st.permutation_study(records(spark, sf), "id", [Spec("all", tuple(X), "y_label")], N_PERM, K, SEED, aggregate="r_oof"))
+
+
+_FAMILY = {("L", "a"): "y_label", ("S", "a"): "y_size", ("L", "b"): "y_label_b", ("S", "b"): "y_size_b"}
+_Y_SQL = {"y_label": "y_label", "y_size": "y_size", "y_label_b": "y_label + x_lines / 50", "y_size_b": "y_size - x_upper / 10"}
+
+
+@query("g12_trait_families", f"""WITH t AS ({_union_all(f"SELECT '{t}' AS trait, '{w}' AS teacher, r_foldmean AS r_obs, round(p_value, 4) AS p_value FROM ({sql_test(sql_permuted(_src(_Y_SQL[y]), X), 'm', y, 5)})" for (t, w), y in _FAMILY.items())}),
+  k AS (SELECT *, row_number() OVER (PARTITION BY teacher ORDER BY p_value) AS rn, count(*) OVER (PARTITION BY teacher) AS m FROM t)
+  SELECT trait, teacher, r_obs, p_value, {r('least(1.0, max(p_value * (m - rn + 1)) OVER (PARTITION BY teacher ORDER BY rn))', 'p_corrected')} FROM k""")
+def trait_families(spark, sf):
+    d = records(spark, sf).withColumn("y_label_b", F.col("y_label") + F.col("x_lines") / 50).withColumn(
+        "y_size_b", F.col("y_size") - F.col("x_upper") / 10)
+    return rounded(st.trait_family(d, "id", X, _FAMILY, n_perm=N_PERM, k=K, seed=SEED))
+
+
+def _pair_sql(parts: dict, outcome: str) -> str:
+    (na, a), (nb, b) = parts.items()
+    cols = lambda t, n: f"{t}.r_foldmean AS r_{n}, {t}.p_value AS p_{n}"
+    return f"""SELECT '{outcome}' AS outcome, {cols('a', na)}, {cols('b', nb)}, round(b.raw - a.raw, 6) + 0.0 AS delta_r
+  FROM ({a}) a, ({b}) b"""
+
+
+def _raw(perm: str, p: int, outcome: str) -> str:
+    return f"SELECT t.*, (SELECT r_foldmean FROM ({perm}) WHERE rep = 0) AS raw FROM ({sql_test(perm, 'm', outcome, p)}) t"
+
+
+def _sets_sql(names, base, more, folded=FOLDED, y="y_label"):
+    return _pair_sql({names[0]: _raw(sql_permuted(_src(y, folded), base), len(base), y),
+                      names[1]: _raw(sql_permuted(_src(y, folded), base + more), len(base + more), y)}, y)
+
+
+@query("g24_baseline_vs_extended", _sets_sql(("baseline", "extended"), X[:2], X[2:]))
+def baseline_vs_extended(spark, sf):
+    return rounded(st.compare_feature_sets(records(spark, sf), "id", ["y_label"], X[:2], X[2:], n_perm=N_PERM, k=K, seed=SEED))
+
+
+_CONF = ("features_only", "with_confounds")
+
+
+@query("g25_confound_control", _sets_sql(_CONF, X[:3], X[3:], y="y_size"))
+def confound_control(spark, sf):
+    return rounded(st.compare_feature_sets(records(spark, sf), "id", ["y_size"], X[:3], X[3:], _CONF, N_PERM, K, SEED))
+
+
+@query("g26_confound_control_grouped", _sets_sql(_CONF, X[:3], X[3:], GROUP_FOLDED))
+def confound_control_grouped(spark, sf):
+    return rounded(st.compare_feature_sets(records(spark, sf), "id", ["y_label"], X[:3], X[3:], _CONF, N_PERM, K, SEED, "source"))
+
+
+@query("g27_kfold_vs_groupkfold", f"""SELECT *, CASE WHEN p_kfold < 0.05 THEN '**' ELSE 'n.s.' END AS sig_kfold,
+  CASE WHEN p_groupkfold < 0.05 THEN '**' ELSE 'n.s.' END AS sig_groupkfold FROM (""" + _pair_sql({
+    "kfold": _raw(sql_permuted(_src("y_label"), X), 5, "y_label"),
+    "groupkfold": _raw(sql_permuted(_src("y_label", GROUP_FOLDED), X), 5, "y_label")}, "y_label") + ")")
+def kfold_vs_group(spark, sf):
+    return rounded(st.compare_folds(records(spark, sf), "id", ["y_label"], X, "source", N_PERM, K, SEED))
+
+
+STAGES = {1: ("demographics", tuple(X[:1])), 2: ("demographics+classical", tuple(X[:3])),
+          3: ("demographics+classical+novel", tuple(X))}
+
+
+@query("g21_nested_stages", f"""SELECT outcome, stage, n_features, feature_set, round(raw, 6) + 0.0 AS r_obs, p_value,
+  round(raw - lag(raw) OVER (ORDER BY stage), 6) + 0.0 AS delta_r_from_prev FROM (""" + _union_all(
+    f"SELECT {s} AS stage, '{n}' AS feature_set, t.* FROM ({_raw(sql_permuted(_src('y_label'), list(f)), len(f), 'y_label')}) t"
+    for s, (n, f) in STAGES.items()) + ")")
+def nested_stages(spark, sf):
+    return rounded(st.nested_stages(records(spark, sf), "id", ["y_label"], STAGES, N_PERM, K, SEED))
+
+
+def _stage_sql(s):
+    return sql_predictions(_src("y_label", GROUP_FOLDED), list(STAGES[s][1]))
+
+
+@query("g22_d7_stage_metrics", f"""SELECT *, round(r2 - lag(r2) OVER w, 6) + 0.0 AS "dR2_from_prev", round(rm - lag(rm) OVER w, 6) + 0.0 AS "dRMSE_from_prev",
+  round(ma - lag(ma) OVER w, 6) + 0.0 AS "dMAE_from_prev", round(ro - lag(ro) OVER w, 6) + 0.0 AS "dr_oof_from_prev" FROM (""" + _union_all(
+    f"""SELECT {s} AS stage, {len(STAGES[s][1])} AS n_features, count(*) AS n, (SELECT avg(x) FROM (SELECT corr(y, yhat) AS x FROM ({_stage_sql(s)}) GROUP BY fold)) AS rf,
+    corr(y, yhat) AS ro, 1 - sum((yhat - y) ** 2) / (var_pop(y) * count(*)) AS r2, sqrt(avg((yhat - y) ** 2)) AS rm, avg(abs(yhat - y)) AS ma
+    FROM ({_stage_sql(s)})""" for s in STAGES) + ") WINDOW w AS (ORDER BY stage)")
+def stage_metrics(spark, sf):
+    return rounded(st.stage_metrics(records(spark, sf), "id", "y_label", STAGES, K, SEED, "source"))
+
+
+def _fix_stage_sql(sql: str) -> str:
+    head = 'SELECT stage, n_features, round(rf, 6) + 0.0 AS r_foldmean, n, round(ro, 6) + 0.0 AS r_oof, round(r2, 6) + 0.0 AS "R2_oof", round(rm, 6) + 0.0 AS "RMSE", round(ma, 6) + 0.0 AS "MAE", '
+    return head + sql[len("SELECT *, "):]
+
+
+from . import ORACLES  # noqa: E402
+
+ORACLES["g22_d7_stage_metrics"] = _fix_stage_sql(ORACLES["g22_d7_stage_metrics"])
+
+N_BOOT = 40
+
+
+def sql_draws(n_rep: int, n: str = "(SELECT count(*) FROM base)") -> str:
+    return f"""dr AS (SELECT rep.range AS rep, i.range AS i, ('0x' || substr(md5('{SEED}:' || rep.range || ':' || i.range), 1, 8))::BIGINT % {n} AS pos
+  FROM range(1, {n_rep + 1}) rep, range({n}) i)"""
+
+
+@query("g16_g23_stage_paired_test", f"""WITH base AS (SELECT a.pos, (a.yhat - a.y) ** 2 AS s1, (b.yhat - b.y) ** 2 AS s2
+    FROM ({_stage_sql(2)}) a JOIN ({_stage_sql(3)}) b USING (pos)), {sql_draws(N_BOOT)},
+  m AS (SELECT rep, avg(s1 - s2) AS m FROM dr JOIN base USING (pos) GROUP BY 1),
+  q AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, (count(*) FILTER (m <= 0) + 1) / {N_BOOT + 1} AS pl,
+        (count(*) FILTER (m >= 0) + 1) / {N_BOOT + 1} AS pr FROM m)
+  SELECT count(*) AS "N", {r('sqrt(avg(s1))', '"RMSE_stage2"')}, {r('sqrt(avg(s2))', '"RMSE_stage3"')}, {r('avg(s1 - s2)', 'mean_diff')},
+  {r('any_value(lo)', 'ci_lo')}, {r('any_value(hi)', 'ci_hi')}, {r('least(1.0, 2 * least(any_value(pl), any_value(pr)))', 'p_boot')},
+  {r('sqrt(avg(s2)) - sqrt(avg(s1))', '"dRMSE_2to3"')} FROM base, q""")
+def stage_paired(spark, sf):
+    return rounded(st.stage_paired_test(records(spark, sf), "id", "y_label", STAGES, n_boot=N_BOOT, k=K, seed=SEED, group="source")).drop("p_wilcoxon")
+
+
+@query("g31_alpha_sensitivity", _union_all(
+    f"SELECT 'alpha' AS analysis_type, '{a}' AS condition, outcome, r_foldmean AS r_obs, p_value FROM ({sql_test(sql_permuted(_src('y_label'), X, a), 'm', 'y_label', 5)})"
+    for a in st.ALPHA_CONDITIONS))
+def alpha_sensitivity(spark, sf):
+    return rounded(st.alpha_sensitivity(records(spark, sf), "id", "y_label", X, n_perm=N_PERM, k=K, seed=SEED))
+
+
+_SETS = {"four": X[:4], "five": X}
+
+
+@query("g33_sets_by_aggregation", _union_all(
+    f"""SELECT '{n}' AS feature_set, {len(f)}::INTEGER AS n_features, n, agg AS aggregation, CASE agg WHEN 'fold_mean' THEN r_foldmean ELSE r_oof END AS r_obs
+    FROM ({sql_scores(sql_predictions(_src('y_label'), f), n, 'y_label', len(f))}), (VALUES ('fold_mean'), ('oof_concat')) v(agg)""" for n, f in _SETS.items()))
+def sets_by_aggregation(spark, sf):
+    return rounded(st.sets_by_aggregation(records(spark, sf), "id", "y_label", _SETS, K, SEED))
+
+
+# --- full-data coefficients ---------------------------------------------------------
+VX = [f"v{i:02d}" for i in range(1, 20)]
+VEC = "SELECT vec_id::VARCHAR AS id, " + ", ".join(f"embedding[{i}]::DOUBLE AS {v}" for i, v in enumerate(VX, 1)) + ", label::DOUBLE AS y FROM embeddings"
+
+
+def vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("id"),
+        *[F.col("embedding")[i].cast("double").alias(v) for i, v in enumerate(VX)], F.col("label").cast("double").alias("y"))
+
+
+def sql_full(src: str, xs: list[str], n_perm: int, alpha: float = 100.0) -> str:
+    """feature index i, rep, standardised coefficient of the full-data fit."""
+    p = len(xs)
+    rhs = f"""SELECT tf, i.range AS i, {p + 1} + rep AS j, sum(z[i.range] * ys) AS v FROM z JOIN ystar USING (pos), range(1, {p + 1}) i GROUP BY tf, i.range, rep"""
+    return f"""WITH RECURSIVE base AS ({src}), {sql_design("SELECT *, -1 AS fold, 0 AS tf, true AS is_tr FROM base", xs)},
+ystar AS (SELECT 0 AS rep, pos, y AS ys FROM base UNION ALL
+  SELECT rep.range, row_number() OVER (PARTITION BY rep.range ORDER BY md5('{SEED}:' || rep.range || ':' || id), id) - 1, y FROM base, range(1, {n_perm + 1}) rep),
+{sql_solve(p, str(alpha), rhs)}
+SELECT i, j - {p + 1} AS rep, v AS coef FROM coef"""
+
+
+def _coef_sql(src, xs, n_perm):
+    names = "CASE i " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(xs, 1)) + " END"
+    return f"""SELECT {names} AS feature, {r('max(coef) FILTER (rep = 0)', 'coef_obs')},
+  {r(f'(count(*) FILTER (rep > 0 AND abs(coef) >= seen) + 1.0) / {n_perm + 1}', 'p_value')},
+  (count(*) FILTER (rep > 0 AND abs(coef) >= seen) + 1.0) / {n_perm + 1} < 0.05 AS significant
+  FROM (SELECT *, max(abs(coef)) FILTER (rep = 0) OVER (PARTITION BY i) AS seen FROM ({sql_full(src, xs, n_perm)})) GROUP BY i"""
+
+
+_POSED = lambda src: f"SELECT *, {POS} AS pos FROM ({src})"
+
+
+@query("g6_g13_coefficient_test_19", _coef_sql(_POSED(VEC), VX, 30))
+def coefficient_test(spark, sf):
+    t = st.record_table(vectors(spark, sf), "id", VX, ["y"], K, SEED)
+    return rounded(rs.coefficient_test(t, VX, "y", "id", n_perm=30, seed=SEED))
+
+
+@query("g4_g5_g13_coefficient_test_missing", _coef_sql(
+    f"SELECT id, pos, y_label AS y, {', '.join(X)} FROM ({FOLDED})", X, N_PERM))
+def coefficient_test_missing(spark, sf):
+    t = st.record_table(records(spark, sf), "id", X, ["y_label"], K, SEED)
+    return rounded(rs.coefficient_test(t, X, "y_label", "id", n_perm=N_PERM, seed=SEED))
+
+
+# --- bootstrap ------------------------------------------------------------------------
+def sql_boot(src: str, xs: list[str], n_boot: int, alpha: float = 100.0) -> str:
+    p = len(xs)
+    rhs = f"SELECT tf, i.range AS i, {p + 1} AS j, sum(z[i.range] * y) AS v FROM z, range(1, {p + 1}) i GROUP BY tf, i.range"
+    names = "CASE i " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(xs, 1)) + " END"
+    return f"""WITH RECURSIVE base AS ({src}), {sql_draws(n_boot)},
+{sql_design(f"SELECT id, base.pos, -1 AS fold, y, {', '.join(xs)}, rep AS tf, true AS is_tr FROM dr JOIN base ON base.pos = dr.pos", xs)},
+{sql_solve(p, str(alpha), rhs)}
+SELECT tf AS rep, {names} AS feature, v AS coef FROM coef"""
+
+
+BOOT = sql_boot(f"SELECT id, pos, y_label AS y, {', '.join(X)} FROM ({FOLDED})", X, N_BOOT)
+
+
+def _boot(spark, sf):
+    t = st.record_table(records(spark, sf), "id", X, ["y_label"], K, SEED)
+    return rs.bootstrap_coefficients(t, X, "y_label", n_boot=N_BOOT, seed=SEED)
+
+
+@query("g14_bootstrap_variance", f"""SELECT feature, {r('avg(coef)', 'coef_mean')}, {r('stddev_samp(coef)', 'coef_sd')},
+  {r('quantile_cont(coef, 0.025)', 'ci_lower')}, {r('quantile_cont(coef, 0.975)', 'ci_upper')},
+  quantile_cont(coef, 0.025) > 0 OR quantile_cont(coef, 0.975) < 0 AS ci_excludes_zero, count(*) AS n_valid, count(*) < 100 AS few_resamples
+  FROM ({BOOT}) GROUP BY 1""")
+def bootstrap_variance(spark, sf):
+    return rounded(rs.bootstrap_variance(_boot(spark, sf)))
+
+
+@query("d5_g15_bootstrap_stability", f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY abs(coef) DESC, feature) <= 2 AS top,
+    avg(coef) OVER (PARTITION BY feature) AS m FROM ({BOOT}))
+  SELECT feature, {r('avg(coef)', 'coef_mean')}, {r('stddev_pop(coef)', 'coef_std')}, {r('quantile_cont(coef, 0.05)', 'coef_q05')},
+  {r('quantile_cont(coef, 0.95)', 'coef_q95')}, {r('avg(sign(coef))', 'sign_mean')},
+  {r('avg((sign(coef) = sign(m))::INT)', 'sign_agree_rate')}, {r('avg(top::INT)', 'topk_rate')} FROM b GROUP BY 1""")
+def bootstrap_stability(spark, sf):
+    return rounded(rs.bootstrap_stability(_boot(spark, sf), 2))
+
+
+@query("g15_bootstrap_stability_chosen_alpha")
+def bootstrap_stability_alpha(spark, sf):
+    t = st.record_table(records(spark, sf), "id", X, ["y_label"], K, SEED)
+    return rounded(rs.bootstrap_stability(rs.bootstrap_coefficients(t, X, "y_label", None, 20, SEED), 2))
+
+
+@query("e26_alpha_distribution")
+def alpha_distribution(spark, sf):
+    t = st.record_table(records(spark, sf), "id", X, ["y_label"], K, SEED)
+    return rounded(rs.alpha_distribution(rs.bootstrap_coefficients(t, X, "y_label", None, 20, SEED)))
+
+
+@query("g10_alpha_selection")
+def alpha_selection(spark, sf):
+    return rounded(st.alpha_selection(records(spark, sf), "id", ["y_label", "y_size"], X, K, SEED)[0])
+
+
+@query("d10_top_coefficients")
+def top_coefficients(spark, sf):
+    return rounded(st.alpha_selection(records(spark, sf), "id", ["y_label", "y_size"], X, K, SEED, top=3)[1])
