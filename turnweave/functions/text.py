@@ -30,7 +30,7 @@ def _any(conditions: list[Column]) -> Column:
 
 def norm_text(text: Column) -> Column:
     """NULL -> '', ideographic space -> space, outer white space removed."""
-    plain = F.translate(F.coalesce(text, F.lit("")), IDEOGRAPHIC_SPACE, " ")
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit(IDEOGRAPHIC_SPACE), F.lit(" "))
     return F.btrim(plain, F.lit(WHITESPACE))
 
 

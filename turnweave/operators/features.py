@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.lexicon import JA, Lexicon
+from ..runtime import materialize
 from . import skew
 from .turns import (
     CONV, KEYS, SPK, conform_utterances, has_turn_change, restrict_conversations,
@@ -183,7 +184,12 @@ def _whole_keys(facts: DataFrame, tols: list[float], n_lex: int) -> DataFrame:
 
 def _split_keys(facts: DataFrame, tols: list[float], n_lex: int) -> DataFrame:
     """Hot conversations: only map-side combinable aggregates, two-level token
-    counts and histogram quantiles; nothing gathers a key."""
+    counts and histogram quantiles; nothing gathers a key.
+
+    The facts (numbers and one token, no text) are written once: five
+    aggregates read them.
+    """
+    facts = materialize(facts)
     g = facts.groupBy(*KEYS).agg(*_plain_aggregates(tols, n_lex))
     span = facts.groupBy(CONV).agg(
         F.min("start_time").alias("conv_start"), F.max("end_time").alias("conv_end")
@@ -203,14 +209,18 @@ def _split_keys(facts: DataFrame, tols: list[float], n_lex: int) -> DataFrame:
             for k in ("NE", "YO")
         ])
         g = g.join(ent, KEYS, "left")
-    for t, tol in enumerate(tols):
-        for name in ("pause", "gap"):
-            kept = facts.filter(F.col(name) >= tol)
-            q = skew.exact_quantiles(
-                kept, KEYS, name, [0.5, 0.9], [f"{name}_p50_t{t}", f"{name}_p90_t{t}"]
-            )
-            g = g.join(q, KEYS, "left")
-    return g
+    kept = F.array(*[
+        F.struct(F.lit(f"{name}_t{t}").alias("which"), F.when(F.col(name) >= tol, F.col(name)).alias("value"))
+        for t, tol in enumerate(tols) for name in ("pause", "gap")
+    ])
+    long = facts.select(*KEYS, F.explode(kept).alias("x")).select(*KEYS, "x.*")
+    q = skew.exact_quantiles(long, [*KEYS, "which"], "value", [0.5, 0.9], ["p50", "p90"])
+    pick = lambda which, p: F.max(F.when(F.col("which") == which, F.col(p)))
+    wide = q.groupBy(*KEYS).agg(*[
+        pick(f"{name}_t{t}", p).alias(f"{name}_{p}_t{t}")
+        for t in range(len(tols)) for name in ("pause", "gap") for p in ("p50", "p90")
+    ])
+    return g.join(wide, KEYS, "left")
 
 
 def _record(t: int, i: int) -> list[Column]:

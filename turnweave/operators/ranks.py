@@ -25,8 +25,7 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, extra: dict[str, Col
     counts = d.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("c"), *[e.alias(n) for n, e in (extra or {}).items()]
     )
-    share = [i / skew.CUTS for i in range(1, skew.CUTS)]
-    cuts = d.groupBy(*keys).agg(F.percentile_approx(value, share, 10_000).alias("_cuts"))
+    cuts = d.groupBy(*keys).agg(skew.cut_points(F.col(value)).alias("_cuts"))
     b = (counts.join(cuts, keys) if keys else counts.crossJoin(F.broadcast(cuts))).withColumn(
         "_b", skew.chunk_of(F.col(value), F.col("_cuts"))
     ).drop("_cuts")

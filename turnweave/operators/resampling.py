@@ -18,7 +18,7 @@ def permuted_positions(ids: DataFrame, id_col: str, n: int, n_rep: int, seed: in
     Up to ROWS_PER_TASK records a replicate is ordered in one task; beyond, it
     is cut into 256 even pieces by the hash.
     """
-    d = ids.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_rep)))).withColumn(
+    d = skew.spread_rows(ids, n, n_rep).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_rep)))).withColumn(
         "_key", hash_key(seed, F.col("rep"), F.col(id_col))
     )
     order = [F.col("_key"), F.col(id_col)]
@@ -40,7 +40,7 @@ def permuted_sums(base: DataFrame, b: ridge.Basis, id_col: str, n_rep: int, seed
     z += [b.missing(f).alias(f"m{i}") for i, f in enumerate(b.nullable)]
     names = [f"x{i}" for i in range(len(b.features))] + [f"m{i}" for i in range(len(b.nullable))]
     x = base.select(F.col("pos").alias("target"), "fold", *z)
-    rows = moved.join(x, "target").select("rep", "fold", *names, F.explode("ys").alias("y")).select(
+    rows = moved.join(skew.join_side(x, b.n, 2 + len(names)), "target").select("rep", "fold", *names, F.explode("ys").alias("y")).select(
         "rep", "fold", *names, "y.o", "y.y"
     )
     g = rows.groupBy("rep", "o", "fold").agg(
@@ -203,7 +203,7 @@ def bootstrap_coefficients(
     d, ix, iy = b.width, b.x(features), b.y(outcome)
     rows = draws(base.sparkSession, b.n, n_boot, seed, 1 if alpha is not None else inner)
     x = base.select("pos", *b.vector())
-    drawn = rows.join(x, "pos")
+    drawn = rows.join(skew.join_side(x, b.n, 1 + d), "pos")
     # A replicate larger than one task is spread over several.
     salts = -(-b.n // skew.ROWS_PER_TASK)
     spread = drawn.withColumn("_salt", F.col("pos") % salts).repartition("rep", "_salt")
@@ -317,7 +317,8 @@ def paired_bootstrap(rows: DataFrame, n: int, n_boot: int, seed: int, value: str
     """Mean of paired differences with a percentile interval and
     p = min(1, 2 min(pL, pR)), both tails smoothed by one. `rows` has pos."""
     spark = rows.sparkSession
-    drawn = draws(spark, n, n_boot, seed).join(rows.select("pos", F.col(value).alias("_d")), "pos")
+    drawn = draws(spark, n, n_boot, seed).join(
+        skew.join_side(rows.select("pos", F.col(value).alias("_d")), n, 2), "pos")
     means = drawn.groupBy("rep").agg((F.sum(F.col("w") * F.col("_d")) / F.sum("w")).alias("m"))
     tail = lambda c: (F.count_if(c) + 1.0) / (n_boot + 1.0)
     g = means.agg(

@@ -19,8 +19,9 @@ ROWS_PER_TASK = 2_000_000
 # At most this many keys are split. The largest are taken, so every key left
 # whole holds less than 1/MAX_HOT of all rows.
 MAX_HOT = 1000
-# Pieces per hot key.
+# Pieces per hot key, and the step of the two-level search among their cuts.
 CUTS = 256
+STEP = 16
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> list:
@@ -48,9 +49,21 @@ def key_in(keys: list[str], hot: list) -> Column:
     return reduce(lambda a, b: a | b, rows, F.lit(False))
 
 
-def chunk_of(value: Column, cuts: Column) -> Column:
-    """How many sorted cut points lie at or below the value."""
-    return F.coalesce(F.size(F.filter(cuts, lambda c: c <= value)), F.lit(0))
+def cut_points(value: Column) -> Column:
+    """Aggregate: CUTS - 1 approximate quantiles (a mergeable sketch) with
+    every STEP-th of them as `marks` for a two-level search."""
+    share = [i / CUTS for i in range(1, CUTS)]
+    cuts = F.percentile_approx(value, share, 10_000)
+    marks = F.array(*[F.get(cuts, i - 1) for i in range(STEP, CUTS, STEP)])
+    return F.struct(F.coalesce(cuts, F.array()).alias("cuts"), F.array_compact(marks).alias("marks"))
+
+
+def chunk_of(value: Column, points: Column) -> Column:
+    """How many cut points lie at or below the value: about 2 * STEP
+    comparisons for CUTS - 1 points."""
+    below = lambda part: F.size(F.filter(part, lambda c: c <= value))
+    start = below(points["marks"]) * STEP
+    return F.coalesce(start + below(F.slice(points["cuts"], start + 1, F.lit(STEP - 1))), F.lit(0))
 
 
 def order_chunks(df: DataFrame, keys: list[str], time_col: str, seq_col: str) -> DataFrame:
@@ -60,11 +73,10 @@ def order_chunks(df: DataFrame, keys: list[str], time_col: str, seq_col: str) ->
     quantiles of the sequence number. Call it on hot keys only: the cut table
     then has at most MAX_HOT rows of 2 * CUTS numbers.
     """
-    share = [i / CUTS for i in range(1, CUTS)]
     timed = F.col(time_col).isNotNull()
     cuts = df.groupBy(*keys).agg(
-        F.percentile_approx(F.col(time_col), share, 10_000).alias("_tcuts"),
-        F.percentile_approx(F.when(~timed, F.col(seq_col)), share, 10_000).alias("_scuts"),
+        cut_points(F.col(time_col)).alias("_tcuts"),
+        cut_points(F.when(~timed, F.col(seq_col))).alias("_scuts"),
     )
     return (
         df.join(F.broadcast(cuts), keys, "left")  # <= MAX_HOT rows by construction
@@ -78,6 +90,24 @@ def order_chunks(df: DataFrame, keys: list[str], time_col: str, seq_col: str) ->
     )
 
 
+# Largest table handed to every task, in bytes of its numbers.
+BROADCAST_BYTES = 64 << 20
+
+
+def join_side(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """Mark a numeric side of known size: broadcast while it is small, else a
+    shuffle join. Without the mark Spark may judge the other side, rows times
+    replicates from one explode, by its size before the explode."""
+    return F.broadcast(df) if rows * width * 8 <= BROADCAST_BYTES else df.hint("merge")
+
+
+def spread_rows(df: DataFrame, rows: int, copies: int) -> DataFrame:
+    """Partition rows that are about to be copied, about a million copies per
+    task, so that a small table does not grow inside one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(rows, max(cores, min(10_000, rows * copies // 1_000_000)))))
+
+
 def positions(
     df: DataFrame,
     order: list[Column],
@@ -119,41 +149,22 @@ def hash_positions(df: DataFrame, key: Column, ties: list[str], out: str = "pos"
     ).drop("_key")
 
 
-def value_positions(df: DataFrame, order_value: str, ties: list[str], out: str = "pos") -> DataFrame:
-    """Global position in (value, ties) order, cut at value quantiles.
-
-    Equal values are spread over tasks by cutting on a hash of nothing but the
-    order itself: ties share a chunk, so a heavily tied value should come with
-    a finer leading column.
-    """
-    share = [i / CUTS for i in range(1, CUTS)]
-    cuts = df.agg(F.percentile_approx(F.col(order_value), share, 10_000).alias("c")).first()["c"]
-    lit = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]) if cuts else F.array()
-    return positions(
-        df,
-        [F.col(order_value), *[F.col(t) for t in ties]],
-        chunk_of(F.col(order_value), lit) if cuts else F.lit(0),
-        out=out,
-    )
-
-
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, qs: list[float], names: list[str]
 ) -> DataFrame:
     """Linearly interpolated exact quantiles per key, without gathering a key.
 
     1. a mergeable sketch gives cut points per key;
-    2. rows are counted per (key, bucket, value) with map-side combining, so
-       heavy ties collapse before the shuffle;
+    2. rows are counted per (key, value) with map-side combining, so heavy ties
+       collapse before the shuffle, and the values are put into buckets;
     3. running counts name the one or two buckets that hold each wanted rank,
        and only those buckets are ordered.
     NULL values are ignored. Intended for keys too big for `percentile`.
     """
     d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    share = [i / CUTS for i in range(1, CUTS)]
-    cuts = d.groupBy(*keys).agg(F.percentile_approx("v", share, 10_000).alias("_cuts"))
-    bucketed = d.join(cuts, keys).withColumn("_b", chunk_of(F.col("v"), F.col("_cuts")))
-    counts = bucketed.groupBy(*keys, "_b", "v").agg(F.count(F.lit(1)).alias("c"))
+    cuts = d.groupBy(*keys).agg(cut_points(F.col("v")).alias("_cuts"))
+    counts = d.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.join(cuts, keys).withColumn("_b", chunk_of(F.col("v"), F.col("_cuts"))).drop("_cuts")
     by_bucket = counts.groupBy(*keys, "_b").agg(F.sum("c").alias("nb"))
     w = Window.partitionBy(*keys).orderBy("_b")
     buckets = by_bucket.select(
