@@ -158,8 +158,8 @@ beta AS (SELECT tf, j - {p + 1} AS rep, list(v ORDER BY i) AS b FROM coef GROUP
 yb AS (SELECT tf, rep, avg(ys) AS yb FROM z JOIN ystar USING (pos) WHERE is_tr GROUP BY 1, 2),
 pr AS (SELECT rep, fold, ys, yb + list_dot_product(z, b) AS yhat FROM z JOIN beta USING (tf) JOIN yb USING (tf, rep) JOIN ystar USING (pos, rep)
   WHERE NOT is_tr),
-rf AS (SELECT rep, avg(rf) AS r_foldmean FROM (SELECT rep, fold, corr(ys, yhat) AS rf FROM pr GROUP BY 1, 2) GROUP BY 1),
-ro AS (SELECT rep, corr(ys, yhat) AS r_oof, count(*) AS n FROM pr GROUP BY 1)
+rf AS (SELECT rep, CASE WHEN NOT isnan(avg(rf)) THEN avg(rf) END AS r_foldmean FROM (SELECT rep, fold, corr(ys, yhat) AS rf FROM pr GROUP BY 1, 2) GROUP BY 1),
+ro AS (SELECT rep, CASE WHEN NOT isnan(corr(ys, yhat)) THEN corr(ys, yhat) END AS r_oof, count(*) AS n FROM pr GROUP BY 1)
 SELECT rep, r_foldmean, r_oof, n FROM rf JOIN ro USING (rep)"""
 
 
