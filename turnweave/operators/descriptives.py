@@ -6,10 +6,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
 from . import skew
 from .features import CATEGORY_ORDER
 
 
+def _numeric(df: DataFrame, features: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features])
+
+
 def long_features(df: DataFrame, features: list[str], keep: list[str] = ()) -> DataFrame:
     """One row per (record, feature)."""
     return df.unpivot(list(keep), [F.col(f"`{f}`").cast("double").alias(f) for f in features], "feature", "value")
@@ -21,13 +26,14 @@ def describe(df: DataFrame, features: list[str], exact_in_task: int = skew.ROWS_
     Every feature is a group holding all records, so beyond `exact_in_task`
     records the order statistics come from the histogram method.
     """
+    df = materialize(_numeric(df, features))  # its size decides the method
     d = long_features(df, features).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     qs = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
     aggs = [
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     ]
-    if df.limit(exact_in_task + 1).count() <= exact_in_task:
+    if df.count() <= exact_in_task:
         q = F.percentile("value", F.array(*[F.lit(v) for v in qs.values()])).alias("_q")
         out = d.groupBy("feature").agg(*aggs, q)
         out = out.select(
@@ -52,6 +58,7 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     shuffle carries tasks * p^2 numbers whatever the row count.
     """
     p = len(features)
+    df = materialize(_numeric(df, features))  # read for the means and for the sums
     centre = df.agg(*[F.avg(F.col(f"`{f}`").cast("double")).alias(f"c{i}") for i, f in enumerate(features)]).first()
     shift = np.array([centre[i] if centre[i] is not None else 0.0 for i in range(p)])
 

@@ -132,8 +132,18 @@ def join_features(features: DataFrame, meta: DataFrame, columns: list[str]) -> D
     return features.join(meta.select(*keys, *columns), keys, "left")
 
 
+def person_conversations(meta: DataFrame) -> DataFrame:
+    """Long form of the conversation lists: one row per person and
+    conversation, whatever the number of records of a person."""
+    return meta.select("person_id", F.col(CONV).cast("string").alias(CONV)).distinct()
+
+
 def person_records(meta: DataFrame, order: str = CONV) -> DataFrame:
-    """Records, first gender and sorted distinct conversations per person."""
+    """Records, first gender and sorted distinct conversations per person.
+
+    The list is one cell per person by definition of the report; for persons
+    with millions of records use `person_conversations`.
+    """
     cl.require_columns(meta, ["person_id", CONV])
     gender = (
         F.min_by("gender", F.when(F.col("gender").isNotNull(), F.col(order)))

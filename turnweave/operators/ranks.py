@@ -10,9 +10,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from ..runtime import materialize
 from . import skew
 from .raters import pearson
 
+WHOLE = "_whole"  # constant key of a table ranked as one group
+
+
+def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    return (df, list(keys)) if keys else (df.withColumn(WHOLE, F.lit(0)), [WHOLE])
+
+
+def _small(side: DataFrame, keys: list[str]) -> DataFrame:
+    """One row when the table is one group; else Spark decides by size."""
+    return F.broadcast(side) if keys == [WHOLE] else side
+
 
 def value_ranks(df: DataFrame, keys: list[str], value: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """(keys, value, c, extra..., before, avg_rank): one row per distinct value.
@@ -20,13 +32,12 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, extra: dict[str, Col
     `before` counts the rows with a smaller value; avg_rank = before + (c+1)/2.
     `extra` aggregates are computed per (key, value) in the same shuffle.
     """
-    keys = list(keys)
-    d = df.filter(F.col(value).isNotNull())
+    d, keys = _keyed(df.filter(F.col(value).isNotNull()), keys)
     counts = d.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("c"), *[e.alias(n) for n, e in (extra or {}).items()]
     )
     cuts = d.groupBy(*keys).agg(skew.cut_points(F.col(value)).alias("_cuts"))
-    b = (counts.join(cuts, keys) if keys else counts.crossJoin(F.broadcast(cuts))).withColumn(
+    b = counts.join(_small(cuts, keys), keys).withColumn(
         "_b", skew.chunk_of(F.col(value), F.col("_cuts"))
     ).drop("_cuts")
     sizes = b.groupBy(*keys, "_b").agg(F.sum("c").alias("_n"))
@@ -53,7 +64,8 @@ def tie_term() -> Column:
 
 def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str, first: str, second: str) -> DataFrame:
     """U of the first group, group sizes and two-sided p per key."""
-    d = df.filter(F.col(group).isin(first, second))
+    d, keys = _keyed(df.filter(F.col(group).isin(first, second)), keys)
+    d = materialize(d.select(*keys, value, group))  # read by counts and by cut points
     per = value_ranks(d, keys, value, {"c1": F.count_if(F.col(group) == first)})
     g = per.groupBy(*keys).agg(
         F.sum(F.col("avg_rank") * F.col("c1")).alias("r1"),
@@ -64,13 +76,14 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str, first:
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     return g.select(*keys, "n1", "n2", u.alias("u"), "ties").withColumn(
         "p_value", tails.mann_whitney_p("u", "n1", "n2", "ties")
-    )
+    ).drop(WHOLE)
 
 
 def correlations(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Pearson and Spearman with p per key, over rows where both are present
     and at least three of them."""
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d, keys = _keyed(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), keys)
+    d = materialize(d.select(*keys, x, y))  # read by both rankings and the moments
     cells = d.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("m"))
     rx = value_ranks(d, keys, x).select(*keys, x, F.col("avg_rank").alias("rx"))
     ry = value_ranks(d, keys, y).select(*keys, y, F.col("avg_rank").alias("ry"))
@@ -87,16 +100,17 @@ def correlations(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
     spear = j.groupBy(*keys).agg(moments("rx", "ry").alias("rho"))
     pear = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(F.col(x), F.col(y)).alias("r"))
-    both = (pear.join(spear, keys) if keys else pear.crossJoin(F.broadcast(spear))).filter(F.col("n") >= 3)
+    both = pear.join(_small(spear, keys), keys).filter(F.col("n") >= 3)
     return both.select(
         *keys, "n", "r", tails.correlation_p("r", "n").alias("r_p"),
         "rho", tails.correlation_p("rho", "n").alias("rho_p"),
-    )
+    ).drop(WHOLE)
 
 
 def wilcoxon(df: DataFrame, keys: list[str], diff: str) -> DataFrame:
     """Signed-rank test of paired differences per key; zeros are dropped."""
-    d = df.filter(F.col(diff).isNotNull()).withColumn("_abs", F.abs(diff))
+    d, keys = _keyed(df.filter(F.col(diff).isNotNull()), keys)
+    d = materialize(d.select(*keys, diff, F.abs(diff).alias("_abs")))
     zeros = d.groupBy(*keys).agg(F.count_if(F.col("_abs") == 0).alias("zeros"))
     per = value_ranks(d.filter(F.col("_abs") > 0), keys, "_abs", {"plus": F.count_if(F.col(diff) > 0)})
     g = per.groupBy(*keys).agg(
@@ -105,10 +119,10 @@ def wilcoxon(df: DataFrame, keys: list[str], diff: str) -> DataFrame:
         F.sum("c").alias("n"),
         F.sum(F.pow(F.col("c").cast("double"), 3) - F.col("c")).alias("ties"),
     )
-    j = g.join(zeros, keys) if keys else g.crossJoin(F.broadcast(zeros))
+    j = g.join(_small(zeros, keys), keys)
     return j.withColumn("w", F.least("w_plus", "w_minus")).withColumn(
         "p_value", tails.signed_rank_p("w", "n", "ties", "zeros")
-    )
+    ).drop(WHOLE)
 
 
 def holm(df: DataFrame, p: str, family: list[str] = (), out: str = "p_corrected") -> DataFrame:

@@ -325,8 +325,8 @@ def paired_bootstrap(rows: DataFrame, n: int, n_boot: int, seed: int, value: str
         F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"),  # n_boot values
         tail(F.col("m") <= 0).alias("pl"), tail(F.col("m") >= 0).alias("pr"),
     )
-    mean = rows.agg(F.avg(value).alias("mean_diff"))
-    return mean.join(F.broadcast(g)).select(
+    mean = rows.agg(F.avg(value).alias("mean_diff")).withColumn("_one", F.lit(1))
+    return mean.join(F.broadcast(g.withColumn("_one", F.lit(1))), "_one").select(  # one row each
         "mean_diff", F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"),
         F.least(F.lit(1.0), 2 * F.least("pl", "pr")).alias("p_boot"),
     )

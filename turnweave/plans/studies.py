@@ -199,8 +199,9 @@ def stage_paired_test(df, id_col, outcome, stages, first=2, second=3, n_boot=500
     test = rk.wilcoxon(rows, [], "d").select(F.col("p_value").alias("p_wilcoxon"))
     err = rows.agg(F.count(F.lit(1)).alias("N"), F.sqrt(F.avg("se1")).alias(f"RMSE_stage{first}"),
                    F.sqrt(F.avg("se2")).alias(f"RMSE_stage{second}"))
-    # three one-row tables
-    return err.join(F.broadcast(boot)).join(F.broadcast(test)).withColumn(
+    one = lambda df: df.withColumn("_one", F.lit(1))  # three one-row tables
+    joined = one(err).join(F.broadcast(one(boot)), "_one").join(F.broadcast(one(test)), "_one").drop("_one")
+    return joined.withColumn(
         f"dRMSE_{first}to{second}", F.col(f"RMSE_stage{second}") - F.col(f"RMSE_stage{first}"))
 
 
