@@ -7,7 +7,11 @@ from turnweave.runtime import local_session
 
 sf = f"/root/testdata/sf{sys.argv[1] if len(sys.argv) > 1 else '0.01'}"
 parts = sys.argv[2:]
-spark = local_session(8)
+if os.environ.get("CHECK_PLAIN"):
+    from pyspark.sql import SparkSession
+    spark = SparkSession.builder.master("local[8]").config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+else:
+    spark = local_session(8)
 con = connect(sf)
 qs, os_ = entry.queries(), entry.oracle_sql()
 bad = 0
