@@ -75,6 +75,16 @@ def test_untimed_hot_conversation_keeps_order(spark):
     assert [(r.prev_text, r.resp_text) for r in got] == [(f"t{i - 1}", f"t{i}") for i in range(1, 600)]
 
 
+def test_hot_conversation_of_equal_times_is_cut(spark):
+    """Equal start and end times are cut at the sequence number."""
+    data = [("hot", "AB"[i % 2], i, f"t{i}", 5.0, 6.0) for i in range(600)]
+    df = spark.createDataFrame(data, SCHEMA)
+    cut = skew.order_chunks(turns.conform_utterances(df), ["conversation_id"], turns.turn_order(), 12)
+    assert cut.groupBy("chunk").count().agg(F.max("count")).first()[0] < 200
+    got = turns.turn_pairs(df, rows_per_task=50).orderBy("utt_seq").collect()
+    assert [(r.prev_text, r.resp_text) for r in got] == [(f"t{i - 1}", f"t{i}") for i in range(1, 600)]
+
+
 def test_target_filter_keeps_partner_turns(spark):
     pairs = spark.createDataFrame([("c", "B")], "conversation_id string, speaker_id string")
     got = rows(ft.extract_features(spark.createDataFrame(GOLDEN, SCHEMA), pairs))
@@ -137,7 +147,7 @@ def test_scan_is_pruned(spark):
 
 def test_hot_keys_are_bounded(spark):
     df = spark.range(1000).select((F.col("id") % 10).alias("k")).union(spark.range(5000).select(F.lit(99).alias("k")))
-    assert [r[0] for r in skew.hot_keys(df, ["k"], 500)] == [99]
+    assert [(r.k, r.n) for r in skew.hot_keys(df, ["k"], 500)] == [(99, 5000)]
     assert skew.hot_keys(df, ["k"], 10**6) == []
 
 

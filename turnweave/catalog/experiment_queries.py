@@ -343,10 +343,10 @@ def _sens_sql(kind, col, conditions, variants):
     return _union_all(parts)
 
 
-def _sens(spark, sf, kind, col, conditions, **kw):
+def _sens(spark, sf, kind, col, conditions, varying, **kw):
     v = ft.extract_feature_variants(utt_timed(spark, sf), **kw)
     v = rounded(v).select(*KEYS, col, *_SX)
-    return rounded(st.variant_sensitivity(v, _scores(spark, sf), col, conditions, KEYS, _SX, "score", kind, N_PERM, K, SEED))
+    return rounded(st.variant_sensitivity(v, _scores(spark, sf), col, conditions, KEYS, _SX, "score", kind, N_PERM, K, SEED, varying=varying))
 
 
 _TOLS = [0.05, 0.3, 1.0]
@@ -354,14 +354,14 @@ _TOLS = [0.05, 0.3, 1.0]
 
 @query("g28_gap_tol_sensitivity", _sens_sql("gap_tol", "gap_tol", _TOLS, _variant_sql({"words": WORDS}, _TOLS)))
 def gap_tol_sensitivity(spark, sf):
-    return _sens(spark, sf, "gap_tol", "gap_tol", _TOLS, gap_tols=_TOLS, lexicons={"words": WORDS})
+    return _sens(spark, sf, "gap_tol", "gap_tol", _TOLS, ["PG_pause_p90", "PG_resp_gap_mean"], gap_tols=_TOLS, lexicons={"words": WORDS})
 
 
 @query("g29_yesno_list_sensitivity", _sens_sql("yesno_list", "lexicon", list(YESNO_VARIANTS), _variant_sql(YESNO_VARIANTS, [0.05])))
 def yesno_sensitivity(spark, sf):
-    return _sens(spark, sf, "yesno_list", "lexicon", list(YESNO_VARIANTS), lexicons=YESNO_VARIANTS)
+    return _sens(spark, sf, "yesno_list", "lexicon", list(YESNO_VARIANTS), ["IX_yesno_rate"], lexicons=YESNO_VARIANTS)
 
 
 @query("g30_particle_rule_sensitivity", _sens_sql("ne_yo_match", "lexicon", list(RULE_VARIANTS), _variant_sql(RULE_VARIANTS, [0.05])))
 def rule_sensitivity(spark, sf):
-    return _sens(spark, sf, "ne_yo_match", "lexicon", list(RULE_VARIANTS), lexicons=RULE_VARIANTS)
+    return _sens(spark, sf, "ne_yo_match", "lexicon", list(RULE_VARIANTS), ["RESP_NE_ENTROPY"], lexicons=RULE_VARIANTS)

@@ -50,7 +50,7 @@ COUNTS = [
 ]
 
 
-def utterance_facts(utt: DataFrame, lexicons: list[Lexicon], hot: bool) -> DataFrame:
+def utterance_facts(utt: DataFrame, lexicons: list[Lexicon], pieces: int = 0) -> DataFrame:
     """One narrow row per utterance: durations, filler counts, and for
     responses the gap, overlap and per-lexicon flags. Text ends here."""
     n = tx.Normalised
@@ -62,7 +62,7 @@ def utterance_facts(utt: DataFrame, lexicons: list[Lexicon], hot: bool) -> DataF
         *[n.asks(text, tail, lex).alias(f"q{i}") for i, lex in enumerate(lexicons)],
     )
     carry = ["text"] + [f"{c}{i}" for i in range(len(lexicons)) for c in ("sfp", "q")]
-    pre = with_previous(pre, carry, hot)
+    pre = with_previous(pre, carry, pieces)
     pre = pre.withColumn("pair", has_turn_change()).withColumn("solid", tx.without_space(text))
     pair = F.col("pair")
     pre = pre.withColumns({
@@ -194,7 +194,7 @@ def _split_keys(facts: DataFrame, tols: list[float], n_lex: int) -> DataFrame:
     span = facts.groupBy(CONV).agg(
         F.min("start_time").alias("conv_start"), F.max("end_time").alias("conv_end")
     )
-    g = g.join(span, CONV)
+    g = g.join(F.broadcast(span), CONV)  # at most MAX_HOT conversations
     for i in range(n_lex):
         tokens = (
             facts.filter(F.col(f"kind{i}").isNotNull())
@@ -281,9 +281,9 @@ def extract_feature_variants(
     if target_pairs is not None:
         utt = restrict_conversations(utt, target_pairs)
 
-    def job(rows: DataFrame, hot: bool) -> DataFrame:
-        facts = utterance_facts(rows, list(lexicons.values()), hot)
-        build = _split_keys if hot else _whole_keys
+    def job(rows: DataFrame, pieces: int) -> DataFrame:
+        facts = utterance_facts(rows, list(lexicons.values()), pieces)
+        build = _split_keys if pieces else _whole_keys
         g = build(facts, tols, len(names)).filter(F.col("n_pairs") > 0)
         variants = [
             F.struct(F.lit(float(tol)).alias("gap_tol"), F.lit(n).alias("lexicon"), *_record(t, i))

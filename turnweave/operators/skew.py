@@ -1,9 +1,9 @@
 """Order-dependent work that stays distributed when one key is huge.
 
-Spark windows send a whole key to one task. Three primitives avoid that:
+Spark windows send a whole key to one task. These primitives avoid that:
 
 * `hot_keys`      - which keys are too big for one task (a bounded probe);
-* `order_chunks`  - cuts a hot key into consecutive pieces of its sort order;
+* `order_chunks`  - cuts hot keys into consecutive pieces of their sort order;
 * `positions`     - global 1..n numbering from per-chunk numbers plus offsets;
 * `exact_quantiles` - order statistics from a histogram and one small sort.
 """
@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 # Rows of one key a single task is trusted to sort (spilling to disk).
 ROWS_PER_TASK = 2_000_000
 # At most this many keys are split. The largest are taken, so every key left
@@ -25,7 +27,7 @@ STEP = 16
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> list:
-    """Keys above `rows_per_task` rows, largest first, at most MAX_HOT.
+    """(key..., n) above `rows_per_task` rows, largest first, at most MAX_HOT.
 
     The count is combined map-side and reads only the key columns; the driver
     receives at most MAX_HOT rows.
@@ -36,7 +38,6 @@ def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK)
         .filter(F.col("n") > rows_per_task)
         .orderBy(F.desc("n"), *keys)
         .limit(MAX_HOT)
-        .select(*keys)
         .collect()
     )
 
@@ -66,28 +67,19 @@ def chunk_of(value: Column, points: Column) -> Column:
     return F.coalesce(start + below(F.slice(points["cuts"], start + 1, F.lit(STEP - 1))), F.lit(0))
 
 
-def order_chunks(df: DataFrame, keys: list[str], time_col: str, seq_col: str) -> DataFrame:
-    """Add `chunk`, non-decreasing in (time nulls last, ..., seq) within a key.
+def order_chunks(df: DataFrame, keys: list[str], order: list[Column], pieces: int) -> DataFrame:
+    """Add `chunk`: consecutive pieces of the sort order (key, order...).
 
-    Rows with a time are cut at quantiles of the time, rows without one at
-    quantiles of the sequence number. Call it on hot keys only: the cut table
-    then has at most MAX_HOT rows of 2 * CUTS numbers.
+    Range partitioning compares the whole sort key, so rows with equal times
+    are still cut at the unique sequence number. The table is written with its
+    chunk numbers: they do not change when a task is run again.
     """
-    timed = F.col(time_col).isNotNull()
-    cuts = df.groupBy(*keys).agg(
-        cut_points(F.col(time_col)).alias("_tcuts"),
-        cut_points(F.when(~timed, F.col(seq_col))).alias("_scuts"),
-    )
-    return (
-        df.join(F.broadcast(cuts), keys, "left")  # <= MAX_HOT rows by construction
-        .withColumn(
-            "chunk",
-            F.when(timed, chunk_of(F.col(time_col), F.col("_tcuts"))).otherwise(
-                F.lit(CUTS) + chunk_of(F.col(seq_col), F.col("_scuts"))
-            ),
-        )
-        .drop("_tcuts", "_scuts")
-    )
+    ranged = df.repartitionByRange(pieces, *[F.col(k) for k in keys], *order)
+    return materialize(ranged.withColumn("chunk", F.spark_partition_id()))
+
+
+def pieces_for(rows: int, rows_per_task: int) -> int:
+    return max(2, min(10_000, -(-rows // max(rows_per_task, 1))))
 
 
 # Largest table handed to every task, in bytes of its numbers.

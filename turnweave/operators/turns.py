@@ -59,17 +59,17 @@ def restrict_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return df.join(keep, KEYS, "left_semi")
 
 
-def with_previous(utt: DataFrame, carry: list[str], hot: bool = False) -> DataFrame:
+def with_previous(utt: DataFrame, carry: list[str], pieces: int = 0) -> DataFrame:
     """Add `prev` (speaker, end and `carry` of the previous turn of the
     conversation) and `own_prev_end` (end of the speaker's own previous turn).
 
     One exchange on conversation_id serves both windows and everything grouped
-    by (conversation, speaker) after them. With `hot`, conversations are cut
+    by (conversation, speaker) after them. With `pieces`, conversations are cut
     into chunks of their order, and the first row of each chunk takes its
     predecessor from the small table of chunk tails.
     """
-    part = [CONV, "chunk"] if hot else [CONV]
-    d = skew.order_chunks(utt, [CONV], "start_time", "utt_seq") if hot else utt
+    part = [CONV, "chunk"] if pieces else [CONV]
+    d = skew.order_chunks(utt, [CONV], turn_order(), pieces) if pieces else utt
     by_conv = Window.partitionBy(*part).orderBy(*turn_order())
     by_spk = Window.partitionBy(*part, SPK).orderBy(*turn_order())
     turn = F.struct(F.col(SPK), F.col("end_time"), *[F.col(c) for c in carry])
@@ -77,7 +77,7 @@ def with_previous(utt: DataFrame, carry: list[str], hot: bool = False) -> DataFr
     out = d.withColumn("prev", F.lag(turn).over(by_conv)).withColumn(
         "own_prev", F.lag(own).over(by_spk)
     )
-    if hot:
+    if pieces:
         out = _stitch(out, d, turn, "prev", [CONV])
         out = _stitch(out, d, own, "own_prev", KEYS)
         out = out.drop("chunk")
@@ -102,11 +102,11 @@ def has_turn_change() -> Column:
 def turn_pairs(utt: DataFrame, lex: Lexicon = JA, rows_per_task: int = skew.ROWS_PER_TASK) -> DataFrame:
     """Adjacency pairs: one row per response whose previous turn is another
     speaker's, with the previous text, its class and the two times."""
-    def pairs(d: DataFrame, hot: bool) -> DataFrame:
+    def pairs(d: DataFrame, pieces: int) -> DataFrame:
         d = d.withColumn("sfp", tx.sfp_group(F.col("text"), lex)).withColumn(
             "question", tx.is_question(F.col("text"), lex)
         )
-        return with_previous(d, ["text", "sfp", "question"], hot).filter(has_turn_change()).select(
+        return with_previous(d, ["text", "sfp", "question"], pieces).filter(has_turn_change()).select(
             CONV,
             F.col(f"prev.{SPK}").alias("prev_speaker_id"),
             F.col(SPK).alias("resp_speaker_id"),
@@ -124,19 +124,20 @@ def turn_pairs(utt: DataFrame, lex: Lexicon = JA, rows_per_task: int = skew.ROWS
 
 
 def split_hot(utt: DataFrame, job, rows_per_task: int) -> DataFrame:
-    """Run `job(rows, hot)` on the normal conversations and, if any exist, on
-    the hot ones, and put the results together."""
+    """Run `job(rows, 0)` on the normal conversations and, if any exist,
+    `job(rows, pieces)` on the hot ones, and put the results together."""
     hot = skew.hot_keys(utt, [CONV], rows_per_task)
     if not hot:
-        return job(utt, False)
+        return job(utt, 0)
     is_hot = skew.key_in([CONV], hot)
-    return job(utt.filter(~is_hot), False).unionByName(job(utt.filter(is_hot), True))
+    pieces = skew.pieces_for(sum(r["n"] for r in hot), rows_per_task)
+    return job(utt.filter(~is_hot), 0).unionByName(job(utt.filter(is_hot), pieces))
 
 
 def own_pauses(utt: DataFrame, gap_tol: float = 0.05, rows_per_task: int = skew.ROWS_PER_TASK) -> DataFrame:
     """Pauses between a speaker's own consecutive turns, at least gap_tol."""
-    def pauses(d: DataFrame, hot: bool) -> DataFrame:
-        return with_previous(d.withColumn("text", F.lit("")), [], hot).select(
+    def pauses(d: DataFrame, pieces: int) -> DataFrame:
+        return with_previous(d.drop("text"), [], pieces).select(
             *KEYS, "utt_seq", (F.col("start_time") - F.col("own_prev_end")).alias("pause")
         )
 

@@ -215,21 +215,25 @@ def alpha_sensitivity(df, id_col, outcome, features, alphas=ALPHA_CONDITIONS, n_
 
 def variant_sensitivity(variants: DataFrame, scores: DataFrame, variant_col: str, conditions: list, keys: list[str],
                         features: list[str], outcome: str, analysis_type: str, n_perm=5000, k=5, seed=42,
-                        alpha=ALPHA) -> DataFrame:
+                        alpha=ALPHA, varying: list[str] | None = None) -> DataFrame:
     """Permutation test per feature variant (gap tolerance, word list, rule).
 
-    All variants were extracted in one pass; folds and permutations depend on
-    the record id only, so conditions are compared on the same draws.
+    All variants were extracted in one pass and stand side by side in one
+    record table, so folds, moments and replicate sums are computed once.
+    `varying` names the features a variant changes; the others are shared.
     """
-    stored = materialize(variants)
-    out = []
-    for c in conditions:
-        x = stored.filter(F.col(variant_col) == c).drop(variant_col)
-        d = x.join(scores, keys).withColumn("_id", F.concat_ws("/", *keys))
-        r = permutation_study(d, "_id", [Spec(str(c), tuple(features), outcome, alpha)], n_perm, k, seed)
-        out.append(r.select(F.lit(analysis_type).alias("analysis_type"), F.col("name").alias("condition"),
-                            "outcome", F.col("r_foldmean").alias("r_obs"), "p_value"))
-    return reduce(DataFrame.unionByName, out)
+    varying = [f for f in features if varying is None or f in varying]
+    at = lambda c: F.col(variant_col) == F.lit(c)
+    named = {(c, f): f"v{i}_{f}" for i, c in enumerate(conditions) for f in varying}
+    wide = variants.groupBy(*keys).agg(
+        *[F.max(F.when(at(c), F.col(f))).alias(n) for (c, f), n in named.items()],
+        *[F.max(F.when(at(conditions[0]), F.col(f))).alias(f) for f in features if f not in varying],
+    )
+    d = wide.join(scores, keys).withColumn("_id", F.concat_ws("/", *keys))
+    specs = [Spec(str(c), tuple(named.get((c, f), f) for f in features), outcome, alpha) for c in conditions]
+    r = permutation_study(materialize(d), "_id", specs, n_perm, k, seed)
+    return r.select(F.lit(analysis_type).alias("analysis_type"), F.col("name").alias("condition"), "outcome",
+                    F.col("r_foldmean").alias("r_obs"), "p_value")
 
 
 def sets_by_aggregation(df, id_col, outcome, sets: dict[str, list[str]], k=5, seed=42, alpha=ALPHA) -> DataFrame:
