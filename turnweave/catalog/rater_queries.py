@@ -14,8 +14,11 @@ RATERS = ["0", "1", "2", "3"]
 
 
 # --- item and rater scores on lineitem ------------------------------------------
-def item_scores(spark, sf, items=3):
-    d = table(spark, sf, "lineitem").filter(F.col("l_linenumber") <= items)
+N_ITEMS = 7
+
+
+def item_scores(spark, sf):
+    d = table(spark, sf, "lineitem")
     s = (F.col("l_quantity").cast("int") % 5).cast("double")
     return d.select(
         F.col("l_orderkey").cast("string").alias("conversation_id"), F.lit("S").alias("speaker_id"),
@@ -29,7 +32,7 @@ ITEMS = """SELECT l_orderkey::VARCHAR AS conversation_id, 'S' AS speaker_id,
   CASE l_orderkey % 5 WHEN 0 THEN 'O' WHEN 1 THEN 'C' WHEN 2 THEN 'E' WHEN 3 THEN 'A' ELSE 'N' END AS trait,
   l_linenumber AS item_id, 'm' || l_suppkey % 4 AS model_id,
   CASE WHEN l_linenumber % 2 = 1 THEN 4 - (l_quantity::INT % 5)::DOUBLE ELSE (l_quantity::INT % 5)::DOUBLE END AS score
-  FROM lineitem WHERE l_linenumber <= 3"""
+  FROM lineitem"""
 
 
 def rater_scores(spark, sf):
@@ -63,20 +66,21 @@ def items_of_trait(spark, sf):
     return ra.items_of_trait(d, "C").select("conversation_id", "item_id", "model_id", "score")
 
 
-@query("e16_item_matrix", f"""SELECT conversation_id, speaker_id, {', '.join(r(f'avg(score) FILTER (item_id = {i})', f'"{i}"') for i in (1, 2, 3))}
-  FROM ({ITEMS}) GROUP BY 1, 2 HAVING count(DISTINCT item_id) = 3""")
+@query("e16_item_matrix", f"""SELECT conversation_id, speaker_id, {', '.join(r(f'avg(score) FILTER (item_id = {i})', f'"{i}"') for i in range(1, N_ITEMS + 1))}
+  FROM ({ITEMS}) GROUP BY 1, 2 HAVING count(DISTINCT item_id) = {N_ITEMS}""")
 def item_matrix(spark, sf):
-    return rounded(ra.item_matrix(item_scores(spark, sf), [1, 2, 3]))
+    return rounded(ra.item_matrix(item_scores(spark, sf), range(1, N_ITEMS + 1)))
 
 
 @query("e17_cronbach_alpha", f"""WITH c AS (SELECT trait, conversation_id, item_id, avg(score) AS s FROM ({ITEMS}) GROUP BY 1, 2, 3),
   w AS (SELECT *, sum(s) OVER k AS total, count(*) OVER k AS answered FROM c WINDOW k AS (PARTITION BY trait, conversation_id)),
-  f AS (SELECT * FROM w WHERE answered = 3),
+  k AS (SELECT trait, count(DISTINCT item_id) AS k FROM c GROUP BY 1),
+  f AS (SELECT w.* FROM w JOIN k USING (trait) WHERE answered = k),
   v AS (SELECT trait, sum(v) AS iv FROM (SELECT trait, item_id, var_samp(s) AS v FROM f GROUP BY 1, 2) GROUP BY 1),
   t AS (SELECT trait, var_samp(total) AS tv, count(*) AS n FROM (SELECT DISTINCT trait, conversation_id, total FROM f) GROUP BY 1),
   n AS (SELECT trait, count(DISTINCT conversation_id) AS ns FROM c GROUP BY 1)
-  SELECT trait, {r('3 / 2 * (1 - iv / tv)', 'alpha')}, ns AS n_subjects, 3::BIGINT AS k_items, t.n AS n_complete
-  FROM t JOIN v USING (trait) JOIN n USING (trait)""")
+  SELECT trait, {r('CASE WHEN coalesce(t.n, 0) >= 2 AND tv > 0 THEN k / (k - 1) * (1 - iv / tv) END', 'alpha')}, ns AS n_subjects, k AS k_items,
+    coalesce(t.n, 0) AS n_complete FROM n JOIN k USING (trait) LEFT JOIN t USING (trait) LEFT JOIN v USING (trait)""")
 def cronbach(spark, sf):
     return rounded(ra.cronbach_alpha(item_scores(spark, sf)))
 
@@ -160,7 +164,8 @@ def bands(spark, sf):
 # --- attempts ----------------------------------------------------------------------
 def _attempts(spark, sf):
     raw = F.element_at(F.array(*[F.lit(x) for x in RAW]), ((F.col("l_orderkey") + F.col("l_partkey")) % 12 + 1).cast("int"))
-    d = table(spark, sf, "lineitem").filter("l_partkey % 3 > 0").select(
+    raw = F.when(F.col("l_partkey") % 3 == 0, "n/a").otherwise(raw)
+    d = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("conversation_id"), F.lit("S").alias("speaker_id"),
         F.col("l_linenumber").alias("item_id"), F.col("l_partkey").alias("attempt_i"), raw.alias("choice_raw"))
     return d.dropDuplicates(["conversation_id", "item_id", "attempt_i"])
@@ -176,8 +181,8 @@ def _resolve_sql(neutral: bool) -> str:
     idx = "(l_orderkey + l_partkey) % 12"
     score = f"CASE norm {' '.join(f'WHEN {q(c)} THEN {s}::DOUBLE' for c, s in _SCORE.items())} END"
     fb = ("'NEUTRAL_FALLBACK'", q(ra.CHOICES[2])) if neutral else ("''", "''")
-    return f"""WITH a AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, {_case(RAW, idx)} AS raw, {_case(V2, idx)} AS norm
-    FROM lineitem WHERE l_partkey % 3 > 0),
+    return f"""WITH a AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 3 = 0 THEN 'n/a' ELSE {_case(RAW, idx)} END AS raw,
+    CASE WHEN l_partkey % 3 = 0 THEN 'n/a' ELSE {_case(V2, idx)} END AS norm FROM lineitem),
   v AS (SELECT l_orderkey, l_linenumber, arg_min(raw, l_partkey) AS raw, arg_min(norm, l_partkey) AS norm FROM a
     WHERE norm IN ({', '.join(q(c) for c in ra.CHOICES)}) GROUP BY 1, 2),
   g AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem),
@@ -197,7 +202,7 @@ def resolve_missing(spark, sf):
 
 
 # --- audits ------------------------------------------------------------------------
-@query("h15_expected_values", f"""WITH a AS (SELECT p_brand, avg(p_size) AS v FROM part WHERE p_brand <> 'Brand#5' GROUP BY 1),
+@query("h15_expected_values", f"""WITH a AS (SELECT p_brand, avg(p_size) AS v FROM (SELECT CASE WHEN p_brand = 'Brand#5' THEN 'renamed' ELSE p_brand END AS p_brand, p_size FROM part) GROUP BY 1),
   e AS (SELECT p_brand, round(avg(p_size) + CASE WHEN p_brand = 'Brand#2' THEN 1 ELSE 0 END, 3) AS v FROM part GROUP BY 1)
   SELECT p_brand, {r('e.v', 'expected', 3)}, {r('a.v', 'actual', 3)}, coalesce(round(e.v, 3) = round(a.v, 3), false) AS match,
   {r('abs(e.v - a.v)', 'diff')}, CASE WHEN a.v IS NULL THEN 'NOT_FOUND' ELSE 'FOUND' END AS status FROM e LEFT JOIN a USING (p_brand)""")
@@ -205,7 +210,7 @@ def expected_values(spark, sf):
     g = table(spark, sf, "part").groupBy("p_brand").agg(F.avg("p_size").alias("m"))
     e = g.select("p_brand", F.round(F.col("m") + F.when(F.col("p_brand") == "Brand#2", 1.0).otherwise(0.0), 3).alias("value"),
                  F.lit(3).alias("digits"))
-    a = g.filter("p_brand <> 'Brand#5'").select("p_brand", F.col("m").alias("value"))
+    a = g.select(F.when(F.col("p_brand") == "Brand#5", "renamed").otherwise(F.col("p_brand")).alias("p_brand"), F.col("m").alias("value"))
     return rounded(au.expected_values(e, a, ["p_brand"]))
 
 

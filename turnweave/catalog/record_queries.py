@@ -66,10 +66,11 @@ def top_candidates(spark, sf):
 
 # --- candidates and quality filters ------------------------------------------------
 def _conversations(spark, sf):
-    return utt_text(spark, sf).select("conversation_id").filter(F.col("conversation_id").cast("long") % 4 > 0).distinct()
+    """The frame: conversations of at least five turns."""
+    return utt_text(spark, sf).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5").select("conversation_id")
 
 
-CANDIDATES = f"""WITH {sql_pairs(f"SELECT * FROM ({UTT_TEXT}) WHERE conversation_id::BIGINT % 4 > 0", PROSE)},
+CANDIDATES = f"""WITH {sql_pairs(f"SELECT * FROM ({UTT_TEXT}) WHERE conversation_id IN (SELECT conversation_id FROM ({UTT_TEXT}) GROUP BY 1 HAVING count(*) >= 5)", PROSE)},
 t AS (SELECT conversation_id, speaker_id, sum(length(replace(replace(text, ' ', ''), chr(12288), ''))) AS len FROM u GROUP BY 1, 2),
 p AS (SELECT conversation_id, speaker_id, count(*) AS n, count(*) FILTER (prev_q) AS nq FROM pairs GROUP BY 1, 2)
 SELECT conversation_id, speaker_id, len::BIGINT AS "FILL_text_len", coalesce(n, 0)::BIGINT AS n_pairs_total,
@@ -158,15 +159,16 @@ def preview(spark, sf):
 # --- speaker metadata ---------------------------------------------------------------
 def _mapping(spark, sf):
     k = F.col("o_custkey")
-    return table(spark, sf, "orders").filter("o_orderkey % 11 > 0").select(
+    label = F.concat(F.lit("IC"), F.lpad((k % 90).cast("string"), 2, "0"), F.lit("_名前"))
+    return table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("会話ID"), k.cast("string").alias("話者ID"),
-        F.concat(F.lit("IC"), F.lpad((k % 90).cast("string"), 2, "0"), F.lit("_名前")).alias("話者ラベル"))
+        F.when(F.col("o_orderkey") % 11 == 0, "名前").otherwise(label).alias("話者ラベル"))
 
 
 def _persons(spark, sf):
     k, n = F.col("c_custkey"), F.col("c_nationkey")
-    return table(spark, sf, "customer").filter("c_custkey % 13 > 0").select(
-        k.cast("string").alias("話者ID"),
+    return table(spark, sf, "customer").select(
+        F.when(k % 13 == 0, F.concat(F.lit("x"), k)).otherwise(k.cast("string")).alias("話者ID"),
         F.when(F.col("c_mktsegment").isin("BUILDING", "HOUSEHOLD"), "女性").when(F.col("c_mktsegment") != "MACHINERY", "男性").alias("性別"),
         F.when(k % 4 > 0, F.concat(n + 20, F.lit("-"), n + 24, F.lit("歳"))).alias("年齢"),
         F.concat(F.lit("r"), n).alias("出身地"), F.concat(F.lit("q"), n).alias("居住地"),
@@ -190,7 +192,7 @@ SPEAKER_META = """SELECT o_orderkey::VARCHAR AS conversation_id, 'IC' || lpad((o
   CASE WHEN c_custkey % 4 > 0 THEN (c_nationkey + 22)::DOUBLE END AS age_mid,
   'r' || c_nationkey AS birthplace, 'q' || c_nationkey AS residence, c_mktsegment AS occupation, c_name AS relationship,
   CASE WHEN c_custkey % 4 > 0 THEN (c_nationkey + 22)::DOUBLE END AS age
-  FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 13 > 0) ON c_custkey = o_custkey AND o_orderkey % 11 > 0"""
+  FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND o_orderkey % 11 > 0 AND c_custkey % 13 > 0"""
 
 
 @query("c3_c4_speaker_meta", SPEAKER_META)
