@@ -204,7 +204,7 @@ def trait_families(spark, sf):
 def _pair_sql(parts: dict, outcome: str) -> str:
     (na, a), (nb, b) = parts.items()
     cols = lambda t, n: f"{t}.r_foldmean AS r_{n}, {t}.p_value AS p_{n}"
-    return f"""SELECT '{outcome}' AS outcome, {cols('a', na)}, {cols('b', nb)}, round(b.raw - a.raw, 6) + 0.0 AS delta_r
+    return f"""SELECT '{outcome}' AS outcome, {cols('a', na)}, {cols('b', nb)}, round(b.raw - a.raw + 1e-9, 6) + 0.0 AS delta_r
   FROM ({a}) a, ({b}) b"""
 
 
@@ -247,8 +247,8 @@ STAGES = {1: ("demographics", tuple(X[:1])), 2: ("demographics+classical", tuple
           3: ("demographics+classical+novel", tuple(X))}
 
 
-@query("g21_nested_stages", f"""SELECT outcome, stage, n_features, feature_set, round(raw, 6) + 0.0 AS r_obs, p_value,
-  round(raw - lag(raw) OVER (ORDER BY stage), 6) + 0.0 AS delta_r_from_prev FROM (""" + _union_all(
+@query("g21_nested_stages", f"""SELECT outcome, stage, n_features, feature_set, round(raw + 1e-9, 6) + 0.0 AS r_obs, p_value,
+  round(raw - lag(raw) OVER (ORDER BY stage) + 1e-9, 6) + 0.0 AS delta_r_from_prev FROM (""" + _union_all(
     f"SELECT {s} AS stage, '{n}' AS feature_set, t.* FROM ({_raw(sql_permuted(_src('y_label'), list(f)), len(f), 'y_label')}) t"
     for s, (n, f) in STAGES.items()) + ")")
 def nested_stages(spark, sf):

@@ -1,7 +1,8 @@
 """Canonical tables built from the driver tables, as DataFrames and as SQL.
 
 `rounded` rounds doubles to six digits: sums run in another order in another
-engine, so the last bits differ.
+engine, so the last bits differ. Both sides add NUDGE first, so that a mean
+that lies exactly between two six-digit numbers rounds the same way.
 """
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ from ..functions.lexicon import PROSE, TAIL_PUNCTUATION, HEAD_PUNCTUATION, WORDS
 from ..functions.text import WHITESPACE
 
 DIGITS = 6
+NUDGE = 1e-9
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,7 +23,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*[
-        (F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name)
+        (F.round(F.col(f"`{f.name}`") + (NUDGE if digits == DIGITS else 0.0), digits) + F.lit(0.0)).alias(f.name)
         if isinstance(f.dataType, T.DoubleType)
         else F.col(f"`{f.name}`")
         for f in df.schema.fields
@@ -29,7 +31,8 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 def r(expr: str, alias: str, digits: int = DIGITS) -> str:
-    return f"round(({expr})::DOUBLE, {digits}) + 0.0 AS {alias}"
+    nudge = f" + {NUDGE}" if digits == DIGITS else ""
+    return f"round(({expr})::DOUBLE{nudge}, {digits}) + 0.0 AS {alias}"
 
 
 # --- utterances --------------------------------------------------------------
