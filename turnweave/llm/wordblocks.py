@@ -107,6 +107,27 @@ def sequences_of(docs: DataFrame, splitter: Splitter, block_bytes: int = BLOCK_B
     return _source(docs, None).mapInArrow(run, SEQUENCES)
 
 
+BLOCKS = "block long, ids array<long>, sizes array<int>, flags array<boolean>, width int, seq binary, words array<string>, n_flagged array<long>"
+
+
+def blocks_of(docs: DataFrame, splitter: Splitter, flag, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Whole blocks, one row each (`BLOCKS`): to be written once where they are read several times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, sizes, index, words, flags in _blocks(batches, splitter, block_bytes):
+            flags = flags.astype(bool)
+            flagged = np.bincount(index[np.repeat(flags, sizes)], minlength=len(words))
+            width = 2 if len(words) <= 1 << 16 else 4
+            one = pa.array([0, len(words)], pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
+                pa.array([flags], pa.list_(pa.bool_())), pa.array([width], pa.int32()), pa.array([_pack(index, width)], pa.binary()),
+                pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, pa.array(flagged)),
+            ], names=[c.split()[0] for c in BLOCKS.split(", ")])
+
+    return _source(docs, flag).mapInArrow(run, BLOCKS)
+
+
 def join_back(answers: DataFrame, sequences: DataFrame, result: str, fold: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.Table]) -> DataFrame:
     """Answers (block, idx, ...) meet the sequences of their block.
 
