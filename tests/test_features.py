@@ -145,10 +145,25 @@ def test_scan_is_pruned(spark):
     assert "props" not in plan.split("ReadSchema:")[1].split("\n")[0]
 
 
-def test_hot_keys_are_bounded(spark):
+def test_hot_keys(spark):
     df = spark.range(1000).select((F.col("id") % 10).alias("k")).union(spark.range(5000).select(F.lit(99).alias("k")))
-    assert [(r.k, r.n) for r in skew.hot_keys(df, ["k"], 500)] == [(99, 5000)]
-    assert skew.hot_keys(df, ["k"], 10**6) == []
+    assert [(r.k, r.n) for r in skew.hot_keys(df, ["k"], 500).collect()] == [(99, 5000)]
+    assert skew.hot_keys(df, ["k"], 10**6).isEmpty()
+
+
+def test_every_hot_conversation_is_cut(spark, monkeypatch):
+    """1,200 conversations above the limit, and some below it: as if none were hot."""
+    from turnweave.operators import turns as tu
+
+    rows = [(f"c{c}", "AB"[(c + i) % 3 == 0], i, float(i), i + 0.5, f"t{i}") for c in range(1300) for i in range(5 if c < 1200 else 2)]
+    df = spark.createDataFrame(rows, "conversation_id string, speaker_id string, utt_seq long, start_time double, end_time double, text string")
+    pieces = []
+    cut = skew.order_chunks
+    monkeypatch.setattr(skew, "order_chunks", lambda d, k, o, n: pieces.append((d.select("conversation_id").distinct().count(), n)) or cut(d, k, o, n))
+    split = tu.turn_pairs(df, rows_per_task=4)
+    assert pieces == [(1200, 1500)]
+    whole = tu.turn_pairs(df)
+    assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect())) and whole.count() > 3000
 
 
 def test_exact_quantiles_match_percentile(spark):

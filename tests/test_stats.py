@@ -62,6 +62,51 @@ def test_rank_sum_exact_matches_enumeration():
         assert abs(tails.rank_sum_exact(u, n1, n2) - want) < 1e-12
 
 
+def test_rank_sum_exact_in_a_large_group():
+    """The lower tail of U = 0..3 counts partitions, whatever the size of the other group."""
+    for n in (10, 2_595, 10**6):
+        ways = math.comb(n + 5, 5)
+        for u, partitions in ((0, 1), (1, 2), (2, 4), (3, 7)):
+            assert math.isclose(tails.rank_sum_exact(u, 5, n), 2 * partitions / ways, rel_tol=1e-12)
+            assert math.isclose(tails.rank_sum_exact(5 * n - u, n, 5), 2 * partitions / ways, rel_tol=1e-12)
+    assert abs(tails.rank_sum_exact(910, 5, 2_595) - 9.2e-5) < 1e-6
+
+
+def test_undefined_tests_keep_their_rows(spark):
+    d = spark.createDataFrame([("zero", 0.0), ("zero", 0.0), ("some", 1.0), ("some", -2.0), ("none", None)], "k string, d double")
+    got = {r.k: r for r in rk.wilcoxon(d, ["k"], "d").collect()}
+    assert (got["zero"].n, got["zero"].zeros, got["zero"].p_value) == (0, 2, None) and got["some"].n == 2
+    assert rk.wilcoxon(d.filter("k = 'zero'"), [], "d").first().p_value is None
+    m = spark.createDataFrame([("one", 1.0, "M"), ("one", 2.0, "M"), ("two", 1.0, "M"), ("two", 2.0, "F")], "k string, v double, g string")
+    got = {r.k: r for r in rk.mann_whitney(m, ["k"], "v", "g", "M", "F").collect()}
+    assert (got["one"].n1, got["one"].n2, got["one"].u, got["one"].p_value) == (2, 0, None, None) and got["two"].p_value == 1.0
+    c = spark.createDataFrame([("few", 1.0, 2.0), ("few", 2.0, 3.0), ("ok", 1.0, 1.0), ("ok", 2.0, 3.0), ("ok", 3.0, 2.0)], "k string, x double, y double")
+    got = {r.k: r for r in rk.correlations(c, ["k"], "x", "y").collect()}
+    assert (got["few"].n, got["few"].r, got["few"].rho_p) == (2, None, None) and abs(got["ok"].r - 0.5) < 1e-12
+
+
+def test_bad_outcomes_are_missing(spark):
+    pdf = make(n=40, missing=False)
+    rows = [(r.id, *[float(r[f"x{i}"]) for i in range(4)], str(r.y)) for _, r in pdf.iterrows()]
+    rows += [("bad", 1.0, 1.0, 1.0, 1.0, "n/a"), ("inf", 1.0, 1.0, 1.0, 1.0, "Infinity")]
+    df = spark.createDataFrame(rows, "id string, x0 double, x1 double, x2 double, x3 double, y string").withColumn("z", F.length("id").cast("double") + F.col("x0"))
+    xs = tuple(f"x{i}" for i in range(4))
+    got = {r.outcome: r for r in st.permutation_study(df, "id", [Spec("m", xs, "y"), Spec("m", xs, "z")], n_perm=3).collect()}
+    assert got["y"].n == 40 and got["z"].n == 42
+
+
+def test_group_folds_are_balanced(spark):
+    sizes = [1000] + [10] * 200
+    df = spark.createDataFrame([(g,) for g, n in enumerate(sizes) for _ in range(n)], "g long")
+    load = sorted(r[1] for r in fo.group_folds(df, "g", 5).groupBy("fold").count().collect())
+    assert load == [500, 500, 500, 500, 1000]
+    # Only the hot group is placed by the driver; the small ones fill the rest.
+    df = spark.createDataFrame([(0,)] * 2000 + [(g,) for g in range(1, 30001)], "g long").repartition(4)
+    got = fo.group_folds(df, "g", 5)
+    load = sorted(r[1] for r in got.groupBy("fold").count().collect())
+    assert sum(load) == 32000 and load[-1] - load[0] <= 5 and got.groupBy("g").agg(F.countDistinct("fold").alias("n")).filter("n > 1").isEmpty()
+
+
 def test_rank_tests_end_to_end(spark):
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(size=60), 1)

@@ -66,11 +66,11 @@ def top_candidates(spark, sf):
 
 # --- candidates and quality filters ------------------------------------------------
 def _conversations(spark, sf):
-    """The frame: conversations of at least five turns."""
-    return utt_text(spark, sf).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5").select("conversation_id")
+    """The frame: conversations of two speakers."""
+    return utt_text(spark, sf).groupBy("conversation_id").agg(F.countDistinct("speaker_id").alias("n")).filter("n = 2").select("conversation_id")
 
 
-CANDIDATES = f"""WITH {sql_pairs(f"SELECT * FROM ({UTT_TEXT}) WHERE conversation_id IN (SELECT conversation_id FROM ({UTT_TEXT}) GROUP BY 1 HAVING count(*) >= 5)", PROSE)},
+CANDIDATES = f"""WITH {sql_pairs(f"SELECT * FROM ({UTT_TEXT}) WHERE conversation_id IN (SELECT conversation_id FROM ({UTT_TEXT}) GROUP BY 1 HAVING count(DISTINCT speaker_id) = 2)", PROSE)},
 t AS (SELECT conversation_id, speaker_id, sum(length(replace(replace(text, ' ', ''), chr(12288), ''))) AS len FROM u GROUP BY 1, 2),
 p AS (SELECT conversation_id, speaker_id, count(*) AS n, count(*) FILTER (prev_q) AS nq FROM pairs GROUP BY 1, 2)
 SELECT conversation_id, speaker_id, len::BIGINT AS "FILL_text_len", coalesce(n, 0)::BIGINT AS n_pairs_total,
@@ -122,13 +122,11 @@ PAIRS_SQL = f"SELECT conversation_id, speaker_id FROM ({UTT_TEXT}) GROUP BY 1, 2
 MONOLOGUES = f"""SELECT conversation_id, speaker_id, count(*) AS n_utt,
   sum(length(replace(replace(text, ' ', ''), chr(12288), '')))::BIGINT AS n_chars,
   trim(string_agg(text, chr(10) ORDER BY utt_seq), ' ' || chr(10) || chr(9) || chr(13)) AS text
-  FROM ({UTT_TEXT}) SEMI JOIN ({PAIRS_SQL}) p USING (conversation_id, speaker_id) GROUP BY 1, 2"""
+  FROM ({UTT_TEXT}) GROUP BY 1, 2"""
 
 
 def monologues(spark, sf):
-    utt = utt_text(spark, sf)
-    pairs = utt.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    return mo.build_monologues(utt, pairs)
+    return mo.build_monologues(utt_text(spark, sf))
 
 
 @query("e2_monologues", MONOLOGUES)
@@ -220,15 +218,15 @@ _FIRST = "arg_min(gender, conversation_id) FILTER (gender IS NOT NULL)"
   string_agg(DISTINCT conversation_id, ',' ORDER BY conversation_id) AS conversation_ids, {_FIRST} AS gender
   FROM ({SPEAKER_META}) WHERE person_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 2""")
 def overlap_detail(spark, sf):
-    return md.overlap_detail(speaker_meta(spark, sf).filter("person_id IS NOT NULL"))
+    return md.overlap_detail(speaker_meta(spark, sf))
 
 
-@query("e23_person_overlap_summary", f"""SELECT sum(n)::BIGINT AS total_records, count(*) AS unique_speakers,
+@query("e23_person_overlap_summary", f"""SELECT (SELECT count(*) FROM ({SPEAKER_META})) AS total_records, count(*) AS unique_speakers,
   count(*) FILTER (n >= 2) AS duplicate_speakers, coalesce(sum(n) FILTER (n >= 2), 0)::BIGINT AS duplicate_records,
   count(*) FILTER (g = 'F') AS "gender_F", count(*) FILTER (g = 'M') AS "gender_M"
   FROM (SELECT person_id, count(*) AS n, {_FIRST} AS g FROM ({SPEAKER_META}) WHERE person_id IS NOT NULL GROUP BY 1)""")
 def overlap_summary(spark, sf):
-    return md.overlap_summary(speaker_meta(spark, sf).filter("person_id IS NOT NULL"))
+    return md.overlap_summary(speaker_meta(spark, sf))
 
 
 _XY = "SELECT o_orderkey::VARCHAR AS conversation_id, 'IC' || lpad((o_custkey % 90)::VARCHAR, 2, '0') AS speaker_id, o_totalprice AS y FROM orders"

@@ -43,8 +43,14 @@ RECORDS = """SELECT doc_id::VARCHAR AS id, source,
 
 POS = f"row_number() OVER (ORDER BY md5('{SEED}:fold:' || id), id) - 1"
 FOLDED = f"SELECT *, {POS} AS pos, ({POS}) % {K} AS fold FROM ({RECORDS})"
-GROUP_FOLD = f"""SELECT source, CASE WHEN (rn // {K}) % 2 = 0 THEN rn % {K} ELSE {K} - 1 - rn % {K} END AS fold FROM
-  (SELECT source, row_number() OVER (ORDER BY n DESC, md5(source), source) - 1 AS rn FROM (SELECT source, count(*) AS n FROM ({RECORDS}) GROUP BY 1))"""
+# Groups by falling size, each to the emptiest fold.
+GROUP_FOLD = f"""WITH RECURSIVE sz AS (SELECT source, n, row_number() OVER (ORDER BY n DESC, md5(source), source) AS rn
+    FROM (SELECT source, count(*) AS n FROM ({RECORDS}) GROUP BY 1)),
+  g AS (SELECT 0::BIGINT AS rn, NULL::VARCHAR AS source, NULL::BIGINT AS fold, list_transform(range({K}), lambda x: 0::BIGINT) AS load
+    UNION ALL SELECT sz.rn, sz.source, list_position(load, list_min(load))::BIGINT - 1,
+      list_transform(load, lambda x, i: x + CASE WHEN i = list_position(load, list_min(load)) THEN sz.n ELSE 0 END)
+    FROM g JOIN sz ON sz.rn = g.rn + 1)
+  SELECT source, fold FROM g WHERE rn > 0"""
 GROUP_FOLDED = f"SELECT d.* EXCLUDE (fold), g.fold FROM ({FOLDED}) d JOIN ({GROUP_FOLD}) g USING (source)"
 
 
@@ -141,7 +147,8 @@ def oof_metrics(spark, sf):
 
 
 # --- permutation -----------------------------------------------------------------
-N_PERM = 20
+N_PERM = 5000
+N_PERM_GROUPED = 1000
 
 
 def sql_permuted(src: str, xs: list[str], alpha: float = 100.0, n_perm: int = N_PERM) -> str:
@@ -208,13 +215,16 @@ def _pair_sql(parts: dict, outcome: str) -> str:
   FROM ({a}) a, ({b}) b"""
 
 
-def _raw(perm: str, p: int, outcome: str) -> str:
-    return f"SELECT t.*, (SELECT r_foldmean FROM ({perm}) WHERE rep = 0) AS raw FROM ({sql_test(perm, 'm', outcome, p)}) t"
+def _raw(src: str, xs: list[str], outcome: str, n_perm: int = N_PERM) -> str:
+    """The test's row with the unrounded observed r."""
+    seen = sql_permuted(src, xs, n_perm=0)  # the observed order only
+    test = sql_test(sql_permuted(src, xs, n_perm=n_perm), "m", outcome, len(xs), n_perm=n_perm)
+    return f"SELECT t.*, (SELECT r_foldmean FROM ({seen}) WHERE rep = 0) AS raw FROM ({test}) t"
 
 
-def _sets_sql(names, base, more, folded=FOLDED, y="y_label"):
-    return _pair_sql({names[0]: _raw(sql_permuted(_src(y, folded), base), len(base), y),
-                      names[1]: _raw(sql_permuted(_src(y, folded), base + more), len(base + more), y)}, y)
+def _sets_sql(names, base, more, folded=FOLDED, y="y_label", n_perm=N_PERM):
+    return _pair_sql({names[0]: _raw(_src(y, folded), base, y, n_perm),
+                      names[1]: _raw(_src(y, folded), base + more, y, n_perm)}, y)
 
 
 @query("g24_baseline_vs_extended", _sets_sql(("baseline", "extended"), X[:2], X[2:]))
@@ -230,17 +240,17 @@ def confound_control(spark, sf):
     return rounded(st.compare_feature_sets(records(spark, sf), "id", ["y_size"], X[:3], X[3:], _CONF, N_PERM, K, SEED))
 
 
-@query("g26_confound_control_grouped", _sets_sql(_CONF, X[:3], X[3:], GROUP_FOLDED))
+@query("g26_confound_control_grouped", _sets_sql(_CONF, X[:3], X[3:], GROUP_FOLDED, n_perm=N_PERM_GROUPED))
 def confound_control_grouped(spark, sf):
-    return rounded(st.compare_feature_sets(records(spark, sf), "id", ["y_label"], X[:3], X[3:], _CONF, N_PERM, K, SEED, "source"))
+    return rounded(st.compare_feature_sets(records(spark, sf), "id", ["y_label"], X[:3], X[3:], _CONF, N_PERM_GROUPED, K, SEED, "source"))
 
 
 @query("g27_kfold_vs_groupkfold", f"""SELECT *, CASE WHEN p_kfold < 0.05 THEN '**' ELSE 'n.s.' END AS sig_kfold,
   CASE WHEN p_groupkfold < 0.05 THEN '**' ELSE 'n.s.' END AS sig_groupkfold FROM (""" + _pair_sql({
-    "kfold": _raw(sql_permuted(_src("y_label"), X), 5, "y_label"),
-    "groupkfold": _raw(sql_permuted(_src("y_label", GROUP_FOLDED), X), 5, "y_label")}, "y_label") + ")")
+    "kfold": _raw(_src("y_label"), X, "y_label", N_PERM_GROUPED),
+    "groupkfold": _raw(_src("y_label", GROUP_FOLDED), X, "y_label", N_PERM_GROUPED)}, "y_label") + ")")
 def kfold_vs_group(spark, sf):
-    return rounded(st.compare_folds(records(spark, sf), "id", ["y_label"], X, "source", N_PERM, K, SEED))
+    return rounded(st.compare_folds(records(spark, sf), "id", ["y_label"], X, "source", N_PERM_GROUPED, K, SEED))
 
 
 STAGES = {1: ("demographics", tuple(X[:1])), 2: ("demographics+classical", tuple(X[:3])),
@@ -249,7 +259,7 @@ STAGES = {1: ("demographics", tuple(X[:1])), 2: ("demographics+classical", tuple
 
 @query("g21_nested_stages", f"""SELECT outcome, stage, n_features, feature_set, round(raw + 1e-9, 6) + 0.0 AS r_obs, p_value,
   round(raw - lag(raw) OVER (ORDER BY stage) + 1e-9, 6) + 0.0 AS delta_r_from_prev FROM (""" + _union_all(
-    f"SELECT {s} AS stage, '{n}' AS feature_set, t.* FROM ({_raw(sql_permuted(_src('y_label'), list(f)), len(f), 'y_label')}) t"
+    f"SELECT {s} AS stage, '{n}' AS feature_set, t.* FROM ({_raw(_src('y_label'), list(f), 'y_label')}) t"
     for s, (n, f) in STAGES.items()) + ")")
 def nested_stages(spark, sf):
     return rounded(st.nested_stages(records(spark, sf), "id", ["y_label"], STAGES, N_PERM, K, SEED))
@@ -277,7 +287,8 @@ from . import ORACLES  # noqa: E402
 
 ORACLES["g22_d7_stage_metrics"] = _fix_stage_sql(ORACLES["g22_d7_stage_metrics"])
 
-N_BOOT = 40
+N_BOOT = 500
+N_PAIRED = 5000
 
 
 def sql_draws(n_rep: int, n: str = "(SELECT count(*) FROM base)") -> str:
@@ -286,15 +297,15 @@ def sql_draws(n_rep: int, n: str = "(SELECT count(*) FROM base)") -> str:
 
 
 @query("g16_g23_stage_paired_test", f"""WITH base AS (SELECT a.pos, (a.yhat - a.y) ** 2 AS s1, (b.yhat - b.y) ** 2 AS s2
-    FROM ({_stage_sql(2)}) a JOIN ({_stage_sql(3)}) b USING (pos)), {sql_draws(N_BOOT)},
+    FROM ({_stage_sql(2)}) a JOIN ({_stage_sql(3)}) b USING (pos)), {sql_draws(N_PAIRED)},
   m AS (SELECT rep, avg(s1 - s2) AS m FROM dr JOIN base USING (pos) GROUP BY 1),
-  q AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, (count(*) FILTER (m <= 0) + 1) / {N_BOOT + 1} AS pl,
-        (count(*) FILTER (m >= 0) + 1) / {N_BOOT + 1} AS pr FROM m)
+  q AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, (count(*) FILTER (m <= 0) + 1) / {N_PAIRED + 1} AS pl,
+        (count(*) FILTER (m >= 0) + 1) / {N_PAIRED + 1} AS pr FROM m)
   SELECT count(*) AS "N", {r('sqrt(avg(s1))', '"RMSE_stage2"')}, {r('sqrt(avg(s2))', '"RMSE_stage3"')}, {r('avg(s1 - s2)', 'mean_diff')},
   {r('any_value(lo)', 'ci_lo')}, {r('any_value(hi)', 'ci_hi')}, {r('least(1.0, 2 * least(any_value(pl), any_value(pr)))', 'p_boot')},
   {r('sqrt(avg(s2)) - sqrt(avg(s1))', '"dRMSE_2to3"')} FROM base, q""")
 def stage_paired(spark, sf):
-    return rounded(st.stage_paired_test(records(spark, sf), "id", "y_label", STAGES, n_boot=N_BOOT, k=K, seed=SEED, group="source")).drop("p_wilcoxon")
+    return rounded(st.stage_paired_test(records(spark, sf), "id", "y_label", STAGES, n_boot=N_PAIRED, k=K, seed=SEED, group="source")).drop("p_wilcoxon")
 
 
 @query("g31_alpha_sensitivity", _union_all(
@@ -315,7 +326,7 @@ def sets_by_aggregation(spark, sf):
 
 
 # --- full-data coefficients ---------------------------------------------------------
-VX = [f"v{i:02d}" for i in range(1, 20)]
+VX = [f"v{i:02d}" for i in range(1, 65)]  # the whole vector
 VEC = "SELECT vec_id::VARCHAR AS id, " + ", ".join(f"embedding[{i}]::DOUBLE AS {v}" for i, v in enumerate(VX, 1)) + ", label::DOUBLE AS y FROM embeddings"
 
 
@@ -347,10 +358,10 @@ def _coef_sql(src, xs, n_perm):
 _POSED = lambda src: f"SELECT *, {POS} AS pos FROM ({src})"
 
 
-@query("g6_g13_coefficient_test_19", _coef_sql(_POSED(VEC), VX, 30))
+@query("g6_g13_coefficient_test_64", _coef_sql(_POSED(VEC), VX, N_PERM))
 def coefficient_test(spark, sf):
     t = st.record_table(vectors(spark, sf), "id", VX, ["y"], K, SEED)
-    return rounded(rs.coefficient_test(t, VX, "y", "id", n_perm=30, seed=SEED))
+    return rounded(rs.coefficient_test(t, VX, "y", "id", n_perm=N_PERM, seed=SEED))
 
 
 @query("g4_g5_g13_coefficient_test_missing", _coef_sql(
@@ -399,13 +410,13 @@ def bootstrap_stability(spark, sf):
 @query("g15_bootstrap_stability_chosen_alpha")
 def bootstrap_stability_alpha(spark, sf):
     t = st.record_table(records(spark, sf), "id", X, ["y_label"], K, SEED)
-    return rounded(rs.bootstrap_stability(rs.bootstrap_coefficients(t, X, "y_label", None, 20, SEED), 2))
+    return rounded(rs.bootstrap_stability(rs.bootstrap_coefficients(t, X, "y_label", None, N_BOOT, SEED), 2))
 
 
 @query("e26_alpha_distribution")
 def alpha_distribution(spark, sf):
     t = st.record_table(records(spark, sf), "id", X, ["y_label"], K, SEED)
-    return rounded(rs.alpha_distribution(rs.bootstrap_coefficients(t, X, "y_label", None, 20, SEED)))
+    return rounded(rs.alpha_distribution(rs.bootstrap_coefficients(t, X, "y_label", None, N_BOOT, SEED)))
 
 
 @query("g10_alpha_selection")

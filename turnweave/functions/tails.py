@@ -64,19 +64,23 @@ def signed_rank_exact(w: float, n: int) -> float:
 
 
 def rank_sum_exact(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact Mann-Whitney p for the larger U."""
-    small, large = min(n1, n2), max(n1, n2)
-    # ways[k][s]: choose k of the ranks seen so far with rank sum s
-    top = small * (small + large) + 1
-    ways = np.zeros((small + 1, top))
-    ways[0, 0] = 1.0
-    for rank in range(1, small + large + 1):
-        for k in range(min(small, rank), 0, -1):
-            ways[k, rank:] += ways[k - 1, : top - rank]
-    dist = ways[small, small * (small + 1) // 2:]
-    dist = dist[: small * large + 1] / dist[: small * large + 1].sum()
-    u = max(u, n1 * n2 - u)
-    return float(min(1.0, 2.0 * dist[int(math.ceil(u)):].sum()))
+    """Two-sided exact Mann-Whitney p of either group's U.
+
+    The counts of U are the coefficients of prod (1 - x^(n+i)) / (1 - x^i),
+    i = 1..m, with m the smaller and n the larger group. The lower tail needs
+    them up to the smaller U only: m passes of running sums over that many.
+    """
+    m, n = min(n1, n2), max(n1, n2)
+    top = int(math.floor(min(u, n1 * n2 - u)))
+    ways = np.zeros(top + 1)
+    ways[0] = 1.0
+    for i in range(1, m + 1):
+        for first in range(min(i, top + 1)):
+            np.cumsum(ways[first::i], out=ways[first::i])
+    for i in range(1, m + 1):
+        if n + i <= top:
+            ways[n + i:] -= ways[:top + 1 - n - i].copy()
+    return float(min(1.0, 2.0 * ways.sum() / math.comb(n1 + n2, m)))
 
 
 @F.pandas_udf(DoubleType())
@@ -99,7 +103,7 @@ def mann_whitney_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series)
         if pd.isna(uv) or a < 1 or b < 1:
             return None
         a, b, n = int(a), int(b), int(a + b)
-        if min(a, b) <= 8 and t == 0 and n <= 2000:
+        if min(a, b) <= 8 and t == 0:
             return rank_sum_exact(uv, a, b)
         var = a * b / 12.0 * ((n + 1) - t / (n * (n - 1.0)))
         if var <= 0:

@@ -7,17 +7,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
+from . import columns as cl
 from . import skew
 from .features import CATEGORY_ORDER
 
 
 def _numeric(df: DataFrame, features: list[str]) -> DataFrame:
-    return df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features])
+    return df.select(*[cl.to_number(f) for f in features])
 
 
 def long_features(df: DataFrame, features: list[str], keep: list[str] = ()) -> DataFrame:
     """One row per (record, feature)."""
-    return df.unpivot(list(keep), [F.col(f"`{f}`").cast("double").alias(f) for f in features], "feature", "value")
+    return df.unpivot(list(keep), [cl.to_number(f) for f in features], "feature", "value")
 
 
 def describe(df: DataFrame, features: list[str], exact_in_task: int = skew.ROWS_PER_TASK) -> DataFrame:

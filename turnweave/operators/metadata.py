@@ -157,21 +157,23 @@ def person_records(meta: DataFrame, order: str = CONV) -> DataFrame:
 
 
 def overlap_detail(meta: DataFrame, order: str = CONV) -> DataFrame:
-    """Persons with two or more records."""
-    return person_records(meta, order).filter(F.col("n_records") >= 2)
+    """Persons with two or more records; records without a person belong to none."""
+    return person_records(meta.filter("person_id IS NOT NULL"), order).filter(F.col("n_records") >= 2)
 
 
 def overlap_summary(meta: DataFrame, order: str = CONV) -> DataFrame:
-    n = F.col("n_records")
+    """Counts of persons and their records. Records without a person count in
+    the total, but are no speaker."""
+    n, known = F.col("n_records"), F.col("person_id").isNotNull()
     has_gender = "gender" in meta.columns
     gender = F.min_by("gender", F.when(F.col("gender").isNotNull(), F.col(order))) if has_gender else F.lit(None)
     per = meta.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_records"), gender.alias("gender"))
     cols = [
         F.sum(n).alias("total_records"),
-        F.count(F.lit(1)).alias("unique_speakers"),
-        F.count_if(n >= 2).alias("duplicate_speakers"),
-        F.coalesce(F.sum(F.when(n >= 2, n)), F.lit(0)).alias("duplicate_records"),
+        F.count_if(known).alias("unique_speakers"),
+        F.count_if(known & (n >= 2)).alias("duplicate_speakers"),
+        F.coalesce(F.sum(F.when(known & (n >= 2), n)), F.lit(0)).alias("duplicate_records"),
     ]
     if has_gender:
-        cols += [F.count_if(F.col("gender") == g).alias(f"gender_{g}") for g in ("F", "M")]
+        cols += [F.count_if(known & (F.col("gender") == g)).alias(f"gender_{g}") for g in ("F", "M")]
     return per.agg(*cols)

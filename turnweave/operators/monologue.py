@@ -9,14 +9,15 @@ from ..runtime import materialize
 from .turns import CONV, KEYS, SPK, conform_utterances, restrict_pairs
 
 
-def build_monologues(utterances: DataFrame, pairs: DataFrame) -> DataFrame:
-    """n_utt, n_chars and the newline-joined text of each target record.
+def build_monologues(utterances: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """n_utt, n_chars and the newline-joined text of each target record (all without `pairs`).
 
     The result holds one record's text in one cell by definition, so a record
     is bounded by Spark's 2 GB cell; `monologue_lines` is the long form without
     that bound.
     """
-    utt = restrict_pairs(conform_utterances(utterances), pairs)
+    utt = conform_utterances(utterances)
+    utt = utt if pairs is None else restrict_pairs(utt, pairs)
     turn = F.struct(
         F.col("start_time").isNull().alias("a"), F.col("start_time").alias("b"),
         F.col("end_time").isNull().alias("c"), F.col("end_time").alias("d"),

@@ -63,7 +63,8 @@ def tie_term() -> Column:
 
 
 def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str, first: str, second: str) -> DataFrame:
-    """U of the first group, group sizes and two-sided p per key."""
+    """U of the first group, group sizes and two-sided p per key; U and p are
+    NULL where a group is empty."""
     d, keys = _keyed(df.filter(F.col(group).isin(first, second)), keys)
     d = materialize(d.select(*keys, value, group))  # read by counts and by cut points
     per = value_ranks(d, keys, value, {"c1": F.count_if(F.col(group) == first)})
@@ -72,16 +73,17 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str, first:
         F.sum("c1").alias("n1"),
         F.sum(F.col("c") - F.col("c1")).alias("n2"),
         tie_term().alias("ties"),
-    ).filter((F.col("n1") > 0) & (F.col("n2") > 0))
+    )
+    both = (F.col("n1") > 0) & (F.col("n2") > 0)
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
-    return g.select(*keys, "n1", "n2", u.alias("u"), "ties").withColumn(
+    return g.select(*keys, "n1", "n2", F.when(both, u).alias("u"), "ties").withColumn(
         "p_value", tails.mann_whitney_p("u", "n1", "n2", "ties")
     ).drop(WHOLE)
 
 
 def correlations(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Pearson and Spearman with p per key, over rows where both are present
-    and at least three of them."""
+    """Pearson and Spearman with p per key, over rows where both are present;
+    all NULL for keys with fewer than three of them."""
     d, keys = _keyed(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), keys)
     d = materialize(d.select(*keys, x, y))  # read by both rankings and the moments
     cells = d.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("m"))
@@ -100,15 +102,17 @@ def correlations(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
     spear = j.groupBy(*keys).agg(moments("rx", "ry").alias("rho"))
     pear = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(F.col(x), F.col(y)).alias("r"))
-    both = pear.join(_small(spear, keys), keys).filter(F.col("n") >= 3)
-    return both.select(
+    both = pear.join(_small(spear, keys), keys)
+    enough = lambda c: F.when(F.col("n") >= 3, F.col(c)).alias(c)
+    return both.select(*keys, "n", enough("r"), enough("rho")).select(
         *keys, "n", "r", tails.correlation_p("r", "n").alias("r_p"),
         "rho", tails.correlation_p("rho", "n").alias("rho_p"),
     ).drop(WHOLE)
 
 
 def wilcoxon(df: DataFrame, keys: list[str], diff: str) -> DataFrame:
-    """Signed-rank test of paired differences per key; zeros are dropped."""
+    """Signed-rank test of paired differences per key; zeros are dropped. A key
+    of zeros only has n = 0 and a NULL p."""
     d, keys = _keyed(df.filter(F.col(diff).isNotNull()), keys)
     d = materialize(d.select(*keys, diff, F.abs(diff).alias("_abs")))
     zeros = d.groupBy(*keys).agg(F.count_if(F.col("_abs") == 0).alias("zeros"))
@@ -119,7 +123,7 @@ def wilcoxon(df: DataFrame, keys: list[str], diff: str) -> DataFrame:
         F.sum("c").alias("n"),
         F.sum(F.pow(F.col("c").cast("double"), 3) - F.col("c")).alias("ties"),
     )
-    j = g.join(_small(zeros, keys), keys)
+    j = zeros.join(_small(g, keys), keys, "left").na.fill(0, ["w_plus", "w_minus", "n", "ties"])
     return j.withColumn("w", F.least("w_plus", "w_minus")).withColumn(
         "p_value", tails.signed_rank_p("w", "n", "ties", "zeros")
     ).drop(WHOLE)

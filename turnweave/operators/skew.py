@@ -18,36 +18,30 @@ from ..runtime import materialize
 
 # Rows of one key a single task is trusted to sort (spilling to disk).
 ROWS_PER_TASK = 2_000_000
-# At most this many keys are split. The largest are taken, so every key left
-# whole holds less than 1/MAX_HOT of all rows.
-MAX_HOT = 1000
 # Pieces per hot key, and the step of the two-level search among their cuts.
 CUTS = 256
 STEP = 16
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> list:
-    """(key..., n) above `rows_per_task` rows, largest first, at most MAX_HOT.
+def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(key..., n) of every key above `rows_per_task` rows, as a written table.
 
-    The count is combined map-side and reads only the key columns; the driver
-    receives at most MAX_HOT rows.
+    The count is combined map-side and reads only the key columns. There are
+    at most rows / rows_per_task such keys.
     """
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > rows_per_task)
-        .orderBy(F.desc("n"), *keys)
-        .limit(MAX_HOT)
-        .collect()
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return materialize(counts.filter(F.col("n") > rows_per_task))
+
+
+# Most rows of a key table that is sent to every task.
+BROADCAST_ROWS = 1_000_000
 
 
-def key_in(keys: list[str], hot: list) -> Column:
-    """Literal membership test, pushed down to the scan when possible."""
-    if len(keys) == 1:
-        return F.coalesce(F.col(keys[0]).isin([r[0] for r in hot]), F.lit(False))
-    rows = [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(r[k]) for k in keys]) for r in hot]
-    return reduce(lambda a, b: a | b, rows, F.lit(False))
+def split_on(df: DataFrame, keys: list[str], hot: DataFrame, n_hot: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of other keys, rows of the hot keys); NULL keys are other keys."""
+    side = hot.select(*keys)
+    side = F.broadcast(side) if n_hot <= BROADCAST_ROWS else side
+    return df.join(side, keys, "left_anti"), df.join(side, keys, "left_semi")
 
 
 def cut_points(value: Column) -> Column:
@@ -79,7 +73,7 @@ def order_chunks(df: DataFrame, keys: list[str], order: list[Column], pieces: in
 
 
 def pieces_for(rows: int, rows_per_task: int) -> int:
-    return max(2, min(10_000, -(-rows // max(rows_per_task, 1))))
+    return max(2, -(-rows // max(rows_per_task, 1)))
 
 
 # Largest table handed to every task, in bytes of its numbers.
@@ -97,7 +91,7 @@ def spread_rows(df: DataFrame, rows: int, copies: int) -> DataFrame:
     """Partition rows that are about to be copied, about a million copies per
     task, so that a small table does not grow inside one task."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(1, min(rows, max(cores, min(10_000, rows * copies // 1_000_000)))))
+    return df.repartition(max(1, min(rows, max(cores, rows * copies // 1_000_000))))
 
 
 def positions(
@@ -132,11 +126,11 @@ def positions(
 
 
 def hash_positions(df: DataFrame, key: Column, ties: list[str], out: str = "pos") -> DataFrame:
-    """Global position in md5 order; 256 even chunks by the first two digits."""
+    """Global position in md5 order; 65,536 even chunks by the first four digits."""
     return positions(
         df.withColumn("_key", key),
         [F.col("_key"), *[F.col(t) for t in ties]],
-        F.substring("_key", 1, 2),
+        F.substring("_key", 1, 4),
         out=out,
     ).drop("_key")
 

@@ -127,11 +127,11 @@ def split_hot(utt: DataFrame, job, rows_per_task: int) -> DataFrame:
     """Run `job(rows, 0)` on the normal conversations and, if any exist,
     `job(rows, pieces)` on the hot ones, and put the results together."""
     hot = skew.hot_keys(utt, [CONV], rows_per_task)
-    if not hot:
+    size = hot.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows")).first()
+    if not size["keys"]:
         return job(utt, 0)
-    is_hot = skew.key_in([CONV], hot)
-    pieces = skew.pieces_for(sum(r["n"] for r in hot), rows_per_task)
-    return job(utt.filter(~is_hot), 0).unionByName(job(utt.filter(is_hot), pieces))
+    normal, crowded = skew.split_on(utt, [CONV], hot, size["keys"])
+    return job(normal, 0).unionByName(job(crowded, skew.pieces_for(size["rows"], rows_per_task)))
 
 
 def own_pauses(utt: DataFrame, gap_tol: float = 0.05, rows_per_task: int = skew.ROWS_PER_TASK) -> DataFrame:

@@ -373,7 +373,9 @@ def specificity(report: DataFrame, target: str, control: str, threshold: float =
     """Largest |change| of the target feature against the control feature."""
     big = lambda f: F.coalesce(F.max(F.when(F.col("target_feature") == f, F.abs("delta_r_vs_baseline"))), F.lit(0.0))
     g = report.agg(big(target).alias("target_max_delta"), big(control).alias("control_max_delta"))
-    return g.withColumn("specific", (F.col("target_max_delta") - F.col("control_max_delta")) > threshold)
+    g = g.withColumn("specific", (F.col("target_max_delta") - F.col("control_max_delta")) > threshold)
+    return g.withColumn("judgment", F.when(F.col("specific"), F.lit(f"the effect is specific to {target}"))
+                        .otherwise(F.lit(f"no effect specific to {target}")))
 
 
 def direction_consistency(scores: DataFrame, by: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import columns as cl
 from ..operators import folds as fo
 from ..operators import ranks as rk
 from ..operators import resampling as rs
@@ -72,9 +73,10 @@ def permutation_study(df: DataFrame, id_col: str, specs: list[Spec], n_perm: int
                       seed: int = 42, group: str | None = None, aggregate: str = "r_foldmean") -> DataFrame:
     """Observed r and permutation p per spec. Outcomes without missing values
     run together; an outcome with missing values drops its own rows only."""
-    _, outs = _union(specs)
-    counts = df.agg(F.count(F.lit(1)).alias("n"), *[
-        F.count(F.when(~F.isnan(F.col(f"`{o}`").cast("double")), 1)).alias(f"c{i}") for i, o in enumerate(outs)]).first()
+    feats, outs = _union(specs)
+    # Read by the count and by every batch; bad and infinite values are missing.
+    df = materialize(df.select(*dict.fromkeys([id_col, *([group] if group else [])]), *[cl.to_number(c) for c in [*feats, *outs]]))
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"`{o}`").alias(f"c{i}") for i, o in enumerate(outs)]).first()
     whole = [o for i, o in enumerate(outs) if counts[f"c{i}"] == counts["n"]]
     batches = ([whole] if whole else []) + [[o] for o in outs if o not in whole]
     results = []
