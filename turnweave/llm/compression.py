@@ -114,41 +114,58 @@ def _ratios(text: bytes, bands: Bands, packer) -> tuple[float, int, float, str |
     return whole, len(chunks), share, reason or ("bad chunks" if share > bands.max_bad_share else None)
 
 
+def _judged(batch: pa.RecordBatch, bands: Bands, packer, symbol: np.ndarray) -> list[pa.Array]:
+    """All columns of `RESULT` after doc_id."""
+    buf, off = tb.raw(batch.column("text"))
+    start, end, first = tb.word_spans(buf, off, tb.NOT_SPACE)
+    words = tb.word_array(buf, start, end).dictionary_encode()
+    codes = words.indices.to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, np.int64)
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(mask)])[off])
+
+    n_words, repeat = np.diff(first), _repeat_words(codes, first)
+    chars = count(((buf & 0xC0) != 0x80) & tb.NOT_SPACE[buf])
+    symbols = count(symbol[buf])
+    data, rows = buf.tobytes(), []
+    for i in range(len(off) - 1):
+        text = data[off[i]:off[i + 1]]
+        rows.append((len(text), *_ratios(text, bands, packer), _dup_lines(text)) if text else (0, None, 0, 0.0, None, 0))
+    n_bytes, ratio, n_chunks, share, reason, dup = map(list, zip(*rows))
+    failed = (n_words < 10) | (100 * repeat > 20 * n_words)
+    good = ~failed & np.array([r is None for r in reason])
+    why = ["base rules" if f else r for f, r in zip(failed, reason)]
+    return [
+        pa.array(n_words), pa.array(chars), pa.array(symbols), pa.array(dup, pa.int64()), pa.array(repeat), pa.array(failed), pa.array(good),
+        pa.array(n_bytes, pa.int64()), pa.array(ratio, pa.float64()), pa.array(n_chunks, pa.int32()), pa.array(share, pa.float64()), pa.array(why, pa.string()),
+    ]
+
+
+def _tools(bands: Bands) -> tuple:
+    symbol = np.zeros(256, bool)
+    symbol[list(SYMBOLS)] = True
+    return zstandard.ZstdCompressor(level=bands.level), symbol
+
+
 def judge(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """One row per document: base counts, compression figures and the verdict (`RESULT`)."""
+    names = [c.split()[0] for c in RESULT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=bands.level)
-        symbol = np.zeros(256, bool)
-        symbol[list(SYMBOLS)] = True
+        tools = _tools(bands)
         for batch in tb.pieces(batches, "text"):
-            buf, off = tb.raw(batch.column("text"))
-            start, end, first = tb.word_spans(buf, off, tb.NOT_SPACE)
-            words = tb.word_array(buf, start, end).dictionary_encode()
-            codes = words.indices.to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, np.int64)
-
-            def count(mask: np.ndarray) -> np.ndarray:
-                return np.diff(np.concatenate([[0], np.cumsum(mask)])[off])
-
-            n_words, repeat = np.diff(first), _repeat_words(codes, first)
-            chars = count(((buf & 0xC0) != 0x80) & tb.NOT_SPACE[buf])
-            symbols = count(symbol[buf])
-            data, rows = buf.tobytes(), []
-            for i in range(len(off) - 1):
-                text = data[off[i]:off[i + 1]]
-                if text:
-                    rows.append((len(text), *_ratios(text, bands, packer), _dup_lines(text)))
-                else:
-                    rows.append((0, None, 0, 0.0, None, 0))
-            n_bytes, ratio, n_chunks, share, reason, dup = map(list, zip(*rows))
-            failed = (n_words < 10) | (100 * repeat > 20 * n_words)
-            good = ~failed & np.array([r is None for r in reason])
-            why = ["base rules" if f else r for f, r in zip(failed, reason)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(n_words), pa.array(chars), pa.array(symbols),
-                pa.array(dup, pa.int64()), pa.array(repeat), pa.array(failed), pa.array(good),
-                pa.array(n_bytes, pa.int64()), pa.array(ratio, pa.float64()), pa.array(n_chunks, pa.int32()),
-                pa.array(share, pa.float64()), pa.array(why, pa.string()),
-            ], names=[c.split()[0] for c in RESULT.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_judged(batch, bands, *tools)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)
+
+
+def keep(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
+    """The documents that the rules keep, with all their columns."""
+    at = RESULT.split(", ").index("kept boolean") - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = _tools(bands)
+        for batch in tb.pieces(batches, "text"):
+            yield batch.filter(_judged(batch, bands, *tools)[at])
+
+    return docs.mapInArrow(run, docs.schema)

@@ -38,7 +38,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
@@ -51,7 +51,7 @@ GOLAY = 0b110001110101
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and `fp`, the 64-bit fingerprint as a long."""
+    """doc_id, `hash` (of the text, to tell rows apart) and `fp`, the 64-bit fingerprint as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -65,9 +65,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 else:
                     hashes = [digest(b" ".join(words), 42)] if words else []
                 out.append(_majority(np.array(hashes, np.uint64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(out, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            fp = pa.array(np.array(out, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), fp], names=["doc_id", "hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, fp long")
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -252,11 +253,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 2) -> DataFrame:
-    """doc_id, fp, component_id (smallest reachable doc_id) and is_first (that row itself)."""
+    """doc_id, hash, fp, root (of the fingerprint's component) and component_id, the smallest doc_id reachable."""
     prints = materialize(fingerprints(docs))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     root = components(link_edges(distinct.select("fp"), threshold))
     owner = materialize(distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"))
     best = owner.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = owner.join(best, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = owner.join(best, "root").select("fp", "root", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "hash", "fp", "root", "component_id")
+
+
+def first_of_groups(docs: DataFrame, threshold: int = 2) -> DataFrame:
+    """Of every component the document with the smallest doc_id, with all its columns.
+
+    Where that doc_id has several rows in the component, the row with the smallest text hash stays, once.
+    """
+    found = near_duplicates(docs, threshold).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    winners = found.groupBy("root").agg(F.min(F.struct("hash", "doc_id")).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.hash").alias("_hash"))
+    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_hash": F.xxhash64("text")})
+    kept = keyed.join(winners.select(F.coalesce("_id", F.lit(-(1 << 63))).alias("_key"), "_hash"), ["_key", "_hash"], "left_semi")
+    same = Window.partitionBy("_key", "_hash").orderBy("_key")
+    return kept.withColumn("_n", F.row_number().over(same)).filter("_n = 1").select(docs.columns)

@@ -37,6 +37,7 @@ class Mil:
     span: int = 32
     max_docs: int = 12_000
     epochs: int = 20
+    min_steps: int = 900
     batch: int = 256
     rate: float = 0.05
     l1: float = 0.2
@@ -112,7 +113,8 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], spec: Mil) -> Model:
         seen[np.unique(f)] += 1
     common = seen >= spec.min_docs
     bags = [(y, f[common[f]], s[common[f]]) for y, f, s in bags]
-    for _ in range(spec.epochs):
+    # A small sample is gone through more often.
+    for _ in range(max(spec.epochs, spec.min_steps * spec.batch // len(bags))):
         shuffled = order.permutation(len(bags))
         for at in range(0, len(bags), spec.batch):
             part = [bags[i] for i in shuffled[at:at + spec.batch] if len(bags[i][1])]

@@ -45,7 +45,7 @@ class Winnow:
     broadcast_rows: int = 500_000
 
 
-_HIT = "row long, id long, n_words long, k int, fp long, need int, left string, right string, pos int"
+_HIT = "row long, id long, hash long, n_words long, k int, fp long, need int, left string, right string, pos int"
 
 
 def _gram_hashes(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,21 +105,21 @@ def _fingerprints(table: DataFrame, key: str, short: list[int], spec: Winnow, bi
                     top = g[at] >> np.uint64(64 - spec.filter_bits)
                     at = at[(bits[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8)) & 1 == 1]
                 found += [(int(doc_of[p]), k, need, int(g[p].view(np.int64)), int(p)) for p in at]
-            ids, rows = batch.column("id").to_pylist(), batch.column("row").to_pylist()
+            ids, rows, hashes = (batch.column(c).to_pylist() for c in ("id", "row", "hash"))
             data = buf.tobytes()
 
             def words(a: int, b: int) -> str:
                 return b" ".join(data[start[i]:end[i]] for i in range(a, b)).decode("utf-8", "replace")
 
-            out = [(rows[i], ids[i], int(count[i]), None, None, None, None, None, None) for i in range(len(ids))] if header else []
+            out = [(rows[i], ids[i], hashes[i], int(count[i]), None, None, None, None, None, None) for i in range(len(ids))] if header else []
             for doc, k, need, fp, p in found:
-                out.append((rows[doc], ids[doc], int(count[doc]), k, fp, need,
+                out.append((rows[doc], ids[doc], hashes[doc], int(count[doc]), k, fp, need,
                             words(max(p - (need - k), first[doc]), p), words(p, min(p + need, first[doc + 1])), p - int(first[doc])))
-            columns = list(zip(*out)) if out else [[]] * 9
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+            columns = list(zip(*out)) if out else [[]] * 10
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in _HIT.split(", ")])
 
-    source = table.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), "text")
+    source = table.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
     return source.mapInArrow(run, _HIT)
 
 
@@ -165,7 +165,7 @@ def find(docs: DataFrame, benchmark: DataFrame, spec: Winnow = Winnow()) -> tupl
     })
     spans = hits.filter((F.col("after") >= F.col("k")) & (F.col("before") + F.col("after") >= F.col("need"))).select(
         "row", "item_id", (F.col("pos") - F.col("before")).alias("begin"), (F.col("pos") + F.col("after")).alias("finish"))
-    return scanned.filter("fp IS NULL").select("row", "id", "n_words"), spans
+    return scanned.filter("fp IS NULL").select("row", "id", "hash", "n_words"), spans
 
 
 def _length_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,5 +192,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spec: Winnow = Winnow()
     return headers.join(hit, "row", "left").select(
         F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), "row",
+        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), "row", "hash",
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, spec: Winnow = Winnow(), share: int = 20) -> DataFrame:
+    """The documents that are not contaminated, with all their columns."""
+    lowest = F.lit(-(1 << 63)).cast("long")
+    bad = contamination(docs, benchmark, spec, share).filter("contaminated").select(F.coalesce("doc_id", lowest).alias("_key"), F.col("hash").alias("_hash")).distinct()
+    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), lowest), "_hash": F.xxhash64("text")})
+    return keyed.join(bad, ["_key", "_hash"], "left_anti").select(docs.columns)
