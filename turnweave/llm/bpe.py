@@ -16,6 +16,7 @@ rows give repeated rows. Extra columns are dropped, an empty table stays empty.
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -103,7 +104,9 @@ def word_splitter(special: tuple[str, ...] = ()) -> wb.Splitter:
     return split
 
 
+@lru_cache(maxsize=2)
 def _load(spec: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(spec)
@@ -122,38 +125,48 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, spec: str, block_bytes: int = wb.BLOCK_BYTES) -> DataFrame:
-    """doc_id and `tokens`, the ids of the whole text, one row per document row."""
-    share = docs.sparkSession.sparkContext.broadcast(spec)
+def encode(docs: DataFrame, spec: str, block_bytes: int = wb.BLOCK_BYTES, packed: bool = False) -> DataFrame:
+    """doc_id and `tokens`, the ids of the whole text, one row per document row.
+
+    Tokens are an array of ints or, `packed`, the ids as little-endian unsigned 32-bit integers.
+    """
+    spark = docs.sparkSession
+    share = spark.sparkContext.broadcast(spec)
     splitter = word_splitter(_special(spec))
+    tasks = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _load(share.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 5_000):
-                part = batch.slice(at, 5_000)
-                ids = [e.ids for e in tokenizer.encode_batch(part.column("word").to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column("at"), pa.array(ids, pa.list_(pa.int32()))], names=["at", "ids"])
+    def answer(words: pa.Array) -> pa.ListArray:
+        ids = [e.ids for e in _load(share.value).encode_batch(words.to_pylist(), add_special_tokens=False)]
+        return pa.array(ids, pa.list_(pa.int32()))
 
     def fold(answers: pa.Table, ids: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> pa.Table:
-        lists = answers.column("ids").combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.chunk(0)
-        off, flat = tb.offsets(lists), np.asarray(lists.values)
-        length = np.diff(off)[index]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        take = np.repeat(off[index] - ends[:-1], length) + np.arange(ends[-1])
-        first = ends[np.concatenate([[0], np.cumsum(sizes)])]
-        tokens = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat[take], pa.int32()))
+        columns = [[wb.unpack(x) for x in answers.column(c).to_pylist()] for c in ("idx", "sizes", "numbers")]
+        place = np.concatenate([np.cumsum(x) for x in columns[0]] or [np.zeros(0, np.int64)])
+        wb.check_places(index, len(place))
+        size, flat = np.concatenate(columns[1] or [place]), np.concatenate(columns[2] or [place]).astype(np.int32)
+        off = np.concatenate([[0], np.cumsum(size)])
+        # Into index order: the list of index i is number at[i].
+        at = np.empty(len(place), np.int64)
+        at[place] = np.arange(len(place))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        tokens, counts = [], []
+        step = max(len(sizes) * 200_000 // max(len(index), 1), 1)  # texts of about so many words at a time
+        for first in range(0, len(sizes), step):
+            last = min(first + step, len(sizes))
+            here = at[index[ends[first]:ends[last]]]
+            tokens.append(wb.gather(flat, off, here))
+            n = np.concatenate([[0], np.cumsum(size[here])])
+            counts.append(np.diff(n[ends[first:last + 1] - ends[first]]))
+        cut = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        flat = np.concatenate(tokens).astype("<u4" if packed else np.int32)
+        if packed:
+            tokens = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((4 * cut).astype(np.int32)), pa.py_buffer(flat)])
+        else:
+            tokens = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat))
         return pa.table({"doc_id": pa.array(ids), "tokens": tokens})
 
-    table = (  # a word has at most one place per block
-        wb.words_of(docs, splitter, block_bytes=block_bytes)
-        .groupBy("word").agg(F.collect_list(F.struct("block", "idx")).alias("at"))
-    )
-    answers = table.select("word", "at").mapInArrow(encode_words, "at array<struct<block:long,idx:int>>, ids array<int>")
-    answers = answers.select(F.explode("at").alias("at"), "ids").select("at.block", "at.idx", "ids")
-    joined = wb.join_back(answers, wb.sequences_of(docs, splitter, block_bytes), "doc_id long, tokens array<int>", fold)
+    answers = wb.lookup(wb.requests_of(docs, splitter, tasks, block_bytes), tasks, answer)
+    joined = wb.join_back(answers, wb.sequences_of(docs, splitter, block_bytes), f"doc_id long, tokens {'binary' if packed else 'array<int>'}", fold)
     return joined.select(wb.real_id().alias("doc_id"), "tokens")
 
 
@@ -174,7 +187,7 @@ def _pieces(spec: str) -> pa.Array:
 
 
 def decode(encoded: DataFrame, spec: str, tokens: str = "tokens") -> DataFrame:
-    """The same rows with `decoded`: the pieces of the ids, joined (invalid UTF-8 becomes U+FFFD)."""
+    """The same rows with `decoded`: the pieces of the ids (an array or packed), joined; invalid UTF-8 becomes U+FFFD."""
     share = encoded.sparkSession.sparkContext.broadcast(spec)
     names = encoded.columns
     schema = encoded.withColumn("decoded", F.lit("")).schema
@@ -183,10 +196,19 @@ def decode(encoded: DataFrame, spec: str, tokens: str = "tokens") -> DataFrame:
         table = _pieces(share.value)
         for batch in batches:
             lists = batch.column(names.index(tokens))
-            off, flat = tb.offsets(lists), np.asarray(lists.values)
-            texts = []
-            for a, b in zip(off[:-1], off[1:]):
-                texts.append(b"".join(table.take(pa.array(flat[a:b])).to_pylist()).decode("utf-8", "replace") if b > a else "")
+            off = tb.offsets(lists)
+            if pa.types.is_binary(lists.type):
+                flat, off = np.frombuffer(tb.raw_bytes(lists), "<u4"), (off - off[0]) // 4
+            else:
+                flat = np.asarray(lists.values)
+            texts, first = [], 0
+            while first < len(off) - 1:  # rows of about a million ids at a time
+                last = max(int(np.searchsorted(off, off[first] + (1 << 20), side="right")) - 1, first + 1)
+                pieces = table.take(pa.array(flat[off[first]:off[last]]))
+                ends = tb.offsets(pieces)
+                data, cut = tb.raw_bytes(pieces), ends[off[first:last + 1] - off[first]] - ends[0]
+                texts += [data[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:])]
+                first = last
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     return encoded.mapInArrow(run, schema)

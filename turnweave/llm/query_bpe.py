@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 
 from . import bpe
 from .queries import query, table
@@ -9,29 +10,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def digest(decoded):
-    """doc_id, n_tokens and the digests of ids and decoded text."""
-    import hashlib
-
-    import numpy as np
-    import pyarrow as pa
-
-    def run(batches):
-        for b in batches:
-            ids = b.column("tokens")
-            off = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset:ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
-            flat = np.asarray(ids.values).astype("<u4")
-            sha = [hashlib.sha256(flat[x:y].tobytes()).hexdigest() for x, y in zip(off[:-1], off[1:])]
-            text = [hashlib.sha256(t.encode()).hexdigest() for t in b.column("decoded").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.diff(off).astype(np.int64)), pa.array(sha, pa.string()), pa.array(text, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return decoded.select("doc_id", "tokens", "decoded").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(docs):
+    """Encode and decode; doc_id, n_tokens and the digests of ids and decoded text."""
+    spec = bpe.read_spec(tokenizer_path())
+    decoded = bpe.decode(bpe.encode(docs, spec, packed=True), spec)
+    return decoded.select(
+        "doc_id", (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 @query("op7_bpe_distinct_words")
 def op7(spark, sf):
-    spec = bpe.read_spec(tokenizer_path())
-    return digest(bpe.decode(bpe.encode(table(spark, sf, "documents"), spec), spec))
+    return digests(table(spark, sf, "documents"))

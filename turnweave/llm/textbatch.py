@@ -8,6 +8,7 @@ and is never shortened).
 """
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,15 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = MAX_BY
             start = end
 
 
+def release() -> None:
+    """Give freed buffers back to the system; a worker that waits for its next task keeps none."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def offsets(column: pa.Array) -> np.ndarray:
     width = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     buf = column.buffers()[1]
@@ -59,6 +69,12 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0]:off[-1]], off - off[0]
 
 
+def raw_bytes(column: pa.Array) -> bytes:
+    """The bytes of a binary array without NULLs, one value after another."""
+    off, data = offsets(column), column.buffers()[2]
+    return b"" if data is None else memoryview(data)[off[0]:off[-1]].tobytes()
+
+
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
     """A-Z lower-cased, every other byte kept."""
     return _LOWER[buf]
