@@ -13,7 +13,7 @@ from ..operators import ranks as rk
 from ..operators import selection as se
 from ..operators import turns
 from ..operators.turns import KEYS
-from . import query
+from . import query, sql_tails
 from .views import (
     UTT_TEXT, UTT_TIMED, q, r, rounded, sql_features, sql_nospace, sql_pairs, table, utt_text, utt_timed,
 )
@@ -337,39 +337,61 @@ _GL = f"""l AS (SELECT *, CASE WHEN speaker_id::BIGINT % 3 = 0 THEN 'M' ELSE 'F'
   (speaker_id::BIGINT * 7 % 60 + 20)::DOUBLE AS age FROM ({LONG}) WHERE value IS NOT NULL)"""
 
 
-@query("g18_mann_whitney", f"""WITH {_GL}, {_RANKED} SELECT feature, count(*) FILTER (g = 'M') AS n1, count(*) FILTER (g = 'F') AS n2,
-  {r("sum(rk) FILTER (g = 'M') - count(*) FILTER (g = 'M') * (count(*) FILTER (g = 'M') + 1) / 2", 'u')},
-  {r('sum(c::DOUBLE * c - 1)', 'ties')} FROM r GROUP BY 1""")
+_FEWER = "feature NOT LIKE 'RESP%'"
+
+
+def _mann_whitney_sql(rows: str = "true") -> str:
+    groups = f"""WITH {_GL.replace("WHERE value IS NOT NULL", f"WHERE value IS NOT NULL AND ({rows})")}, {_RANKED}
+  SELECT feature, count(*) FILTER (g = 'M') AS n1, count(*) FILTER (g = 'F') AS n2,
+  CASE WHEN count(*) FILTER (g = 'M') > 0 AND count(*) FILTER (g = 'F') > 0
+    THEN sum(rk) FILTER (g = 'M') - count(*) FILTER (g = 'M') * (count(*) FILTER (g = 'M') + 1) / 2 END AS u,
+  sum(c::DOUBLE * c - 1) AS ties FROM r GROUP BY 1"""
+    return f"SELECT feature, n1, n2, {r('u', 'u')}, {r('ties', 'ties')}, {r('p_value', 'p_value')} FROM ({sql_tails.mann_whitney(groups)})"
+
+
+@query("g18_mann_whitney", _mann_whitney_sql())
 def mann_whitney(spark, sf):
-    return rounded(rk.mann_whitney(_gendered(spark, sf), ["feature"], "value", "g", "M", "F").drop("p_value"))
+    return rounded(rk.mann_whitney(_gendered(spark, sf), ["feature"], "value", "g", "M", "F"))
 
 
-@query("g18_mann_whitney_p")
+@query("g18_mann_whitney_p", _mann_whitney_sql(f"speaker_id::BIGINT % 3 <> 0 OR {_FEWER}"))
 def mann_whitney_p(spark, sf):
-    return rounded(rk.mann_whitney(_gendered(spark, sf), ["feature"], "value", "g", "M", "F"))
+    """One family of features has no row of the first group: its rows stay, without U and p."""
+    d = _gendered(spark, sf).filter(f"g = 'F' OR {_FEWER}")
+    return rounded(rk.mann_whitney(d, ["feature"], "value", "g", "M", "F"))
 
 
-@query("g19_correlations", f"""WITH {_GL}, r AS (SELECT feature, age, value,
+def _correlations_sql(rows: str = "true") -> str:
+    return f"""WITH {_GL}, r AS (SELECT feature, age, value,
   rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS rv,
-  rank() OVER (PARTITION BY feature ORDER BY age) + (count(*) OVER (PARTITION BY feature, age) - 1) / 2 AS ra FROM l)
-  SELECT feature, count(*) AS n, {r('corr(age, value)', 'r')}, {r('corr(ra, rv)', 'rho')} FROM r GROUP BY 1""")
+  rank() OVER (PARTITION BY feature ORDER BY age) + (count(*) OVER (PARTITION BY feature, age) - 1) / 2 AS ra FROM l WHERE {rows}),
+  c AS (SELECT feature, count(*) AS n, CASE WHEN count(*) >= 3 AND NOT isnan(corr(age, value)) THEN corr(age, value) END AS r,
+    CASE WHEN count(*) >= 3 AND NOT isnan(corr(ra, rv)) THEN corr(ra, rv) END AS rho FROM r GROUP BY 1)
+  SELECT feature, n, {r('r', 'r')}, {r(sql_tails.correlation_p('r', 'n'), 'r_p')}, {r('rho', 'rho')}, {r(sql_tails.correlation_p('rho', 'n'), 'rho_p')} FROM c"""
+
+
+@query("g19_correlations", _correlations_sql())
 def correlations(spark, sf):
-    return rounded(rk.correlations(_gendered(spark, sf), ["feature"], "age", "value").drop("r_p", "rho_p"))
+    return rounded(rk.correlations(_gendered(spark, sf), ["feature"], "age", "value"))
 
 
-@query("g19_correlations_p")
+@query("g19_correlations_p", _correlations_sql(f"age < 21 OR {_FEWER}"))
 def correlations_p(spark, sf):
-    return rounded(rk.correlations(_gendered(spark, sf), ["feature"], "age", "value"))
+    """One family of features has too few rows, or one age only: its rows stay, without r and p."""
+    return rounded(rk.correlations(_gendered(spark, sf).filter(f"age < 21 OR {_FEWER}"), ["feature"], "age", "value"))
 
 
-@query("g17_wilcoxon", f"""WITH d AS (SELECT l_returnflag, l_quantity - 25 AS d, abs(l_quantity - 25) AS a FROM lineitem),
-  n AS (SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY a) + (count(*) OVER (PARTITION BY l_returnflag, a) - 1) / 2 AS rk
-        FROM d WHERE d <> 0)
-  SELECT l_returnflag, {r('sum(rk) FILTER (d > 0)', 'w_plus')}, {r('sum(rk) FILTER (d < 0)', 'w_minus')}, count(*) AS n,
-  (SELECT count(*) FROM d z WHERE z.l_returnflag = n.l_returnflag AND z.d = 0) AS zeros FROM n GROUP BY 1""")
+@query("g17_wilcoxon", f"""WITH d AS (SELECT l_returnflag, CASE WHEN l_returnflag = 'A' THEN 0 ELSE l_quantity - 25 END AS d FROM lineitem),
+  n AS (SELECT *, count(*) OVER (PARTITION BY l_returnflag, abs(d)) AS c,
+    rank() OVER (PARTITION BY l_returnflag ORDER BY abs(d)) + (count(*) OVER (PARTITION BY l_returnflag, abs(d)) - 1) / 2 AS rk FROM d WHERE d <> 0),
+  t AS (SELECT l_returnflag, sum(rk) FILTER (d > 0) AS w_plus, sum(rk) FILTER (d < 0) AS w_minus, count(*) AS n, sum(c::DOUBLE * c - 1) AS ties FROM n GROUP BY 1),
+  z AS (SELECT l_returnflag, count(*) FILTER (d = 0) AS zeros FROM d GROUP BY 1)
+  SELECT l_returnflag, {r('coalesce(w_plus, 0)', 'w_plus')}, {r('coalesce(w_minus, 0)', 'w_minus')}, coalesce(n, 0) AS n, zeros,
+  {r(sql_tails.signed_rank_p('least(w_plus, w_minus)', 'n', 'ties'), 'p_value')} FROM z LEFT JOIN t USING (l_returnflag)""")
 def wilcoxon(spark, sf):
-    d = table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_quantity") - 25).alias("d"))
-    return rounded(rk.wilcoxon(d, ["l_returnflag"], "d").select("l_returnflag", "w_plus", "w_minus", "n", "zeros"))
+    """One return flag has no difference but zeros: its row stays, without p."""
+    d = table(spark, sf, "lineitem").select("l_returnflag", F.when(F.col("l_returnflag") == "A", 0).otherwise(F.col("l_quantity") - 25).alias("d"))
+    return rounded(rk.wilcoxon(d, ["l_returnflag"], "d").select("l_returnflag", "w_plus", "w_minus", "n", "zeros", "p_value"))
 
 
 @query("d6_holm", """WITH p AS (SELECT p_type, p_brand, CASE WHEN p_brand = 'Brand#3' THEN NULL ELSE least(1, avg(p_size) / 400) END AS p FROM part GROUP BY 1, 2),

@@ -10,7 +10,7 @@ from ..operators import resampling as rs
 from ..operators import ridge
 from ..operators.ridge import Spec
 from ..plans import studies as st
-from . import query
+from . import query, sql_tails
 from .views import r, rounded, table
 
 SEED, K = 42, 5
@@ -299,13 +299,17 @@ def sql_draws(n_rep: int, n: str = "(SELECT count(*) FROM base)") -> str:
 @query("g16_g23_stage_paired_test", f"""WITH base AS (SELECT a.pos, (a.yhat - a.y) ** 2 AS s1, (b.yhat - b.y) ** 2 AS s2
     FROM ({_stage_sql(2)}) a JOIN ({_stage_sql(3)}) b USING (pos)), {sql_draws(N_PAIRED)},
   m AS (SELECT rep, avg(s1 - s2) AS m FROM dr JOIN base USING (pos) GROUP BY 1),
+  rk AS (SELECT s1 - s2 AS d, rank() OVER (ORDER BY abs(s1 - s2)) + (count(*) OVER (PARTITION BY abs(s1 - s2)) - 1) / 2 AS rk FROM base WHERE s1 <> s2),
+  wx AS (SELECT least(sum(rk) FILTER (d > 0), sum(rk) FILTER (d < 0)) AS w, count(*) AS nd FROM rk),
+  wp AS (SELECT {sql_tails.signed_rank_p('w', 'nd', '0')} AS pw FROM wx),
   q AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, (count(*) FILTER (m <= 0) + 1) / {N_PAIRED + 1} AS pl,
         (count(*) FILTER (m >= 0) + 1) / {N_PAIRED + 1} AS pr FROM m)
   SELECT count(*) AS "N", {r('sqrt(avg(s1))', '"RMSE_stage2"')}, {r('sqrt(avg(s2))', '"RMSE_stage3"')}, {r('avg(s1 - s2)', 'mean_diff')},
   {r('any_value(lo)', 'ci_lo')}, {r('any_value(hi)', 'ci_hi')}, {r('least(1.0, 2 * least(any_value(pl), any_value(pr)))', 'p_boot')},
-  {r('sqrt(avg(s2)) - sqrt(avg(s1))', '"dRMSE_2to3"')} FROM base, q""")
+  {r('sqrt(avg(s2)) - sqrt(avg(s1))', '"dRMSE_2to3"')},
+  {r('any_value(pw)', 'p_wilcoxon')} FROM base, q, wp""")
 def stage_paired(spark, sf):
-    return rounded(st.stage_paired_test(records(spark, sf), "id", "y_label", STAGES, n_boot=N_PAIRED, k=K, seed=SEED, group="source")).drop("p_wilcoxon")
+    return rounded(st.stage_paired_test(records(spark, sf), "id", "y_label", STAGES, n_boot=N_PAIRED, k=K, seed=SEED, group="source"))
 
 
 @query("g31_alpha_sensitivity", _union_all(
