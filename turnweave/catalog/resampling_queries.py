@@ -10,7 +10,7 @@ from ..operators import resampling as rs
 from ..operators import ridge
 from ..operators.ridge import Spec
 from ..plans import studies as st
-from . import query, sql_tails
+from . import query, sql_penalty, sql_tails
 from .views import r, rounded, table
 
 SEED, K = 42, 5
@@ -85,10 +85,10 @@ def sql_train(src: str, xs: list[str], k: int = K) -> str:
     return f"base AS ({src}), {sql_design(rows, xs)}"
 
 
-def sql_solve(p: int, alpha: str, rhs: str, extra: str = "") -> str:
+def sql_solve(p: int, alpha: str, rhs: str, source: str = "z") -> str:
     """`coef`(tf, j, i, v): solution i for right-hand side j, by elimination."""
     return f"""lhs AS (SELECT tf, i.range AS i, j.range AS j, sum(z[i.range] * z[j.range]) + CASE WHEN i.range = j.range THEN {alpha} ELSE 0 END AS v
-  FROM z, range(1, {p + 1}) i, range(1, {p + 1}) j WHERE is_tr GROUP BY tf, i.range, j.range),
+  FROM {source}, range(1, {p + 1}) i, range(1, {p + 1}) j WHERE is_tr GROUP BY tf, i.range, j.range),
 rhs AS ({rhs}),
 gj(s, tf, i, j, v) AS (
   SELECT 0, tf, i, j, v FROM (SELECT tf, i, j, v FROM lhs UNION ALL SELECT tf, i, j, v FROM rhs)
@@ -402,32 +402,79 @@ def bootstrap_variance(spark, sf):
     return rounded(rs.bootstrap_variance(_boot(spark, sf)))
 
 
-@query("d5_g15_bootstrap_stability", f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY abs(coef) DESC, feature) <= 2 AS top,
-    avg(coef) OVER (PARTITION BY feature) AS m FROM ({BOOT}))
+STABILITY = f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY abs(coef) DESC, feature) <= 2 AS top,
+    avg(coef) OVER (PARTITION BY feature) AS m FROM ({{boot}}))
   SELECT feature, {r('avg(coef)', 'coef_mean')}, {r('stddev_pop(coef)', 'coef_std')}, {r('quantile_cont(coef, 0.05)', 'coef_q05')},
   {r('quantile_cont(coef, 0.95)', 'coef_q95')}, {r('avg(sign(coef))', 'sign_mean')},
-  {r('avg((sign(coef) = sign(m))::INT)', 'sign_agree_rate')}, {r('avg(top::INT)', 'topk_rate')} FROM b GROUP BY 1""")
+  {r('avg((sign(coef) = sign(m))::INT)', 'sign_agree_rate')}, {r('avg(top::INT)', 'topk_rate')} FROM b GROUP BY 1"""
+
+
+@query("d5_g15_bootstrap_stability", STABILITY.format(boot=BOOT))
 def bootstrap_stability(spark, sf):
     return rounded(rs.bootstrap_stability(_boot(spark, sf), 2))
 
 
-@query("g15_bootstrap_stability_chosen_alpha")
+# --- chosen penalties -------------------------------------------------------------------
+_WITH_ALPHA = "(SELECT z.*, alpha FROM z JOIN choice USING (tf)) z"
+
+
+def _problems(y: str) -> str:
+    """Training problems 0..K-1 (one fold held out) and K (all rows)."""
+    return f"SELECT base.*, range AS tf, fold <> range AS is_tr FROM ({_src(y)}) base CROSS JOIN range({K + 1})"
+
+
+def _chosen(y: str) -> str:
+    """CTEs up to beta(tf, b) with the chosen penalty of each problem."""
+    p = len(X)
+    rhs = f"SELECT tf, i.range AS i, {p + 1} AS j, sum(z[i.range] * (y - ybar)) AS v FROM z, range(1, {p + 1}) i WHERE is_tr GROUP BY tf, i.range"
+    solve = sql_solve(p, "max(alpha)", rhs, source=_WITH_ALPHA)
+    return f"""WITH RECURSIVE {sql_design(_problems(y), X)}, {sql_penalty.choice(p, K)}, {solve},
+beta AS (SELECT tf, list(v ORDER BY i) AS b FROM coef GROUP BY 1)"""
+
+
+def _alpha_sql(y: str) -> str:
+    return f"""{_chosen(y)},
+pr AS (SELECT y, ybar + list_dot_product(z, b) AS yhat FROM z JOIN beta USING (tf) WHERE NOT is_tr)
+SELECT '{y}' AS outcome, count(*) AS n, {r('1 - sum((yhat - y) ** 2) / (var_pop(y) * count(*))', 'r2_cv')}, {r('corr(y, yhat)', 'pearson_cv')},
+  {r(f'(SELECT alpha FROM choice WHERE tf = {K})', 'alpha')} FROM pr"""
+
+
+def _top_sql(y: str) -> str:
+    names = "[" + ", ".join(f"'{x}'" for x in X) + "]"
+    return f"""SELECT outcome, feature, {r('coef', 'coef')}, {r('alpha', 'alpha')}, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (ORDER BY abs(coef) DESC, feature) AS rank FROM ({_chosen(y)}
+  SELECT '{y}' AS outcome, {names}[i] AS feature, v AS coef, alpha FROM coef JOIN choice USING (tf) WHERE tf = {K})) WHERE rank <= 3"""
+
+
+def _boot_chosen() -> str:
+    """rep, feature, coef, alpha: the inner folds follow the order of the draws."""
+    p, names = len(X), "[" + ", ".join(f"'{x}'" for x in X) + "]"
+    rhs = f"SELECT tf, i.range AS i, {p + 1} AS j, sum(z[i.range] * y) AS v FROM z, range(1, {p + 1}) i GROUP BY tf, i.range"
+    return f"""WITH RECURSIVE base AS (SELECT id, pos, y_label AS y, {', '.join(X)} FROM ({FOLDED})), {sql_draws(N_BOOT)},
+{sql_design(f"SELECT id, dr.i AS pos, -1 AS fold, y, {', '.join(X)}, rep AS tf, true AS is_tr FROM dr JOIN base ON base.pos = dr.pos", X)},
+{sql_penalty.choice(p, K)}, {sql_solve(p, "max(alpha)", rhs, source=_WITH_ALPHA)}
+SELECT tf AS rep, {names}[i] AS feature, v AS coef, alpha FROM coef JOIN choice USING (tf)"""
+
+
+@query("g15_bootstrap_stability_chosen_alpha", STABILITY.format(boot=_boot_chosen()))
 def bootstrap_stability_alpha(spark, sf):
     t = st.record_table(records(spark, sf), "id", X, ["y_label"], K, SEED)
     return rounded(rs.bootstrap_stability(rs.bootstrap_coefficients(t, X, "y_label", None, N_BOOT, SEED), 2))
 
 
-@query("e26_alpha_distribution")
+@query("e26_alpha_distribution", f"""WITH a AS (SELECT DISTINCT rep, alpha FROM ({_boot_chosen()}))
+  SELECT count(*) AS n, {r('avg(alpha)', 'mean')}, {r('stddev_samp(alpha)', 'sd')}, {r('min(alpha)', 'min')}, {r('quantile_cont(alpha, 0.25)', 'p25')},
+  {r('quantile_cont(alpha, 0.5)', 'p50')}, {r('quantile_cont(alpha, 0.75)', 'p75')}, {r('max(alpha)', 'max')} FROM a""")
 def alpha_distribution(spark, sf):
     t = st.record_table(records(spark, sf), "id", X, ["y_label"], K, SEED)
     return rounded(rs.alpha_distribution(rs.bootstrap_coefficients(t, X, "y_label", None, N_BOOT, SEED)))
 
 
-@query("g10_alpha_selection")
+@query("g10_alpha_selection", _union_all(_alpha_sql(y) for y in ("y_label", "y_size")))
 def alpha_selection(spark, sf):
     return rounded(st.alpha_selection(records(spark, sf), "id", ["y_label", "y_size"], X, K, SEED)[0])
 
 
-@query("d10_top_coefficients")
+@query("d10_top_coefficients", _union_all(_top_sql(y) for y in ("y_label", "y_size")))
 def top_coefficients(spark, sf):
     return rounded(st.alpha_selection(records(spark, sf), "id", ["y_label", "y_size"], X, K, SEED, top=3)[1])
