@@ -11,8 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm import compression, simhash, suffix_lines, winnowing
-from turnweave.llm.query_bpe import digests
+from turnweave.llm import bpe, compression, simhash, suffix_lines, winnowing
 from turnweave.runtime import work_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -42,7 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and the digests of ids and decoded text of every document left."""
-    return digests(docs)
+    return bpe.digests(docs)
 
 
 STAGES = [

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline as pipeline
 from tests.llm.test_corpus_ops import without_copies
 from tests.llm.test_text_ops import classes, contaminated, fingerprint, base
-from turnweave.llm.query_bpe import tokenizer_path
+from turnweave.llm.bpe import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 rng = random.Random(3)
@@ -51,3 +51,16 @@ def test_stages_of_an_empty_table(spark):
     for _, stage in pipeline.STAGES:
         current = stage(spark, current, SF)
         assert current.count() == 0
+
+
+def test_either_module_can_be_imported_first(tmp_path):
+    """Also from another folder: the workers get the package from the session."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    for first in ("corpus_pipeline", "__spark_entry__"):
+        code = f"import sys; sys.path.insert(0, {repo!r}); import {first}, __spark_entry__ as e; assert 'pipeline' in e.queries()"
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from turnweave.llm import bpe, compression, simhash, winnowing
-from turnweave.llm.query_bpe import tokenizer_path
+from turnweave.llm.bpe import tokenizer_path
 
 rng = random.Random(5)
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")

@@ -212,3 +212,19 @@ def decode(encoded: DataFrame, spec: str, tokens: str = "tokens") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
+
+
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary of 50,257 ids."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """Encode with the byte-level vocabulary and decode again: doc_id, n_tokens and the digests of ids and decoded text."""
+    spec = read_spec(tokenizer_path())
+    decoded = decode(encode(docs, spec, packed=True), spec)
+    return decoded.select(
+        "doc_id", (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

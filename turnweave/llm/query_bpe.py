@@ -1,24 +1,7 @@
-from pyspark.sql import functions as F
-
 from . import bpe
 from .queries import query, table
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-def digests(docs):
-    """Encode and decode; doc_id, n_tokens and the digests of ids and decoded text."""
-    spec = bpe.read_spec(tokenizer_path())
-    decoded = bpe.decode(bpe.encode(docs, spec, packed=True), spec)
-    return decoded.select(
-        "doc_id", (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-
-
 @query("op7_bpe_distinct_words")
 def op7(spark, sf):
-    return digests(table(spark, sf, "documents"))
+    return bpe.digests(table(spark, sf, "documents"))
