@@ -79,3 +79,22 @@ def test_digest_ignores_order(spark):
     d = spark.range(50).withColumn("x", F.md5(F.col("id").cast("string")))
     a, b = hashing.table_digest(d).first(), hashing.table_digest(d.orderBy(F.desc("x")).repartition(3)).first()
     assert a == b and a != hashing.table_digest(d.limit(49)).first()
+
+
+def test_published_conditions(spark):
+    from turnweave.functions import text as tx
+    from turnweave.functions.lexicon import PARTICLE_CONDITIONS, YESNO_CONDITIONS
+
+    assert list(YESNO_CONDITIONS) == ["wide", "narrow"] and list(PARTICLE_CONDITIONS) == ["regex", "1char", "2char"]
+    d = spark.createDataFrame([("だよな",), ("するよ",), ("いいですね",)], "t string")
+    got = {n: [r[0] for r in d.select(tx.sfp_group("t", lex)).collect()] for n, lex in PARTICLE_CONDITIONS.items()}
+    assert got["regex"] == ["NE", "YO", "NE"] and got["1char"] == ["OTHER", "YO", "NE"]
+    assert len(YESNO_CONDITIONS["narrow"].yesno) == 5 < len(YESNO_CONDITIONS["wide"].yesno)
+
+
+def test_default_exclusions_are_the_controls(spark):
+    from turnweave.operators import columns as cl
+    from turnweave.operators.features import CONTROLS
+
+    d = spark.createDataFrame([tuple(range(len(CONTROLS) + 2))], ["a", *CONTROLS, "b"])
+    assert cl.exclude_columns(d).columns == ["a", "b"] and cl.exclude_columns(d, extra="b").columns == ["a"]

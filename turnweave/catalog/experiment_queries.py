@@ -303,7 +303,8 @@ def dose_judgement(spark, sf):
     return do.dose_judgement(d, per_trait, ["target_feature", "trait"])
 
 
-@query("h13_specificity", f"""SELECT {r('t', 'target_max_delta')}, {r('c', 'control_max_delta')}, t - c > 0.05 AS specific FROM
+@query("h13_specificity", f"""SELECT {r('t', 'target_max_delta')}, {r('c', 'control_max_delta')}, t - c > 0.05 AS specific,
+  CASE WHEN t - c > 0.05 THEN 'the effect is specific to FILL' ELSE 'no effect specific to FILL' END AS judgment FROM
   (SELECT max(abs(delta_r_vs_baseline)) FILTER (target_feature = 'FILL') AS t, max(abs(delta_r_vs_baseline)) FILTER (target_feature = 'OIR') AS c FROM ({_REPORT}))""")
 def specificity(spark, sf):
     return rounded(do.specificity(do.dose_report(_dosed(spark, sf)), "FILL", "OIR"))

@@ -13,6 +13,7 @@ from ..operators import ranks as rk
 from ..operators import selection as se
 from ..operators import turns
 from ..operators.turns import KEYS
+from ..runtime import materialize
 from . import query, sql_tails
 from .views import (
     UTT_TEXT, UTT_TIMED, q, r, rounded, sql_features, sql_nospace, sql_pairs, table, utt_text, utt_timed,
@@ -108,7 +109,7 @@ def modelling_filter(spark, sf):
 SELECT *, CASE stage WHEN 2 THEN lag(n) OVER (ORDER BY stage) - n WHEN 4 THEN lag(n) OVER (ORDER BY stage) - n ELSE 0 END AS excluded FROM s""")
 def funnel(spark, sf):
     conv = utt_text(spark, sf).select("conversation_id").distinct()
-    c = _candidates(spark, sf)
+    c = materialize(_candidates(spark, sf))  # two stages count it
     return se.funnel([
         ("all conversations", conv, "conversation", ""),
         ("in frame", _conversations(spark, sf), "conversation", "outside the frame"),

@@ -95,14 +95,12 @@ def replace_results(spark, sf):
     return spark.read.parquet(p).groupBy("origin", "analysis_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a17_table_digest", "SELECT 15000 * 0 + count(*) AS n_rows, true AS order_free FROM orders")
+_DIGEST_COLUMNS = ["o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"]
+
+
+@query("a17_table_digest", f"""SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {', '.join(f"coalesce(CAST({c} AS VARCHAR), chr(92) || 'N')" for c in _DIGEST_COLUMNS)})), 1, 15) AS BIGINT)) AS VARCHAR) AS digest FROM orders""")
 def digest(spark, sf):
-    """The digest itself is engine-specific; row count and its independence of
-    row order are compared."""
-    d = table(spark, sf, "orders")
-    a = table_digest(d)
-    b = table_digest(d.orderBy(F.desc("o_totalprice"))).select(F.col("digest").alias("other"))
-    return a.join(b, F.col("digest") == F.col("other")).select("n_rows", F.lit(True).alias("order_free"))
+    return table_digest(table(spark, sf, "orders").select(*_DIGEST_COLUMNS))
 
 
 @query("b1_alias_resolution", "SELECT c_custkey AS conversation_id, c_mktsegment AS place FROM customer")

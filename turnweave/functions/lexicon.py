@@ -62,6 +62,12 @@ class Lexicon:
 
 JA = Lexicon()
 
+# The published conditions of the yes/no-list and particle-rule studies.
+YESNO_CONDITIONS = {"wide": JA, "narrow": JA.with_(name="narrow", yesno=YESNO_NARROW)}
+PARTICLE_CONDITIONS = {
+    rule: JA.with_(name=rule, ne_tails=ne, yo_tails=yo) for rule, (ne, yo) in NE_YO_RULES.items()
+}
+
 # The same operators over the five words of `events.event_type`, which reach
 # every branch; the driver tables hold no Japanese text.
 WORDS = Lexicon(

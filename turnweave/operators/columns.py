@@ -52,14 +52,17 @@ def with_outcome(df: DataFrame, y: str) -> DataFrame:
     return df.filter(F.col(y).isNotNull() & ~F.isnan(F.col(y)))
 
 
-def predictors(df: DataFrame, default_exclude, extra: str = "", keep_out=()) -> list[str]:
-    """Predictor columns: all but the default exclusions, a comma-separated
-    extra list and the key / outcome columns."""
-    out = set(default_exclude) | set(keep_out) | {c.strip() for c in extra.split(",") if c.strip()}
+def predictors(df: DataFrame, default_exclude=None, extra: str = "", keep_out=()) -> list[str]:
+    """Predictor columns: all but the default exclusions (the control columns
+    of the feature table), a comma-separated extra list and the key / outcome
+    columns."""
+    from .features import CONTROLS
+
+    out = set(CONTROLS if default_exclude is None else default_exclude) | set(keep_out) | {c.strip() for c in extra.split(",") if c.strip()}
     return [c for c in df.columns if c not in out]
 
 
-def exclude_columns(df: DataFrame, default_exclude, extra: str = "") -> DataFrame:
+def exclude_columns(df: DataFrame, default_exclude=None, extra: str = "") -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in predictors(df, default_exclude, extra)])
 
 

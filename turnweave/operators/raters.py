@@ -20,8 +20,18 @@ CHOICES_V1 = (
     "Very Inaccurate", "Moderately Inaccurate", "Neither Accurate Nor Inaccurate",
     "Moderately Accurate", "Very Accurate",
 )
-NEUTRAL_ENDINGS = ("", ".", ",", "!", "?", ";", ":", " (neutral)", " (neither)",
-                   " (neither accurate nor inaccurate)")
+NEUTRAL_ANSWERS = (
+    "neither accurate nor inaccurate",
+    "neither accurate nor inaccurate.",
+    "neither accurate nor inaccurate,",
+    "neither accurate nor inaccurate!",
+    "neither accurate nor inaccurate?",
+    "neither accurate nor inaccurate;",
+    "neither accurate nor inaccurate:",
+    "neither accurate nor inaccurate (neutral)",
+    "neither accurate nor inaccurate (neither)",
+    "neither accurate nor inaccurate (neither accurate nor inaccurate)",
+)
 TRAITS = ("O", "C", "E", "A", "N")
 MIDPOINT = 2.0
 # ----------------------------------------------------------------------------
@@ -65,7 +75,7 @@ def normalise_choice(raw: Column) -> Column:
     t = F.btrim(F.element_at(F.split(t, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", 2), 1), F.lit(WHITESPACE))
     known = {str(i): c for i, c in enumerate(CHOICES)}
     known |= {c.lower(): c for c in CHOICES}
-    known |= {CHOICES[2].lower() + e: CHOICES[2] for e in NEUTRAL_ENDINGS}
+    known |= {answer: CHOICES[2] for answer in NEUTRAL_ANSWERS}
     return _let(_collapse(_let(t, unquote)), lambda x: F.coalesce(_lookup(F.lower(x), known), x))
 
 

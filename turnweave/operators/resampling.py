@@ -16,18 +16,20 @@ def permuted_positions(ids: DataFrame, id_col: str, n: int, n_rep: int, seed: in
     the position of its md5(seed:rep:id) rank.
 
     Up to ROWS_PER_TASK records a replicate is ordered in one task; beyond, it
-    is cut into 256 even pieces by the hash.
+    is cut into 65,536 even pieces by the hash.
     """
     d = skew.spread_rows(ids, n, n_rep).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_rep)))).withColumn(
-        "_key", hash_key(seed, F.col("rep"), F.col(id_col))
+        "_hex", hash_key(seed, F.col("rep"), F.col(id_col))
     )
+    # The first 15 digits as a number sort in the order of the text and faster.
+    d = d.withColumn("_key", F.conv(F.substring("_hex", 1, 15), 16, 10).cast("long"))
     order = [F.col("_key"), F.col(id_col)]
     if n <= skew.ROWS_PER_TASK:
         w = Window.partitionBy("rep").orderBy(*order)
         d = d.withColumn("target", F.row_number().over(w).cast("bigint"))
     else:
-        d = skew.positions(d, order, F.substring("_key", 1, 2), ["rep"], "target")
-    return d.withColumn("target", F.col("target") - 1).drop("_key", id_col)
+        d = skew.positions(d, order, F.substring("_hex", 1, 4), ["rep"], "target")
+    return d.withColumn("target", F.col("target") - 1).drop("_key", "_hex", id_col)
 
 
 def permuted_sums(base: DataFrame, b: ridge.Basis, id_col: str, n_rep: int, seed: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.lexicon import JA, Lexicon
+from ..runtime import materialize
 from . import columns as cl
 from . import skew
 from .turns import CONV, KEYS, SPK, conform_utterances, turn_pairs
@@ -91,7 +92,7 @@ def target_pairs(cands: DataFrame, quality: Quality = STRICT) -> DataFrame:
 
 def modelling_rows(features: DataFrame, quality: Quality = MODELLING) -> DataFrame:
     """The looser filter used before fitting; too few rows is an error."""
-    kept = features.filter(quality.condition())
+    kept = materialize(features.filter(quality.condition()))  # counted, then used
     n = kept.limit(MIN_MODELLING_ROWS).count()
     if n < MIN_MODELLING_ROWS:
         raise ValueError(f"too few rows after the filter: {n}")

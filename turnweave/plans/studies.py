@@ -258,6 +258,10 @@ def alpha_selection(df, id_col, outcomes, features, k=5, seed=42, grid=ridge.ALP
     table = record_table(df, id_col, features, outcomes, k, seed)
     b = ridge.basis(table, features, outcomes)
     n, pos = b.n, F.col("pos")
+    if n < 3:
+        raise ValueError(f"{n} records are too few to choose a penalty")
+    if n < k:  # fewer records than folds
+        return alpha_selection(df, id_col, outcomes, features, n, seed, grid, top)
     blocks = {"all_": rs.contiguous_block(pos, n, k)}
     for f in range(k):
         before = F.when(pos > f, F.floor((pos - f + k - 1) / k)).otherwise(F.lit(0))
