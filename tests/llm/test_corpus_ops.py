@@ -131,16 +131,14 @@ def test_ranks_are_the_suffix_order(spark):
     docs = [(i, "\n".join(rng.choices(["x", "y", "z"], k=rng.randint(3, 12)))) for i in range(25)]
     levels = suffix_lines.suffix_ranks(table(spark, docs), 17)
     assert [k for k, _ in levels] == [1, 2, 4, 8]
-    first = {r._id: r for r in levels[0][1].collect()}
-    assert first
     for k, ranks in levels:
         rows = ranks.collect()
-        head = {(r._id, r.i): tuple(docs[r._id][1].split("\n")[r.i:r.i + k]) for r in rows}
+        head = {(r["__tw_id"], r.i): tuple(docs[r["__tw_id"]][1].split("\n")[r.i:r.i + k]) for r in rows}
         # Equal heads have equal ranks; ranks are one plus the number of smaller suffixes.
         by_rank = sorted(rows, key=lambda r: abs(r.rank))
         groups = {}
         for r in by_rank:
-            groups.setdefault(abs(r.rank), set()).add(head[r._id, r.i])
+            groups.setdefault(abs(r.rank), set()).add(head[r["__tw_id"], r.i])
         assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(head.values()))
         sizes = Counter(abs(r.rank) for r in rows)
         at = 1
@@ -151,8 +149,9 @@ def test_ranks_are_the_suffix_order(spark):
 
 
 def test_line_dedup_empty_and_clashing_names(spark):
-    df = table(spark, [(1, "x" * 60, 5), (2, "x" * 60, 6)], "doc_id long, text string, n_lines long")
-    assert sorted((r.text, r.n_lines, r.n_deleted) for r in suffix_lines.delete_copies(df).collect()) == [("", 1, 1), ("x" * 60, 1, 0)]
+    df = table(spark, [(1, "x" * 60, 5, 7), (2, "x" * 60, 6, 8)], "doc_id long, text string, n_lines long, _id long")
+    assert sorted((r.text, r.n_lines, r.n_deleted, r["_id"]) for r in suffix_lines.delete_copies(df).collect()) == [("", 1, 1, 8), ("x" * 60, 1, 0, 7)]
+    assert sorted(r.piece for r in histogram_sort.shard(df.withColumn("piece", F.col("_id"))).collect()) == [7, 8]
     assert suffix_lines.delete_copies(table(spark, [])).count() == 0
 
 
@@ -186,7 +185,7 @@ def test_shards_of_nothing_and_of_one_text(spark):
 
 
 def test_tolerance_needs_fewer_rounds(spark):
-    rows = spark.range(5000).selectExpr("xxhash64(id) AS sort_hash", "id AS sort_id", "10L AS size")
+    rows = spark.range(5000).selectExpr("xxhash64(id) AS __tw_sort_hash", "id AS __tw_sort_id", "10L AS size")
     exact = histogram_sort.splitters(rows, 16, histogram_sort.HistogramSort(probes=4))
     loose = histogram_sort.splitters(rows, 16, histogram_sort.HistogramSort(probes=4, tolerance=2000))
     assert loose.rounds < exact.rounds and all(abs(n - 312.5) < 1 for n in exact.rows) and all(abs(n - 312.5) <= 400 for n in loose.rows)

@@ -48,8 +48,8 @@ class HistogramSort:
 def key_columns(text: str = "text") -> dict:
     """The sort key and the size of a row: UTF-8 bytes of the text plus 1."""
     return {
-        "sort_hash": F.conv(F.substring(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long"),
-        "sort_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)),
+        "__tw_sort_hash": F.conv(F.substring(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long"),
+        "__tw_sort_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)),
         "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1,
     }
 
@@ -71,7 +71,7 @@ def _histogram(rows: DataFrame, probes: list[Key]) -> list:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, d = b.column("sort_hash").to_numpy(), b.column("sort_id").to_numpy()
+            h, d = b.column("__tw_sort_hash").to_numpy(), b.column("__tw_sort_id").to_numpy()
             frame = pd.DataFrame({"bucket": bucket_of(h, d, probes), "h": h, "d": d, "size": b.column("size").to_numpy()})
             frame = frame.sort_values(["bucket", "h", "d"], kind="stable")
             out = frame.groupby("bucket").agg(
@@ -156,13 +156,13 @@ def shard(docs: DataFrame, spec: HistogramSort = HistogramSort()) -> DataFrame:
     before = []
     for i in range(pieces):
         before.append(0 if i % per_shard == 0 else before[-1] + cut.rows[i - 1])
-    offsets = docs.sparkSession.createDataFrame(list(enumerate(before)), "piece int, before long")
+    offsets = docs.sparkSession.createDataFrame(list(enumerate(before)), "__tw_piece int, __tw_before long")
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = (
-        docs.withColumns(columns).withColumn("piece", piece_of("sort_hash", "sort_id"))
-        .repartitionById(pieces, "piece").sortWithinPartitions("sort_hash", "sort_id")
-        .withColumn("inside", inside).join(F.broadcast(offsets), "piece")  # one row per piece
+        docs.withColumns(columns).withColumn("__tw_piece", piece_of("__tw_sort_hash", "__tw_sort_id"))
+        .repartitionById(pieces, "__tw_piece").sortWithinPartitions("__tw_sort_hash", "__tw_sort_id")
+        .withColumn("__tw_inside", inside).join(F.broadcast(offsets), "__tw_piece")  # one row per piece
     )
     return placed.select(
-        *[F.col(c) for c in docs.columns if c not in ("size", "shard", "slot", "piece", "inside", "before", *columns)], "size",
-        F.expr(f"cast(piece div {per_shard} AS int)").alias("shard"), (F.col("inside") + F.col("before")).alias("slot"))
+        *[F.col(c) for c in docs.columns if c not in ("size", "shard", "slot")], "size",
+        F.expr(f"cast(__tw_piece div {per_shard} AS int)").alias("shard"), (F.col("__tw_inside") + F.col("__tw_before")).alias("slot"))

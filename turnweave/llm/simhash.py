@@ -269,8 +269,8 @@ def first_of_groups(docs: DataFrame, threshold: int = 2) -> DataFrame:
     Where that doc_id has several rows in the component, the row with the smallest text hash stays, once.
     """
     found = near_duplicates(docs, threshold).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    winners = found.groupBy("root").agg(F.min(F.struct("hash", "doc_id")).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.hash").alias("_hash"))
-    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_hash": F.xxhash64("text")})
-    kept = keyed.join(winners.select(F.coalesce("_id", F.lit(-(1 << 63))).alias("_key"), "_hash"), ["_key", "_hash"], "left_semi")
-    same = Window.partitionBy("_key", "_hash").orderBy("_key")
-    return kept.withColumn("_n", F.row_number().over(same)).filter("_n = 1").select(docs.columns)
+    winners = found.groupBy("root").agg(F.min(F.struct("hash", "doc_id")).alias("w")).select(F.col("w.doc_id").alias("__tw_id"), F.col("w.hash").alias("__tw_hash"))
+    keyed = docs.withColumns({"__tw_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__tw_hash": F.xxhash64("text")})
+    kept = keyed.join(winners.select(F.coalesce("__tw_id", F.lit(-(1 << 63))).alias("__tw_key"), "__tw_hash"), ["__tw_key", "__tw_hash"], "left_semi")
+    same = Window.partitionBy("__tw_key", "__tw_hash").orderBy("__tw_key")
+    return kept.withColumn("__tw_n", F.row_number().over(same)).filter("__tw_n = 1").select(docs.columns)

@@ -199,6 +199,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spec: Winnow = Winnow()
 def clean(docs: DataFrame, benchmark: DataFrame, spec: Winnow = Winnow(), share: int = 20) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     lowest = F.lit(-(1 << 63)).cast("long")
-    bad = contamination(docs, benchmark, spec, share).filter("contaminated").select(F.coalesce("doc_id", lowest).alias("_key"), F.col("hash").alias("_hash")).distinct()
-    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), lowest), "_hash": F.xxhash64("text")})
-    return keyed.join(bad, ["_key", "_hash"], "left_anti").select(docs.columns)
+    bad = contamination(docs, benchmark, spec, share).filter("contaminated").select(F.coalesce("doc_id", lowest).alias("__tw_key"), F.col("hash").alias("__tw_hash")).distinct()
+    keyed = docs.withColumns({"__tw_key": F.coalesce(F.col("doc_id").cast("long"), lowest), "__tw_hash": F.xxhash64("text")})
+    return keyed.join(bad, ["__tw_key", "__tw_hash"], "left_anti").select(docs.columns)
