@@ -58,19 +58,19 @@ _LEFT, _RIGHT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _GIVEN = "|".join(sorted((n for ns in GIVEN.values() for n in ns), key=len, reverse=True))
 _NAME = r"(?:\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?|\p{Lu}{2,})"
-# Kinds in order of precedence.
+# Kinds in order of precedence. A mention never begins inside a word (`ANY` checks that once for all kinds).
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": _LEFT + r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}|(?=[0-9a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,128})" + _RIGHT,
-    "iban": _LEFT + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _RIGHT,
-    "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
-    "card": _LEFT + r"[0-9](?:[ -]?[0-9]){12,18}" + _RIGHT,
-    "ssn": _LEFT + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _RIGHT,
-    "phone": r"(?:(?<![\p{L}\p{N}])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|(?<![\p{L}\p{N}])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})" + _RIGHT,
-    "name": f"{_LEFT}(?:(?:{_TITLE})\\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN}) {_NAME}){_RIGHT}",
+    "email": r"[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}|(?=[0-9a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,128})" + _RIGHT,
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _RIGHT,
+    "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
+    "card": r"[0-9](?:[ -]?[0-9]){12,18}" + _RIGHT,
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _RIGHT,
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})" + _RIGHT,
+    "name": f"(?:(?:{_TITLE})\\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN}) {_NAME}){_RIGHT}",
 }
-ANY = "|".join(PATTERNS.values())
-KEY = ("_id", "_hash")
+ANY = _LEFT + "(?:" + "|".join(PATTERNS.values()) + ")"
+KEY = ("__tw_id", "__tw_hash")
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,7 @@ class Surrogates:
 
 
 def _keyed(docs: DataFrame) -> dict[str, Column]:
-    return {"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")}
+    return {"__tw_id": F.col("doc_id").cast("long"), "__tw_hash": F.xxhash64("text")}
 
 
 def _pick(values: list[str], draw: Column) -> Column:
@@ -97,7 +97,7 @@ def _kind(mention: Column) -> Column:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """_id, _hash, pos, mention, kind and its units (kind, unit), in text order."""
+    """Key columns, pos, mention, kind and its units (kind, unit), in text order."""
     found = docs.filter(F.col("text").rlike(ANY)).select(*[c.alias(n) for n, c in _keyed(docs).items()], F.expr("regexp_extract_all(text, '" + ANY.replace("\\", "\\\\").replace("'", "\\'") + "', 0)").alias("all"))
     found = found.groupBy(*KEY).agg(F.first("all").alias("all")).select(*KEY, F.posexplode("all").alias("pos", "mention"))
     found = found.withColumn("kind", _kind(F.col("mention")))
@@ -226,12 +226,12 @@ def replace(docs: DataFrame, spec: Surrogates) -> DataFrame:
     part = F.when(F.col("kind").startswith("given"), "given").when(F.col("kind").startswith("surname"), "surname").otherwise("only")
     slots = slots.groupBy(*KEY, "pos", "mention", F.col("type").alias("kind")).agg(*[
         F.max(F.when(part == p, F.col("surrogate"))).alias(p) for p in ("given", "surname", "only")])
-    new = slots.select(*KEY, "pos", _rendered().alias("new")).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("_new"))
-    new = new.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_new")
+    new = slots.select(*KEY, "pos", _rendered().alias("new")).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("__tw_new"))
+    new = new.select(F.col("__tw_id").alias("__tw_id2"), F.col("__tw_hash").alias("__tw_hash2"), "__tw_new")
     names = [c for c in docs.columns if c != "n_entities"]
     has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    touched = docs.filter(has).withColumns(_keyed(docs)).join(new, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")))
+    touched = docs.filter(has).withColumns(_keyed(docs)).join(new, F.col("__tw_id").eqNullSafe(F.col("__tw_id2")) & (F.col("__tw_hash") == F.col("__tw_hash2")))
     gaps = F.split("text", ANY, -1)
-    text = F.array_join(F.zip_with(gaps, F.transform("_new", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    touched = touched.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], F.size("_new").cast("long").alias("n_entities"))
+    text = F.array_join(F.zip_with(gaps, F.transform("__tw_new", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    touched = touched.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], F.size("__tw_new").cast("long").alias("n_entities"))
     return docs.filter(~has).select(*names, F.lit(0).cast("long").alias("n_entities")).union(touched)
