@@ -38,6 +38,7 @@ el(s, tf, g, alpha, i, j, v) AS (
     FROM el WHERE s < {p})),
 fit AS (SELECT tf, g, alpha, list(v ORDER BY i) AS b FROM el WHERE s = {p} AND j = {p + 1} GROUP BY 1, 2, 3),
 sc2 AS (SELECT tf, g, alpha, b, t, ({m('1', str(d))} - list_dot_product(b, list_transform(range(1, {p + 1}), lambda j: {m('1', 'j + 1')}))) / m[1] AS c FROM fit JOIN mat USING (tf, g)),
-scored AS (SELECT tf, alpha, sum(1 - ({t(str(d), str(d))} - 2 * (c * {t('1', str(d))} + {dot(str(d))}) + t[1] * c * c + 2 * c * {dot('1')} + {quad})
-    / ({t(str(d), str(d))} - {t('1', str(d))} * {t('1', str(d))} / t[1])) AS score FROM sc2 GROUP BY 1, 2),
-choice AS (SELECT tf, alpha FROM (SELECT *, row_number() OVER (PARTITION BY tf ORDER BY score DESC, alpha) AS rn FROM scored) WHERE rn = 1)"""
+r2 AS (SELECT tf, alpha, {t(str(d), str(d))} AS yy, {t(str(d), str(d))} - {t('1', str(d))} * {t('1', str(d))} / t[1] AS sst,
+    {t(str(d), str(d))} - 2 * (c * {t('1', str(d))} + {dot(str(d))}) + t[1] * c * c + 2 * c * {dot('1')} + {quad} AS sse FROM sc2),
+scored AS (SELECT tf, alpha, CASE WHEN bool_and(sst > 1e-12 * yy) THEN sum(1 - sse / sst) END AS score FROM r2 GROUP BY 1, 2),
+choice AS (SELECT tf, alpha FROM (SELECT *, row_number() OVER (PARTITION BY tf ORDER BY score DESC NULLS LAST, alpha) AS rn FROM scored) WHERE rn = 1)"""

@@ -1,6 +1,7 @@
 """Session helpers: a local session for tests and bench, and lineage cuts."""
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -43,12 +44,40 @@ def work_dir(spark: SparkSession) -> str:
     return path
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{work_dir(spark).rstrip('/')}/turnweave-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application.
+
+    Results that were not written or collected yet may still read them. It runs
+    by itself when the driver's Python ends.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        clean_up(spark)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back.
+    """Write a table to the run's folder and read it back.
 
     Used where several jobs read one derived table: it is computed once, and a
     lost executor costs a re-read instead of the whole lineage.
     """
-    path = f"{work_dir(df.sparkSession).rstrip('/')}/tw-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder = run_dir(spark)
+    if folder not in _registered:
+        _registered.add(folder)
+        atexit.register(_at_exit, spark)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_registered: set[str] = set()
