@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 
-KEY = ("_id", "_hash")
+KEY = ("__tw_id", "__tw_hash")
 
 
 def _keyed(docs: DataFrame) -> dict[str, Column]:
-    return {"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")}
+    return {"__tw_id": F.col("doc_id").cast("long"), "__tw_hash": F.xxhash64("text")}
 
 
 def _buckets(rows: int) -> int:
@@ -51,7 +51,7 @@ def _buckets(rows: int) -> int:
 
 
 def _line_table(docs: DataFrame, min_chars: int) -> DataFrame:
-    """_id, _hash, i, two line hashes, and the sufficient lengths lf (from the line on) and lb (up to it); 0: none."""
+    """Key columns, i, two line hashes, and the sufficient lengths lf (from the line on) and lb (up to it); 0: none."""
     line = F.transform(F.split("text", "\n"), lambda x: F.struct(
         F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b"), (F.length(x) + 1).alias("c")))
     docs = docs.filter("text IS NOT NULL").select(*[c.alias(n) for n, c in _keyed(docs).items()], line.alias("lines"))
@@ -119,7 +119,7 @@ def _windows(ranks: DataFrame, k: int) -> DataFrame:
 def suffix_ranks(docs: DataFrame, min_chars: int = 50) -> list[tuple[int, DataFrame]]:
     """[(k, ranks by the first k lines)] for k = 1, 2, 4, ... up to the depth that a run of `min_chars` can have.
 
-    Each table is written: _id, _hash, i (line), lf, lb, rank (negative: the head occurs once). Sorting the
+    Each table is written: key columns, i (line), lf, lb, rank (negative: the head occurs once). Sorting the
     last one by abs(rank) gives the suffix array to that depth.
     """
     lines = materialize(_line_table(docs, min_chars))
@@ -134,14 +134,16 @@ def suffix_ranks(docs: DataFrame, min_chars: int = 50) -> list[tuple[int, DataFr
 
 
 def repeated_runs(docs: DataFrame, min_chars: int = 50) -> DataFrame:
-    """Later copies to delete, one row per maximal run of lines: _id, _hash, begin (line), n_lines."""
+    """Later copies to delete, one row per maximal run of lines: key columns, begin (line), n_lines."""
     windows = None
     for k, ranks in suffix_ranks(docs, min_chars):
         found = _windows(ranks, k)
         windows = found if windows is None else windows.union(found)
     windows = materialize(windows.distinct())
     place = F.struct(*KEY, "p")
+    # Counted in one job and joined in the next, so that adaptive execution can split a hot name.
     interval = windows.groupBy("length", "r1", "r2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    interval = materialize(interval)
     later = windows.join(interval, ["length", "r1", "r2"]).filter(place > F.col("first"))
     # Overlapping windows of a document merge into maximal runs.
     by_doc = Window.partitionBy(*KEY).orderBy("p", "stop")
@@ -155,17 +157,17 @@ def repeated_runs(docs: DataFrame, min_chars: int = 50) -> DataFrame:
 
 def delete_copies(docs: DataFrame, min_chars: int = 50) -> DataFrame:
     """The documents without the later copies of repeated runs, plus n_lines and n_deleted."""
-    runs = repeated_runs(docs, min_chars).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("begin", "n_lines"))).alias("_runs"))
-    runs = runs.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_runs")
-    joined = docs.withColumns(_keyed(docs)).join(runs, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left")
+    runs = repeated_runs(docs, min_chars).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("begin", "n_lines"))).alias("__tw_runs"))
+    runs = runs.select(F.col("__tw_id").alias("__tw_id2"), F.col("__tw_hash").alias("__tw_hash2"), "__tw_runs")
+    joined = docs.withColumns(_keyed(docs)).join(runs, F.col("__tw_id").eqNullSafe(F.col("__tw_id2")) & (F.col("__tw_hash") == F.col("__tw_hash2")), "left")
     lines = F.split("text", "\n")
     # The stretches between deleted runs, each cut out of the lines once.
-    ends = F.transform("_runs", lambda r: r["begin"] + r["n_lines"])
+    ends = F.transform("__tw_runs", lambda r: r["begin"] + r["n_lines"])
     begins = F.concat(F.array(F.lit(0)), ends)
-    stops = F.concat(F.transform("_runs", lambda r: r["begin"]), F.array(F.size(lines)))
+    stops = F.concat(F.transform("__tw_runs", lambda r: r["begin"]), F.array(F.size(lines)))
     kept = F.flatten(F.zip_with(begins, stops, lambda a, b: F.slice(lines, a + 1, F.greatest(b - a, F.lit(0)))))
-    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    deleted = F.aggregate(F.col("_runs"), F.lit(0), lambda n, r: n + r["n_lines"])
+    text = F.when(F.col("__tw_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    deleted = F.aggregate(F.col("__tw_runs"), F.lit(0), lambda n, r: n + r["n_lines"])
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_deleted")],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
