@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-MAX_BYTES = 4 << 20
+MAX_BYTES = 2 << 20
 
 _SPACE = [0x20, *range(0x09, 0x0E)]
 # Bytes of words for the pattern [^\x20\x09-\x0D]+ ; UTF-8 continuation bytes are all word bytes.
@@ -40,6 +40,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = MAX_BY
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+    release()
 
 
 def release() -> None:
