@@ -79,6 +79,25 @@ def test_surrogates_keep_type_and_format(spark):
     assert replaced(spark, texts[:1], surrogates.Surrogates("other"))[0].text != got[0].text
 
 
+def test_surrogates_take_whole_names(spark):
+    texts = [
+        "Mr McDonald and Mrs O'Neill met Mr John McDonald. McDonald's hat, MCDONALD said; mcdonald and Mac stay.",
+        "Dr John Quincy Adams wrote. Mr  Adams, Mr\nAdams and Adams; Prof. Dr. Adams", "Herr Ludwig van Beethoven and Mr John\nSmith, Smith-Jones",
+        "Dr J. R. D’Arcy-Smith's text, Mary Ann O’Hara", "Adams without a name stays, Mr nobody",
+    ]
+    got = replaced(spark, texts)
+    out = [got[i].text for i in range(len(texts))]
+    clear = ["McDonald", "MCDONALD", "Neill", "John", "Quincy", "Beethoven", "Ludwig", "Smith", "Arcy", "J. R.", "Mary", "Ann ", "Hara"]
+    assert not [c for c in clear if any(c in t for t in out)] and "Adams" not in out[1] and out[4] == texts[4]
+    first = re.fullmatch(r"Mr (\w+) and Mrs (\w+) met Mr (\w+) (\w+)\. (\w+)'s hat, (\w+) said; mcdonald and Mac stay\.", out[0])
+    assert first[1] == first[4] == first[5] == first[6].title() != first[2] and first[6].isupper()
+    adams = re.fullmatch(r"Dr (\w+) (\w+) (\w+) wrote\. Mr  (\w+), Mr\n(\w+) and (\w+); Prof\. Dr\. (\w+)", out[1])
+    assert len({adams[i] for i in range(3, 8)}) == 1 and adams[2] != adams[3]
+    smith = re.fullmatch(r"Herr \w+ van (\w+) and Mr (\w+)\n(\w+), (\w+)-Jones", out[2])
+    assert smith[3] == smith[4] and re.fullmatch(r"Dr [A-Z]\. [A-Z]\. \w+'s text, \w+ \w+ \w+", out[3])
+    assert [got[i].n_entities for i in range(len(texts))] == [5, 5, 3, 2, 0]
+
+
 def test_surrogates_stay_distinct(spark):
     # Two-character local parts: draws collide with each other and with real units.
     real = [f"{a}{b}@x.com" for a in "abcdefgh" for b in "0123456789"]

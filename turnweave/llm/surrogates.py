@@ -1,9 +1,15 @@
 """Keyed surrogates for personal data, in DataFrame expressions only.
 
 Found are e-mail addresses, keys and tokens, IBANs, IPv4 addresses, card
-numbers, telephone and social security numbers, and names after a title or
-with a listed given name. A mention is made of units: a number's digits, an
-address in lower case, each word of a name. A unit has one surrogate in the
+numbers, telephone and social security numbers, and names after titles or
+with a listed given name: any number of words with inner capitals, apostrophes
+and hyphens, with particles and initials between them. White space may be wide;
+a line may break after a title, or after a title and a listed given name. In a
+document that has a name, its surnames are mentions wherever they stand alone,
+capitalised or in capitals. A mention is made of units: a number's digits, an
+address in lower case, each word of a name (the first of several is a given
+name, others are surnames unless listed). Titles and particles stay; initials
+turn by a keyed number of letters. A unit has one surrogate in the
 whole corpus, a function of the secret key, its kind and itself, so mentions
 that differ in punctuation, case or title stay coreferent ("Mr Smith", "John
 Smith"). The surrogate has the unit's type and format: digits for digits,
@@ -26,6 +32,7 @@ listed first.
 """
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -57,7 +64,18 @@ SYLLABLES = {
 _LEFT, _RIGHT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _GIVEN = "|".join(sorted((n for ns in GIVEN.values() for n in ns), key=len, reverse=True))
-_NAME = r"(?:\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?|\p{Lu}{2,})"
+# A name word: a capital and more letters, inner capitals included; not the English endings 's, 'll and the like.
+_LETTER = r"\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{M}"
+_JOIN = rf"(?:-(?=\p{{Lu}})|['’](?!(?i:s|d|m|t|ll|re|ve)(?![{_LETTER}\p{{N}}])))[{_LETTER}]+"
+_WORD = rf"(?=\p{{Lu}})[{_LETTER}](?:[{_LETTER}]+(?:{_JOIN})*|(?:{_JOIN})+)"
+_SPACE = r"[\t\p{Zs}]{1,8}"
+_BREAK = rf"(?:{_SPACE}|[\t\p{{Zs}}]{{0,8}}\r?\n[\t\p{{Zs}}]{{0,8}})"
+_INITIAL = rf"\p{{Lu}}(?![{_LETTER}\p{{N}}'’-])"
+PARTICLES = ["van", "von", "vom", "der", "den", "dem", "de", "del", "della", "di", "da", "das", "do", "dos", "du", "des", "la", "las", "le", "los", "bin", "ibn", "al", "el", "ten", "ter", "zu", "zum", "zur", "y", "af", "av"]
+_BETWEEN = rf"(?:{_INITIAL}(?:\.(?:{_SPACE})?|{_SPACE})|(?:{'|'.join(PARTICLES)}){_SPACE}|(?:al|el)-|[dl]['’](?=\p{{Lu}}))*+"
+_NAMES = rf"{_BETWEEN}{_WORD}(?:{_SPACE}{_BETWEEN}{_WORD})*"
+_TITLES = rf"(?:(?:{_TITLE})\.?{_BREAK})+"
+_END = rf"(?![{_LETTER}\p{{N}}])"
 # Kinds in order of precedence. A mention never begins inside a word (`ANY` checks that once for all kinds).
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -67,9 +85,12 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9]){12,18}" + _RIGHT,
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _RIGHT,
     "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})" + _RIGHT,
-    "name": f"(?:(?:{_TITLE})\\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN}) {_NAME}){_RIGHT}",
+    "name": f"(?:{_TITLES}(?:(?:{_GIVEN}){_BREAK})?{_NAMES}|(?:{_GIVEN})(?:-{_WORD})?{_SPACE}{_NAMES}){_END}",
 }
-ANY = _LEFT + "(?:" + "|".join(PATTERNS.values()) + ")"
+_KINDS = "|".join(PATTERNS.values())
+ANY = f"{_LEFT}(?:{_KINDS})"
+# The words of a name, without its particles and initials.
+_TOKEN = rf"(?<![{_LETTER}\p{{N}}]){_WORD}|(?<=(?<![{_LETTER}])[dl]['’]){_WORD}"
 KEY = ("__tw_id", "__tw_hash")
 
 
@@ -96,30 +117,59 @@ def _kind(mention: Column) -> Column:
     return out.otherwise("name")
 
 
+def _name_words(mention: Column) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(mention, f"^{_TITLES}", ""), F.lit(_TOKEN), F.lit(0))
+
+
+def _is_surname(words: Column, word: Column, i: Column) -> Column:
+    """The last word, and middle ones that are no listed given names."""
+    given = [n for ns in GIVEN.values() for n in ns]
+    return (i == F.size(words) - 1) | (i > 0) & ~F.initcap(word).isin(given)
+
+
+def _pattern(text: Column) -> Column:
+    """`ANY` and, last, the bare surnames of the names in `text`."""
+    names = F.filter(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: m.rlike(f"^(?:{PATTERNS['name']})$"))
+    surnames = F.flatten(F.transform(names, lambda m: _surnames(_name_words(m))))
+    # Capitalised and in capitals; longer words first, so that none ends another one.
+    forms = F.flatten(F.transform(surnames, lambda w: F.array(w, F.upper(w), F.when((w == F.upper(w)), F.initcap(F.lower(w))).otherwise(w))))
+    forms = F.reverse(F.array_sort(F.array_distinct(forms)))
+    bare = F.concat(F.lit(f"{_LEFT}(?:{_KINDS}|(?:"), F.array_join(forms, "|"), F.lit(f"){_END})"))
+    return F.when(F.size(forms) > 0, bare).otherwise(F.lit(ANY))
+
+
+def _surnames(words: Column) -> Column:
+    return F.filter(words, lambda w, i: _is_surname(words, w, i))
+
+
 def mentions(docs: DataFrame) -> DataFrame:
     """Key columns, pos, mention, kind and its units (kind, unit), in text order."""
-    found = docs.filter(F.col("text").rlike(ANY)).select(*[c.alias(n) for n, c in _keyed(docs).items()], F.expr("regexp_extract_all(text, '" + ANY.replace("\\", "\\\\").replace("'", "\\'") + "', 0)").alias("all"))
+    found = docs.filter(F.col("text").rlike(ANY)).select(*[c.alias(n) for n, c in _keyed(docs).items()], F.regexp_extract_all("text", _pattern(F.col("text")), F.lit(0)).alias("all"))
     found = found.groupBy(*KEY).agg(F.first("all").alias("all")).select(*KEY, F.posexplode("all").alias("pos", "mention"))
     found = found.withColumn("kind", _kind(F.col("mention")))
-    # Names: the title stays; a word before another one is a given name.
-    bare = F.regexp_replace("mention", f"^(?:{_TITLE})\\.? ", "")
-    words = F.split(bare, " ")
-    title = F.regexp_extract("mention", f"^({_TITLE})\\.? ", 1)
-    gender = F.when(title.isin(TITLES["m"]), "m").when(title.isin(TITLES["f"]), "f")
-    listed = F.initcap(words[0])
+    title = F.regexp_extract("mention", f"^({_TITLES})", 1)
+    words = _name_words(F.col("mention"))
+    gender = None
+    for g in ("m", "f"):
+        hit = title.rlike(rf"(?<![{_LETTER}-])(?:{'|'.join(TITLES[g])})(?![{_LETTER}-])")
+        gender = F.when(hit, g) if gender is None else F.coalesce(gender, F.when(hit, g))
+    listed = F.initcap(F.split(words[0], "-")[0])
     for g in ("m", "f"):
         gender = F.coalesce(gender, F.when(listed.isin(GIVEN[g, "latin"] + GIVEN[g, "cyrillic"]), g))
     gender = F.coalesce(gender, F.lit("n"))
-    script = F.when(bare.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    surname = F.struct(F.concat(F.lit("surname "), script).alias("kind"), F.lower(F.element_at(words, -1)).alias("unit"))
-    given = F.struct(F.concat(F.lit("given "), gender, F.lit(" "), script).alias("kind"), F.lower(words[0]).alias("unit"))
+
+    def unit(word: Column, i: Column) -> Column:
+        script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+        given = F.concat(F.lit("given "), gender, F.lit(" "), script)
+        return F.struct(F.when(_is_surname(words, word, i), F.concat(F.lit("surname "), script)).otherwise(given).alias("kind"), F.lower(word).alias("unit"))
+
     plain = F.struct(F.col("kind"), (
         F.when(F.col("kind").isin("card", "ssn"), F.regexp_replace("mention", "[^0-9]", ""))
         .when(F.col("kind") == "phone", F.regexp_replace("mention", "[^0-9+]", ""))
         .when(F.col("kind") == "email", F.lower("mention"))
         .when(F.col("kind") == "iban", F.regexp_replace("mention", " ", ""))
         .otherwise(F.col("mention"))).alias("unit"))
-    units = F.when(F.col("kind") != "name", F.array(plain)).when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname))
+    units = F.when(F.col("kind") != "name", F.array(plain)).otherwise(F.transform(words, unit))
     return found.select(*KEY, "pos", "mention", "kind", units.alias("units"))
 
 
@@ -195,9 +245,13 @@ def surrogate_table(found: DataFrame, spec: Surrogates) -> DataFrame:
     raise ValueError(f"no distinct surrogates within {spec.attempts} attempts: too many units of one short format")
 
 
-def _rendered() -> Column:
-    """The mention with its units' surrogates (`given`, `surname` or `only`) in its own format."""
-    mention, kind, only = F.col("mention"), F.col("kind"), F.col("only")
+def _turned(letters: str, by: int):
+    return lambda x: F.translate(x, letters, letters[by:] + letters[:by])
+
+
+def _rendered(spec: Surrogates) -> Column:
+    """The mention with its units' surrogates (`new`, in order) in its own format."""
+    mention, kind, only = F.col("mention"), F.col("kind"), F.col("new")[0]
     chars = F.filter(F.split(mention, ""), lambda c: c != "")
 
     def fill(c: Column, i: Column, skip: str) -> Column:
@@ -208,10 +262,14 @@ def _rendered() -> Column:
     digits = F.array_join(F.transform(chars, lambda c, i: fill(c, i, "[^0-9]")), "")
     phone = F.array_join(F.transform(chars, lambda c, i: fill(c, i, "[^0-9+]")), "")
     iban = F.array_join(F.transform(chars, lambda c, i: fill(c, i, " ")), "")
-    title = F.regexp_extract("mention", f"^((?:{_TITLE})\\.? )", 1)
-    bare = F.regexp_replace("mention", f"^(?:{_TITLE})\\.? ", "")
-    name = F.concat_ws(" ", "given", "surname")
-    name = F.concat(title, F.when(bare == F.upper(bare), F.upper(name)).otherwise(name))
+    title = F.regexp_extract("mention", f"^({_TITLES})", 1)
+    bare = F.regexp_replace("mention", f"^{_TITLES}", "")
+    words = F.zip_with(_name_words(mention), F.col("new"), lambda w, n: F.when(w == F.upper(w), F.upper(n)).otherwise(n))
+    between = F.split(bare, _TOKEN, -1)
+    for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"):
+        by = int(hashlib.sha256(f"{spec.key}\x1finitial".encode()).hexdigest(), 16) % (len(letters) - 1) + 1
+        between = F.transform(between, _turned(letters, by))
+    name = F.concat(title, F.array_join(F.zip_with(between, words, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
     email = F.when(mention == F.upper(mention), F.upper(only)).otherwise(only)
     return (F.when(kind == "name", name).when(kind.isin("card", "ssn"), digits).when(kind == "phone", phone)
             .when(kind == "iban", iban).when(kind == "email", email).otherwise(only))
@@ -221,17 +279,16 @@ def replace(docs: DataFrame, spec: Surrogates) -> DataFrame:
     """The documents with surrogates in place of all mentions, plus n_entities."""
     found = materialize(mentions(docs))
     table = surrogate_table(found, spec)
-    slots = found.select(*KEY, "pos", "mention", "kind", F.explode("units").alias("u")).select(*KEY, "pos", "mention", F.col("kind").alias("type"), "u.kind", "u.unit")
+    slots = found.select(*KEY, "pos", "mention", F.col("kind").alias("type"), F.posexplode("units").alias("at", "u")).select(*KEY, "pos", "mention", "type", "at", "u.kind", "u.unit")
     slots = slots.join(table.select("kind", "unit", "surrogate"), ["kind", "unit"])
-    part = F.when(F.col("kind").startswith("given"), "given").when(F.col("kind").startswith("surname"), "surname").otherwise("only")
-    slots = slots.groupBy(*KEY, "pos", "mention", F.col("type").alias("kind")).agg(*[
-        F.max(F.when(part == p, F.col("surrogate"))).alias(p) for p in ("given", "surname", "only")])
-    new = slots.select(*KEY, "pos", _rendered().alias("new")).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("__tw_new"))
+    slots = slots.groupBy(*KEY, "pos", "mention", F.col("type").alias("kind")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]).alias("new"))
+    new = slots.select(*KEY, "pos", _rendered(spec).alias("new")).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("__tw_new"))
     new = new.select(F.col("__tw_id").alias("__tw_id2"), F.col("__tw_hash").alias("__tw_hash2"), "__tw_new")
     names = [c for c in docs.columns if c != "n_entities"]
     has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
     touched = docs.filter(has).withColumns(_keyed(docs)).join(new, F.col("__tw_id").eqNullSafe(F.col("__tw_id2")) & (F.col("__tw_hash") == F.col("__tw_hash2")))
-    gaps = F.split("text", ANY, -1)
+    gaps = F.split("text", _pattern(F.col("text")), -1)
     text = F.array_join(F.zip_with(gaps, F.transform("__tw_new", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     touched = touched.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], F.size("__tw_new").cast("long").alias("n_entities"))
     return docs.filter(~has).select(*names, F.lit(0).cast("long").alias("n_entities")).union(touched)
