@@ -98,6 +98,21 @@ def test_surrogates_take_whole_names(spark):
     assert [got[i].n_entities for i in range(len(texts))] == [5, 5, 3, 2, 0]
 
 
+def test_surrogates_replace_letters_of_every_script(spark):
+    local = ["иван.петров", "νίκος_παπ", "josé.müller-88", "李明", "يوسف.علي", "이순신", "jose\u0301.ruiz", "ИВАН", "দীপ", "أحمد١٢"]
+    texts = [f"to {x}@mail.ru." for x in local] + ["请联系ivan.p@mail.ru吧", "电话请打19216801@mail.ru", "请看иван@mail.ru"]
+    got = replaced(spark, texts)
+    for i, x in enumerate(local):
+        new = re.fullmatch(r"to (\S+)@[a-z]{4}\.ru\.", got[i].text)[1]
+        runs, old = re.split(r"[._%+-]", new), re.split(r"[._%+-]", x.lower())
+        assert got[i].n_entities == 1 and [len(r) for r in runs] == [len(r) for r in old]
+        assert not any(a == b for a, b in zip(runs, old))
+        assert not any(a == b for a, b in zip(new, x.lower()) if a.isalpha() and not a.isascii())
+    assert re.fullmatch("[а-я]+\\.[а-я]+", re.split("@| ", got[0].text)[1]) and re.fullmatch("[一-龥]+", re.split("@| ", got[3].text)[1])
+    assert re.fullmatch(r"请联系[a-z]{4}\.[a-z]@[a-z]{4}\.ru吧", got[10].text) and "ivan" not in got[10].text
+    assert re.fullmatch(r"电话请打\d{8}@[a-z]{4}\.ru", got[11].text) and re.fullmatch("请看[а-я]{4}@[a-z]{4}\\.ru", got[12].text)
+
+
 def test_surrogates_stay_distinct(spark):
     # Two-character local parts: draws collide with each other and with real units.
     real = [f"{a}{b}@x.com" for a in "abcdefgh" for b in "0123456789"]

@@ -15,7 +15,11 @@ that differ in punctuation, case or title stay coreferent ("Mr Smith", "John
 Smith"). The surrogate has the unit's type and format: digits for digits,
 letters for letters of the same case, the same separators and lengths, a valid
 check digit where there was one, a given name of the same gender, names in the
-same script.
+same script. Letters of an address beyond a-z become other letters of their
+script (`LETTERS`; scripts without a pool share one), digits become digits. Text
+in a script without spaces before an address in other letters is not a part of
+it; if the local part ends in such a script (and up to four digits), the whole
+run is replaced, since nothing shows where the address begins.
 
 Collision check: over the distinct units, no two of a kind may have the same
 surrogate and no surrogate may be a unit of the corpus. Units that fail draw
@@ -61,7 +65,19 @@ SYLLABLES = {
                  ["нов", "ров", "лев", "шин", "дин", "ский"]),
 }
 
-_LEFT, _RIGHT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+# Scripts written without spaces: a mention in other letters may begin right after their text.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+# Their text lies beyond U+0DFF, which is cheaper to ask first.
+_LEFT, _RIGHT = rf"(?:(?<![\p{{L}}\p{{N}}])|(?<![\x00-\x{{0DFF}}])(?<=[{_UNSPACED}])(?![{_UNSPACED}]))", r"(?![\p{L}\p{N}])"
+# Pools of surrogate letters by script, in lower case; the last one serves all other scripts.
+LETTERS = [
+    (r"\p{IsCyrillic}", "абвгдежзийклмнопрстуфхцчшщъыьэюя"), (r"\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω"),
+    (r"\p{IsLatin}", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"), (r"\p{IsArabic}", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"),
+    (r"\p{IsHebrew}", "אבגדהוזחטיכלמנסעפצקרשת"), (r"\p{IsHangul}", "가나다라마바사아자차카타파하고노도로모보소오조초코토포호"),
+    (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねの"), (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノ"),
+    (r"\p{IsDevanagari}", "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह"), (r"\p{IsThai}", "กขคงจฉชซญฐณดตถทธนบปผพฟภมยรลวสหอ"),
+    (r"\p{L}", "安白成大东方高国海和华江建金九开来林明南平青山水天文小新永元"),
+]
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _GIVEN = "|".join(sorted((n for ns in GIVEN.values() for n in ns), key=len, reverse=True))
 # A name word: a capital and more letters, inner capitals included; not the English endings 's, 'll and the like.
@@ -78,14 +94,14 @@ _TITLES = rf"(?:(?:{_TITLE})\.?{_BREAK})+"
 _END = rf"(?![{_LETTER}\p{{N}}])"
 # Kinds in order of precedence. A mention never begins inside a word (`ANY` checks that once for all kinds).
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": rf"(?=[\p{{L}}\p{{M}}\p{{N}}._%+-]++@)(?:[\p{{L}}\p{{M}}\p{{N}}._%+-]++(?<=[{_UNSPACED}][._%+-]{{0,3}}\p{{N}}{{0,4}})|[\p{{L}}\p{{M}}\p{{N}}._%+\-&&[^{_UNSPACED}]]++)@" r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}|(?=[0-9a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,128})" + _RIGHT,
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _RIGHT,
     "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}" + _RIGHT,
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _RIGHT,
     "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})" + _RIGHT,
-    "name": f"(?:{_TITLES}(?:(?:{_GIVEN}){_BREAK})?{_NAMES}|(?:{_GIVEN})(?:-{_WORD})?{_SPACE}{_NAMES}){_END}",
+    "name": f"(?=[\\p{{Lu}}г])(?:{_TITLES}(?:(?:{_GIVEN}){_BREAK})?{_NAMES}|(?:{_GIVEN})(?:-{_WORD})?{_SPACE}{_NAMES}){_END}",
 }
 _KINDS = "|".join(PATTERNS.values())
 ANY = f"{_LEFT}(?:{_KINDS})"
@@ -127,15 +143,20 @@ def _is_surname(words: Column, word: Column, i: Column) -> Column:
     return (i == F.size(words) - 1) | (i > 0) & ~F.initcap(word).isin(given)
 
 
-def _pattern(text: Column) -> Column:
-    """`ANY` and, last, the bare surnames of the names in `text`."""
-    names = F.filter(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: m.rlike(f"^(?:{PATTERNS['name']})$"))
+def _bare(found: Column) -> Column:
+    """A pattern of the bare surnames of the names among a document's mentions; NULL without names."""
+    names = F.filter(found, lambda m: m.rlike(f"^(?:{PATTERNS['name']})$"))
     surnames = F.flatten(F.transform(names, lambda m: _surnames(_name_words(m))))
     # Capitalised and in capitals; longer words first, so that none ends another one.
-    forms = F.flatten(F.transform(surnames, lambda w: F.array(w, F.upper(w), F.when((w == F.upper(w)), F.initcap(F.lower(w))).otherwise(w))))
-    forms = F.reverse(F.array_sort(F.array_distinct(forms)))
-    bare = F.concat(F.lit(f"{_LEFT}(?:{_KINDS}|(?:"), F.array_join(forms, "|"), F.lit(f"){_END})"))
-    return F.when(F.size(forms) > 0, bare).otherwise(F.lit(ANY))
+    forms = F.flatten(F.transform(surnames, lambda w: F.array(w, F.upper(w), F.when(w == F.upper(w), F.initcap(F.lower(w))).otherwise(w))))
+    text = F.array_join(F.reverse(F.array_sort(F.array_distinct(forms))), "|")
+    return F.when(text != "", F.concat(F.lit(f"{_LEFT}(?:"), text, F.lit(f"){_END}")))
+
+
+def _with_bare(found: Column, gaps: Column, bare: Column) -> Column:
+    """The mentions `found` between `gaps`, with the bare surnames of the gaps."""
+    more = F.zip_with(gaps, found, lambda g, m: F.concat(F.regexp_extract_all(g, bare, F.lit(0)), F.when(m.isNull(), F.array().cast("array<string>")).otherwise(F.array(m))))
+    return F.when(bare.isNull(), found).otherwise(F.flatten(more))
 
 
 def _surnames(words: Column) -> Column:
@@ -143,9 +164,12 @@ def _surnames(words: Column) -> Column:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """Key columns, pos, mention, kind and its units (kind, unit), in text order."""
-    found = docs.filter(F.col("text").rlike(ANY)).select(*[c.alias(n) for n, c in _keyed(docs).items()], F.regexp_extract_all("text", _pattern(F.col("text")), F.lit(0)).alias("all"))
-    found = found.groupBy(*KEY).agg(F.first("all").alias("all")).select(*KEY, F.posexplode("all").alias("pos", "mention"))
+    """Key columns, pos, mention, kind, its units (kind, unit) in text order, and the document's bare surnames (a pattern)."""
+    found = docs.filter(F.col("text").rlike(ANY)).select(*[c.alias(n) for n, c in _keyed(docs).items()], F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("all"), "text")
+    found = found.withColumn("bare", _bare(F.col("all")))
+    gaps = F.when(F.col("bare").isNotNull(), F.split("text", ANY, -1))
+    found = found.select(*KEY, _with_bare(F.col("all"), gaps, F.col("bare")).alias("all"), "bare")
+    found = found.groupBy(*KEY).agg(F.first("all").alias("all"), F.first("bare").alias("bare")).select(*KEY, "bare", F.posexplode("all").alias("pos", "mention"))
     found = found.withColumn("kind", _kind(F.col("mention")))
     title = F.regexp_extract("mention", f"^({_TITLES})", 1)
     words = _name_words(F.col("mention"))
@@ -170,7 +194,7 @@ def mentions(docs: DataFrame) -> DataFrame:
         .when(F.col("kind") == "iban", F.regexp_replace("mention", " ", ""))
         .otherwise(F.col("mention"))).alias("unit"))
     units = F.when(F.col("kind") != "name", F.array(plain)).otherwise(F.transform(words, unit))
-    return found.select(*KEY, "pos", "mention", "kind", units.alias("units"))
+    return found.select(*KEY, "pos", "mention", "kind", units.alias("units"), "bare")
 
 
 def _luhn_rest(digits: Column) -> Column:
@@ -193,12 +217,20 @@ def _surrogate(spec: Surrogates) -> Column:
 
     def letters(text: Column, keep: Column) -> Column:
         """Digits for digits and letters for letters, after the first `keep` characters."""
+        def other(c: Column, n: Column, pool: str) -> Column:
+            """A letter of the pool that is not `c`."""
+            return F.substr(F.lit(pool), F.pmod(F.instr(F.lit(pool), c) + F.pmod(n, F.lit(len(pool) - 1)), F.lit(len(pool))) + 1, F.lit(1))
+
         def one(c: Column, i: Column) -> Column:
             n = draw(i)
-            return (F.when(i < keep, c).when(c.rlike("[0-9]"), F.pmod(n, F.lit(10)).cast("string"))
+            out = (F.when(i < keep, c).when(c.rlike("[0-9]"), F.pmod(n, F.lit(10)).cast("string"))
                     .when(c.rlike("[a-f]") & (kind == "secret") & unit.rlike("^[0-9a-f]+$"), F.substr(F.lit("abcdef"), F.pmod(n, F.lit(6)) + 1, F.lit(1)))
                     .when(c.rlike("[a-z]"), F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(n, F.lit(26)) + 1, F.lit(1)))
-                    .when(c.rlike("[A-Z]"), F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.pmod(n, F.lit(26)) + 1, F.lit(1))).otherwise(c))
+                    .when(c.rlike("[A-Z]"), F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.pmod(n, F.lit(26)) + 1, F.lit(1))))
+            out = out.when(~c.rlike(r"[\p{L}\p{N}]"), c)
+            for script, pool in LETTERS:
+                out = out.when(c.rlike(rf"(?=\p{{L}}){script}"), other(c, n, pool))
+            return out.when(c.rlike(r"\p{N}"), F.pmod(n, F.lit(10)).cast("string")).otherwise(c)
         return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
 
     last = F.regexp_extract("unit", r"(\.[a-z]+)$", 1)
@@ -284,11 +316,13 @@ def replace(docs: DataFrame, spec: Surrogates) -> DataFrame:
     slots = slots.groupBy(*KEY, "pos", "mention", F.col("type").alias("kind")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]).alias("new"))
     new = slots.select(*KEY, "pos", _rendered(spec).alias("new")).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("__tw_new"))
-    new = new.select(F.col("__tw_id").alias("__tw_id2"), F.col("__tw_hash").alias("__tw_hash2"), "__tw_new")
+    new = new.join(found.filter("pos = 0").select(*[F.col(c).alias(f"{c}3") for c in KEY], F.col("bare").alias("__tw_bare")), F.col("__tw_id").eqNullSafe(F.col("__tw_id3")) & (F.col("__tw_hash") == F.col("__tw_hash3")))
+    new = new.select(F.col("__tw_id").alias("__tw_id2"), F.col("__tw_hash").alias("__tw_hash2"), "__tw_new", "__tw_bare")
     names = [c for c in docs.columns if c != "n_entities"]
     has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
     touched = docs.filter(has).withColumns(_keyed(docs)).join(new, F.col("__tw_id").eqNullSafe(F.col("__tw_id2")) & (F.col("__tw_hash") == F.col("__tw_hash2")))
-    gaps = F.split("text", _pattern(F.col("text")), -1)
+    gaps = F.split("text", ANY, -1)
+    gaps = F.when(F.col("__tw_bare").isNull(), gaps).otherwise(F.flatten(F.transform(gaps, lambda g: F.split(g, F.col("__tw_bare"), -1))))
     text = F.array_join(F.zip_with(gaps, F.transform("__tw_new", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     touched = touched.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], F.size("__tw_new").cast("long").alias("n_entities"))
     return docs.filter(~has).select(*names, F.lit(0).cast("long").alias("n_entities")).union(touched)
