@@ -25,5 +25,5 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 from . import (  # noqa: E402, F401
-    query_bpe, query_brown, query_compression, query_filter_audit, query_histogram_sort, query_merkle, query_pipeline, query_simhash, query_suffix_lines, query_surrogates, query_toxicity, query_warc, query_winnowing,
+    query_bpe, query_brown, query_compression, query_filter_audit, query_histogram_sort, query_jaccard_regions, query_merkle, query_pipeline, query_simhash, query_suffix_lines, query_surrogates, query_toxicity, query_warc, query_winnowing,
 )
