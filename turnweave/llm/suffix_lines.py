@@ -116,6 +116,16 @@ def _windows(ranks: DataFrame, k: int) -> DataFrame:
     return found.filter((F.col("length") >= k) & (F.col("length") < 2 * k) & (F.col("r1") > 0) & (F.col("r2") > 0))
 
 
+def _behind(ranks: DataFrame, k: int) -> DataFrame:
+    """Rows whose last k lines are a repeated head: a longer run up to the row may occur twice, whatever follows it."""
+    before = F.lag("rank", k - 1).over(Window.partitionBy(*KEY).orderBy("i"))
+    return ranks.select("lb", before.alias("head")).filter("head > 0")
+
+
+def _reaches(rows: DataFrame, column: str, depth: int) -> bool:
+    return (rows.agg(F.max(column)).first()[0] or 0) >= depth
+
+
 def suffix_ranks(docs: DataFrame, min_chars: int = 50) -> list[tuple[int, DataFrame]]:
     """[(k, ranks by the first k lines)] for k = 1, 2, 4, ... up to the depth that a run of `min_chars` can have.
 
@@ -127,8 +137,7 @@ def suffix_ranks(docs: DataFrame, min_chars: int = 50) -> list[tuple[int, DataFr
     total = lines.count()
     while True:
         k, ranks = levels[-1]
-        depth = ranks.filter("rank > 0").agg(F.max(F.greatest("lf", "lb"))).first()[0] or 0
-        if depth < 2 * k:
+        if not (_reaches(ranks.filter("rank > 0"), "lf", 2 * k) or _reaches(_behind(ranks, k), "lb", 2 * k)):
             return levels
         levels.append((2 * k, materialize(_doubled(ranks, k, total))))
 
