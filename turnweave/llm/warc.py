@@ -13,8 +13,9 @@ past the range's end to finish the last one; after a complete member the scan
 goes on behind it. Neither file names nor indexes are needed.
 
 Files live under the shared folder and are opened in the tasks through pyarrow's
-file systems (local or shared paths, hdfs, s3, gs). A file is written under a
-temporary name and moved, so a repeated task leaves the same files.
+file systems (local or shared paths, hdfs, s3, gs). A file's name holds the task
+attempt, so attempts of one task never touch each other's files; an archive
+counts once it stands in the committed list, and the rest goes with the folder.
 
 Skew: payload digests are pre-aggregated to one row before they meet the pages,
 and only revisits (two numbers a row) are joined to the pages, by page_id.
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, work_dir
+from ..runtime import materialize, run_dir
 
 MAGIC = b"\x1f\x8b\x08"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -52,7 +53,7 @@ class Warc:
     level: int = 6
     date: str = "2024-01-01T00:00:00Z"
     head_bytes: int = 64 << 10  # compressed bytes decoded to judge a candidate
-    pages_per_task: int = 20_000
+    ranges_per_task: int = 16  # beyond two ranges a core
 
 
 def _fs(uri: str):
@@ -107,27 +108,25 @@ def write(pages: DataFrame, folder: str, spec: Warc = Warc()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _fs(uri)
         files.create_dir(base, recursive=True)
-        part, number, out, size, records, made = TaskContext.get().partitionId(), 0, None, 0, 0, []
-        attempt = TaskContext.get().taskAttemptId()
+        context = TaskContext.get()
+        number, out, size, records, made = 0, None, 0, 0, []
 
         def name() -> str:
-            return f"{base}/part-{part:05d}-{number:05d}.warc.gz"
+            return f"{base}/part-{context.partitionId():05d}-{context.taskAttemptId()}-{number:05d}.warc.gz"
 
         for batch in batches:
             for page, url, data, target in zip(*[batch.column(c) for c in ("page_id", "url", "payload", "target")]):
                 if out is None:
-                    out, size, records = files.open_output_stream(f"{name()}.{attempt}", compression=None), 0, 0
+                    out, size, records = files.open_output_stream(name(), compression=None), 0, 0
                 member = record(page.as_py(), url.as_py(), data.as_py(), target.as_py(), spec)
                 out.write(member)
                 size, records = size + len(member), records + 1
                 if size >= spec.file_bytes:
                     out.close()
-                    files.move(f"{name()}.{attempt}", name())
                     made.append((name(), size, records))
                     out, number = None, number + 1
         if out is not None:
             out.close()
-            files.move(f"{name()}.{attempt}", name())
             made.append((name(), size, records))
         paths, sizes, counts = zip(*made) if made else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=["path", "bytes", "records"])
@@ -189,6 +188,11 @@ def read(archives: DataFrame, spec: Warc = Warc()) -> DataFrame:
 
     `digest` is the head's SHA-1 as lower-case hex; a response whose payload does not match raises.
     """
+    spark = archives.sparkSession
+    step = spec.range_bytes
+    total = archives.agg(F.sum(F.ceil(F.col("bytes") / step))).first()[0] or 0
+    # Every range is a row of a few bytes, so the number of tasks is given: adaptive execution would make one of them.
+    tasks = max(1, min(total, 2 * spark.sparkContext.defaultParallelism), total // spec.ranges_per_task)
     ranges = archives.filter("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(spec.range_bytes).cast("long"))).alias("begin"))
 
     def number(field: bytes | None) -> int | None:
@@ -224,11 +228,13 @@ def read(archives: DataFrame, spec: Warc = Warc()) -> DataFrame:
                             rows, held = [], 0
                 yield flush()
 
-    return ranges.repartition(F.col("path"), F.col("begin")).mapInArrow(run, RECORDS)
+    # Neighbouring ranges of a file go to different tasks.
+    dealt = F.pmod(F.floor(F.col("begin") / step) + F.crc32(F.col("path").cast("binary")), F.lit(tasks)).cast("int")
+    return ranges.repartitionById(tasks, dealt).mapInArrow(run, RECORDS)
 
 
 def archive_folder(spark: SparkSession) -> str:
-    return f"{work_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/warc-{uuid.uuid4().hex}"
 
 
 def resolve(records: DataFrame) -> DataFrame:
