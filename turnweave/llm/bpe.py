@@ -15,6 +15,7 @@ rows give repeated rows. Extra columns are dropped, an empty table stays empty.
 """
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import unicodedata
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from . import textbatch as tb
 from . import wordblocks as wb
 
+BLOCK_BYTES = 4 << 20
 SPACE, LETTER, DIGIT, OTHER = range(4)
 # White_Space property of Unicode (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -125,38 +127,50 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, spec: str, block_bytes: int = wb.BLOCK_BYTES, packed: bool = False) -> DataFrame:
-    """doc_id and `tokens`, the ids of the whole text, one row per document row.
-
-    Tokens are an array of ints or, `packed`, the ids as little-endian unsigned 32-bit integers.
-    """
+def _answers(docs: DataFrame, spec: str, splitter: wb.Splitter, block_bytes: int) -> DataFrame:
+    """The ids of every distinct word, by block and index."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast(spec)
-    splitter = word_splitter(_special(spec))
     tasks = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def answer(words: pa.Array) -> pa.ListArray:
         ids = [e.ids for e in _load(share.value).encode_batch(words.to_pylist(), add_special_tokens=False)]
         return pa.array(ids, pa.list_(pa.int32()))
 
+    # A worker that waits for its next task keeps no tokenizer.
+    return wb.lookup(wb.requests_of(docs, splitter, tasks, block_bytes), tasks, answer, done=_load.cache_clear)
+
+
+def _texts(answers: pa.Table, sizes: np.ndarray, index: np.ndarray, words: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, ids per text) of a block, for texts of about `words` words at a time."""
+    place, size, flat = ([wb.unpack(x) for x in answers.column(c).to_pylist()] for c in ("idx", "sizes", "numbers"))
+    place = np.concatenate([np.cumsum(x, dtype=np.int32) for x in place] or [np.zeros(0, np.int32)])
+    wb.check_places(index, len(place))
+    size = np.concatenate(size or [place])
+    flat = np.concatenate(flat or [place])
+    off = np.concatenate([[0], np.cumsum(size)])
+    # Into index order: the list of index i is number at[i].
+    at = np.empty(len(place), np.int32)
+    at[place] = np.arange(len(place), dtype=np.int32)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    first = 0
+    while first < len(sizes):
+        last = max(int(np.searchsorted(ends, ends[first] + words, side="right")) - 1, first + 1)
+        here = at[index[ends[first]:ends[last]]]
+        n = np.concatenate([[0], np.cumsum(size[here])])
+        yield wb.gather(flat, off, here), np.diff(n[ends[first:last + 1] - ends[first]])
+        first = last
+
+
+def encode(docs: DataFrame, spec: str, block_bytes: int = BLOCK_BYTES, packed: bool = False) -> DataFrame:
+    """doc_id and `tokens`, the ids of the whole text, one row per document row.
+
+    Tokens are an array of ints or, `packed`, the ids as little-endian unsigned 32-bit integers.
+    """
+    splitter = word_splitter(_special(spec))
+
     def fold(answers: pa.Table, ids: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> pa.Table:
-        columns = [[wb.unpack(x) for x in answers.column(c).to_pylist()] for c in ("idx", "sizes", "numbers")]
-        place = np.concatenate([np.cumsum(x) for x in columns[0]] or [np.zeros(0, np.int64)])
-        wb.check_places(index, len(place))
-        size, flat = np.concatenate(columns[1] or [place]), np.concatenate(columns[2] or [place]).astype(np.int32)
-        off = np.concatenate([[0], np.cumsum(size)])
-        # Into index order: the list of index i is number at[i].
-        at = np.empty(len(place), np.int64)
-        at[place] = np.arange(len(place))
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        tokens, counts = [], []
-        step = max(len(sizes) * 200_000 // max(len(index), 1), 1)  # texts of about so many words at a time
-        for first in range(0, len(sizes), step):
-            last = min(first + step, len(sizes))
-            here = at[index[ends[first]:ends[last]]]
-            tokens.append(wb.gather(flat, off, here))
-            n = np.concatenate([[0], np.cumsum(size[here])])
-            counts.append(np.diff(n[ends[first:last + 1] - ends[first]]))
+        tokens, counts = zip(*_texts(answers, sizes, index))
         cut = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
         flat = np.concatenate(tokens).astype("<u4" if packed else np.int32)
         if packed:
@@ -165,35 +179,47 @@ def encode(docs: DataFrame, spec: str, block_bytes: int = wb.BLOCK_BYTES, packed
             tokens = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat))
         return pa.table({"doc_id": pa.array(ids), "tokens": tokens})
 
-    answers = wb.lookup(wb.requests_of(docs, splitter, tasks, block_bytes), tasks, answer)
+    answers = _answers(docs, spec, splitter, block_bytes)
     joined = wb.join_back(answers, wb.sequences_of(docs, splitter, block_bytes), f"doc_id long, tokens {'binary' if packed else 'array<int>'}", fold)
     return joined.select(wb.real_id().alias("doc_id"), "tokens")
 
 
-@lru_cache(maxsize=2)
-def _pieces(spec: str) -> pa.Array:
+def pieces(spec: str) -> pa.Array:
     """The id-to-piece table: bytes of every id."""
     # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in plain]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-    tokenizer = _load(spec)
-    pieces = []
-    for i in range(tokenizer.get_vocab_size()):
-        token = tokenizer.id_to_token(i) or ""
+    content = json.loads(spec)
+    tokens = {i: t for t, i in content["model"]["vocab"].items()} | {t["id"]: t["content"] for t in content["added_tokens"]}
+    found = []
+    for i in range(max(tokens, default=-1) + 1):
+        token = tokens.get(i, "")
         known = all(c in byte_of for c in token)
-        pieces.append(bytes(byte_of[c] for c in token) if known else token.encode())
-    return pa.array(pieces, pa.binary())
+        found.append(bytes(byte_of[c] for c in token) if known else token.encode())
+    return pa.array(found, pa.binary())
+
+
+def _piece_texts(table: pa.Array, flat: np.ndarray, off: np.ndarray, step: int = 1 << 18) -> Iterator[bytes]:
+    """The joined pieces of the lists flat[off[i]:off[i + 1]], rows of about `step` ids at a time."""
+    first = 0
+    while first < len(off) - 1:
+        last = max(int(np.searchsorted(off, off[first] + step, side="right")) - 1, first + 1)
+        found = table.take(pa.array(flat[off[first]:off[last]]))
+        ends = tb.offsets(found)
+        data, cut = tb.raw_bytes(found), ends[off[first:last + 1] - off[first]] - ends[0]
+        for a, b in zip(cut[:-1], cut[1:]):
+            yield data[a:b]
+        first = last
 
 
 def decode(encoded: DataFrame, spec: str, tokens: str = "tokens") -> DataFrame:
     """The same rows with `decoded`: the pieces of the ids (an array or packed), joined; invalid UTF-8 becomes U+FFFD."""
-    share = encoded.sparkSession.sparkContext.broadcast(spec)
+    share = encoded.sparkSession.sparkContext.broadcast(pieces(spec))
     names = encoded.columns
     schema = encoded.withColumn("decoded", F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _pieces(share.value)
         for batch in batches:
             lists = batch.column(names.index(tokens))
             off = tb.offsets(lists)
@@ -201,14 +227,7 @@ def decode(encoded: DataFrame, spec: str, tokens: str = "tokens") -> DataFrame:
                 flat, off = np.frombuffer(tb.raw_bytes(lists), "<u4"), (off - off[0]) // 4
             else:
                 flat = np.asarray(lists.values)
-            texts, first = [], 0
-            while first < len(off) - 1:  # rows of about a million ids at a time
-                last = max(int(np.searchsorted(off, off[first] + (1 << 20), side="right")) - 1, first + 1)
-                pieces = table.take(pa.array(flat[off[first]:off[last]]))
-                ends = tb.offsets(pieces)
-                data, cut = tb.raw_bytes(pieces), ends[off[first:last + 1] - off[first]] - ends[0]
-                texts += [data[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:])]
-                first = last
+            texts = [x.decode("utf-8", "replace") for x in _piece_texts(share.value, flat, off)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
@@ -221,10 +240,27 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """Encode with the byte-level vocabulary and decode again: doc_id, n_tokens and the digests of ids and decoded text."""
+    """Encode with the byte-level vocabulary and decode again: doc_id, n_tokens and the digests of ids and decoded text.
+
+    The task that joins the ids back looks up their pieces too, so ids and decoded texts stay in one worker.
+    """
     spec = read_spec(tokenizer_path())
-    decoded = decode(encode(docs, spec, packed=True), spec)
-    return decoded.select(
-        "doc_id", (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    splitter = word_splitter(_special(spec))
+    share = docs.sparkSession.sparkContext.broadcast(pieces(spec))
+
+    def fold(answers: pa.Table, ids: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> pa.Table:
+        counts, coded, plain = [], [], []
+        for flat, n in _texts(answers, sizes, index):
+            off = np.concatenate([[0], np.cumsum(n)])
+            raw = memoryview(flat.astype("<u4")).cast("B")
+            counts.append(n)
+            coded += [hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+            plain += [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in _piece_texts(share.value, flat, off)]
+        return pa.table({"doc_id": pa.array(ids), "n_tokens": pa.array(np.concatenate(counts).astype(np.int64)), "ids_sha256": coded, "decoded_sha256": plain})
+
+    joined = wb.join_back(_answers(docs, spec, splitter, BLOCK_BYTES), wb.sequences_of(docs, splitter, BLOCK_BYTES), DIGESTS, fold)
+    return joined.withColumn("doc_id", wb.real_id())

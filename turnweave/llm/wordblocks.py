@@ -131,11 +131,13 @@ def requests_of(docs: DataFrame, splitter: Splitter, tasks: int, block_bytes: in
     return _source(docs, None).mapInArrow(run, "part int, block long, idx binary, words binary")
 
 
-def lookup(requests: DataFrame, tasks: int, answer: Callable[[pa.Array], pa.ListArray], step: int = 5_000) -> DataFrame:
+def lookup(requests: DataFrame, tasks: int, answer: Callable[[pa.Array], pa.ListArray], step: int = 5_000,
+           done: Callable[[], None] | None = None) -> DataFrame:
     """Answer every distinct word once: block, idx, sizes and numbers (packed), one row per block and part.
 
     `answer` maps distinct words to lists of whole numbers. A task holds the distinct words of its part;
-    with `tasks` at least the number of scan tasks, that is about as many as a block has.
+    with `tasks` at least the number of scan tasks, that is about as many as a block has. `done` is called
+    when a task has its answers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +154,10 @@ def lookup(requests: DataFrame, tasks: int, answer: Callable[[pa.Array], pa.List
         flat = np.concatenate([np.asarray(x.flatten()) for x in lists])
         off = np.concatenate([[0], np.cumsum(size)])
         at = 0
+        if done:
+            done()
+        del lists, words, table
+        tb.release()
         for block, idx, w in asked:
             here = place[at:at + len(w)]
             at += len(w)
