@@ -11,7 +11,7 @@ from the part counters (-1 without E) and entered anew (+1 with E). Every batch
 writes its changes under its own number; a batch that is run again overwrites
 them, and their sum is right after any number of batches in any order.
 
-A state key is a group of a few dozen texts (`texts_per_key`), so that the cost
+A state key is a group of some hundred texts (`texts_per_key`), so that the cost
 of a call is shared; each text in it has its own minimum. Within a task copies
 are combined first: only the smallest id of a text travels on, all others fail
 E whatever comes and go to the counters as sums. A text that holds a third of
@@ -55,7 +55,7 @@ class Audit:
     capital_percent: int = 3
     symbols: str = "[#$%&*|]"
     batches: int = 4  # micro-batches wanted; a file is never divided between two
-    texts_per_key: int = 64
+    texts_per_key: int = 512
 
 
 def text_masks(text: Column, spec: Audit) -> Column:
