@@ -17,7 +17,9 @@ Windows. With x and y at distances dx and dy of a pivot, |dx - dy| > t rules a
 link out. Before whole sets are sent to a region, parity sketches (an eighth of
 a byte a shingle) are: each bit that differs is a shingle that only one set has,
 a contraction of the set difference, so a pair whose sketches differ too much
-cannot link. Only sets with a possible partner are sent.
+cannot link. Sets that sketches connect stay together under the smallest of them
+as their pivot, whichever regions they met in; sets without a possible partner
+are not sent at all.
 
 Recursion. A region that is too big for a task is cut by pivots of its own: a
 set's home is its nearest pivot's Voronoi cell, and it is replicated to every
@@ -59,7 +61,8 @@ class Regions:
     region_sets: int = 2_000  # sets of a region that one task compares
     region_shingles: int = 4_000_000  # and their shingles
     pivots: int = 16  # pivots wanted for a region that is cut again
-    frequent: int = 1_000  # a shingle in more prefixes than this stands behind the others
+    region_sketches: int = 10_000  # sets of a region whose sketches one task compares
+    frequent: int = 200  # a shingle in more prefixes than this stands behind the others
 
     def prefix(self, n: int) -> int:
         return n - (self.percent * n + 99) // 100 + 1
@@ -93,12 +96,18 @@ def sketch(s: np.ndarray) -> bytes:
 PRINTS = "doc_id long, th binary, n int, sa long, sb long, sketch binary, pre array<long>"
 
 
-def _prints(docs: DataFrame, spec: Regions, hot: np.ndarray) -> DataFrame:
+def _marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash's first FILTER_BITS bits is set."""
+    top = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (bits[top >> 3] >> (top & 7).astype(np.uint8)) & 1 == 1
+
+
+def _prints(docs: DataFrame, spec: Regions, frequent: np.ndarray | None) -> DataFrame:
     """Per document: the text's digest, set size, the set's 128-bit digest, its sketch and its prefix."""
-    share = docs.sparkSession.sparkContext.broadcast(hot)
+    share = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = share.value
+        bits = share.value
         for batch in tb.pieces(batches, "text"):
             n, sa, sb, sketches, prefixes = [], [], [], [], []
             for s in shingle_sets(*tb.raw(batch.column("text"))):
@@ -107,8 +116,8 @@ def _prints(docs: DataFrame, spec: Regions, hot: np.ndarray) -> DataFrame:
                 sa.append(int.from_bytes(digest[:8], "little", signed=True))
                 sb.append(int.from_bytes(digest[8:], "little", signed=True))
                 sketches.append(sketch(s))
-                if len(s) and len(late):
-                    behind = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
+                if bits is not None:
+                    behind = _marked(bits, s)
                     s = np.concatenate([s[~behind], s[behind]])
                 prefixes.append(s[:spec.prefix(len(s))].view(np.int64) if len(s) else s.view(np.int64))
             off = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
@@ -125,11 +134,9 @@ def _digest(text: str) -> Column:
 
 
 def _frequent(docs: DataFrame, spec: Regions) -> np.ndarray:
-    """Shingles to put last, sorted. Their number is bounded by 10,000 mean prefixes: each holds more than a 10,000th of the documents."""
-    prints = _prints(docs, spec, np.zeros(0, np.uint64))
-    limit = max(spec.frequent, docs.count() // 10_000)
-    counts = prints.select(F.explode("pre").alias("s")).groupBy("s").count().filter(F.col("count") > limit)
-    return np.sort(counts.select("s").toArrow()["s"].to_numpy().astype(np.int64).view(np.uint64))
+    """The shingles to put last, as a bit filter of fixed size. What shares a bit with one goes last too: any order will do."""
+    counts = _prints(docs, spec, None).select(F.explode("pre").alias("fp")).groupBy("fp").count()
+    return _bit_filter(counts.filter(F.col("count") > spec.frequent).select("fp"), FILTER_BITS)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -157,8 +164,8 @@ def _folded(words: np.ndarray, bits: int) -> np.ndarray:
 
 
 def possible(n: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
-    """Which sets have a partner that sizes and sketches allow."""
-    out = np.zeros(len(n), bool)
+    """A group number per set: sets that sizes and sketches allow to link have the same one."""
+    label = np.arange(len(n))
     bits = np.array([8 * len(s) for s in sketches])
     rows = {m: np.flatnonzero(bits == m) for m in np.unique(bits).tolist()}
     words = {m: np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(len(at), -1) for m, at in rows.items()}
@@ -168,28 +175,27 @@ def possible(n: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
             sides.append((rows[2 * m], _folded(words[2 * m], m)))
         for other, theirs in sides:
             for i, mine in zip(at.tolist(), words[m]):
-                total = n[other] + n[i]
-                fit = (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])) & (other != i)
+                fit = (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])) & (label[other] != label[i])
                 near = np.flatnonzero(fit)
                 if len(near):
                     apart = np.bitwise_count(theirs[near] ^ mine).sum(1, dtype=np.int64)
-                    near = near[(100 + percent) * apart <= (100 - percent) * total[near]]
-                    if len(near):
-                        out[i] = True
-                        out[other[near]] = True
-    return out
+                    near = near[(100 + percent) * apart <= (100 - percent) * (n[other[near]] + n[i])]
+                    for group in np.unique(label[other[near]]):
+                        label[label == group] = label[i]
+    return label
 
 
 def _wanted(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        regions, nodes = [], []
         for rows in _grouped(batches, "p"):
-            at = np.flatnonzero(possible(rows["n"].to_numpy().astype(np.int64), rows["sketch"].to_pylist(), percent))
+            node = rows["node"].to_numpy()
+            order = np.argsort(node)
+            rows, node = rows.take(pa.array(order)), node[order]
+            _, first, group, size = np.unique(
+                possible(rows["n"].to_numpy().astype(np.int64), rows["sketch"].to_pylist(), percent), return_index=True, return_inverse=True, return_counts=True)
+            at = np.flatnonzero(size[group] > 1)
             if len(at):
-                nodes.append(rows["node"].to_numpy()[at])
-                regions.append(np.full(len(at), rows["p"][0].as_py()))
-        if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regions)), pa.array(np.concatenate(nodes))], names=["p", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[first[group[at]]]), pa.array(node[at])], names=["p", "node"])
 
     return run
 
@@ -332,8 +338,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in tb.pieces(batches, "text"):
             off = tb.offsets(batch.column("th"))
             th = np.frombuffer(tb.raw_bytes(batch.column("th")), np.uint8).reshape(len(off) - 1, -1)
-            top = (th[:, :8].copy().view(">u8")[:, 0] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            passed = batch.filter(pa.array((bits[top >> 3] >> (top & 7).astype(np.uint8)) & 1 == 1))
+            passed = batch.filter(pa.array(_marked(bits, th[:, :8].copy().view(">u8")[:, 0].astype(np.uint64))))
             if passed.num_rows:
                 sets = [s.tobytes() for s in shingle_sets(*tb.raw(passed.column("text")))]
                 yield pa.RecordBatch.from_arrays([passed.column("th"), pa.array(sets, pa.binary())], names=["th", "set"])
@@ -349,12 +354,12 @@ def link_edges(docs: DataFrame, nodes: DataFrame, spec: Regions) -> DataFrame:
     pivots = postings.groupBy("s").agg(F.min("node").alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     pairs = materialize(postings.join(pivots, "s").select("p", "node").distinct())
     size = pairs.groupBy("p").count()
-    big = materialize(size.filter(F.col("count") > spec.region_sets).select("p"))
+    big = materialize(size.filter(F.col("count") > spec.region_sketches).select("p"))
     slim = pairs.join(big, "p", "left_anti").join(nodes.select("node", "n", "sketch"), "node")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(tasks, -(-pairs.count() // 200_000))
     wanted = slim.repartition(tasks, "p").sortWithinPartitions("p").mapInArrow(_wanted(spec.percent), "p long, node long")
-    wanted = materialize(wanted.union(pairs.join(big, "p", "left_semi").select("p", "node")))
+    wanted = materialize(wanted.distinct().union(pairs.join(big, "p", "left_semi").select("p", "node")))
     rows = wanted.select("node").distinct().join(nodes.select("node", "th", "n"), "node")
     rows = materialize(rows)
     sets = rows.join(_sets_of(docs, rows), "th").select("node", "n", "set")
