@@ -23,6 +23,6 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from . import (  # noqa: F401
-        experiment_queries, feature_queries, rater_queries, record_queries,
+        experiment_queries, feature_queries, line_queries, rater_queries, record_queries,
         resampling_queries, source_queries, text_queries,
     )

@@ -184,3 +184,51 @@ def exact_quantiles(
         *[F.sum(F.when(F.col("i") == i, part)).alias(nm) for i, nm in enumerate(names)]
     )
     return picked
+
+
+def carried_sums(df: DataFrame, keys: list[str], order: list[Column], weights: dict[str, Column], pieces: int) -> DataFrame:
+    """Add running sums over the earlier rows of a key, in an order, for keys of any size.
+
+    `weights` maps new columns to weights. The rows are cut into range pieces of
+    (key, order), summed up per piece, and every piece takes the sums of the
+    earlier ones as its carry; a window never spans two pieces. The column
+    `chunk` numbers the pieces. Keys are not NULL and the order is total.
+    """
+    rows = order_chunks(df.withColumns({f"_w_{n}": w for n, w in weights.items()}), keys, order, pieces)
+    sums = rows.groupBy(*keys, "chunk").agg(*[F.sum(f"_w_{n}").alias(f"_s_{n}") for n in weights])
+    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per piece
+    carry = sums.select(*keys, "chunk", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in weights])
+    inside = Window.partitionBy(*keys, "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumns({n: F.coalesce(F.sum(f"_w_{n}").over(inside), F.lit(0)) for n in weights})
+    out = local.join(carry, [*keys, "chunk"]).withColumns({n: F.col(n) + F.col(f"_c_{n}") for n in weights})
+    return out.drop(*[f"_{p}_{n}" for n in weights for p in ("w", "c")])
+
+
+def smallest(df: DataFrame, keys: list[str], hashed: str, wanted: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The rows with the n smallest hashes of each key, with `rank` (from 1), without sorting or gathering a key.
+
+    `hashed` is a column of lower-case hex digits, `wanted` has (keys, n). Rows
+    are counted by the first four digits; the running counts name the one bucket
+    that holds rank n, and what lies below it is taken whole. A bucket that is
+    too big for a task is counted again by four more digits. Equal hashes are
+    ordered arbitrarily. A key with fewer rows gives all of them.
+    """
+    rest = df.join(wanted.select(*keys, F.col("n").alias("_left")).filter("_left > 0"), keys).withColumn("_before", F.lit(0).cast("long"))
+    taken, digits = None, 0
+    while True:
+        digits += 4
+        head = F.substring(hashed, 1, digits)
+        buckets = rest.groupBy(*keys, head.alias("_b"), "_left", "_before").agg(F.count(F.lit(1)).alias("_n"))
+        w = Window.partitionBy(*keys, "_before").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 rows
+        cut = buckets.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0))).filter("_below < _left")
+        cut = materialize(cut.select(*keys, "_b", "_n", (F.col("_left") - F.col("_below")).alias("_left"), (F.col("_before") + F.col("_below")).alias("_before")))
+        rows = rest.drop("_left", "_before").withColumn("_b", head).join(cut, [*keys, "_b"])
+        inside = Window.partitionBy(*keys, "_b").orderBy(hashed)
+        fits = (F.col("_n") <= rows_per_task) if digits < 32 else F.lit(True)
+        # Whole buckets and the last one of each key are ranked alike: a bucket is a task's work.
+        part = rows.filter(fits).withColumn("rank", F.row_number().over(inside) + F.col("_before")).filter(F.col("rank") - F.col("_before") <= F.col("_left"))
+        part = part.drop("_b", "_n", "_left", "_before")
+        taken = part if taken is None else taken.unionByName(part)
+        if digits >= 32 or cut.filter(~fits).isEmpty():
+            return taken
+        rest = rows.filter(~fits).drop("_b", "_n")
