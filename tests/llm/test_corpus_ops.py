@@ -32,7 +32,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert all(sum(q.startswith(f"op{n}_") for q in QUERIES) == 1 for n in range(1, 11))
+    assert all(sum(q.startswith(f"op{n}_") for q in QUERIES) == 1 for n in range(1, 14))
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
