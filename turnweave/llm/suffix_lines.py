@@ -116,14 +116,16 @@ def _windows(ranks: DataFrame, k: int) -> DataFrame:
     return found.filter((F.col("length") >= k) & (F.col("length") < 2 * k) & (F.col("r1") > 0) & (F.col("r2") > 0))
 
 
-def _behind(ranks: DataFrame, k: int) -> DataFrame:
-    """Rows whose last k lines are a repeated head: a longer run up to the row may occur twice, whatever follows it."""
-    before = F.lag("rank", k - 1).over(Window.partitionBy(*KEY).orderBy("i"))
-    return ranks.select("lb", before.alias("head")).filter("head > 0")
+def _goes_on(ranks: DataFrame, k: int) -> bool:
+    """Whether a run of 2k lines or more, from a line on or up to one, may occur twice: its first or last two k-line heads both do.
 
-
-def _reaches(rows: DataFrame, column: str, depth: int) -> bool:
-    return (rows.agg(F.max(column)).first()[0] or 0) >= depth
+    A run up to a line counts whatever follows that line.
+    """
+    by_doc = Window.partitionBy(*KEY).orderBy("i")
+    rows = ranks.select("lf", "lb", "rank", F.lead("rank", k).over(by_doc).alias("next"),
+                        F.lag("rank", k - 1).over(by_doc).alias("last"), F.lag("rank", 2 * k - 1).over(by_doc).alias("first"))
+    ahead = f"lf >= {2 * k} AND rank > 0 AND next > 0"
+    return not rows.filter(f"{ahead} OR lb >= {2 * k} AND last > 0 AND first > 0").isEmpty()
 
 
 def suffix_ranks(docs: DataFrame, min_chars: int = 50) -> list[tuple[int, DataFrame]]:
@@ -137,7 +139,7 @@ def suffix_ranks(docs: DataFrame, min_chars: int = 50) -> list[tuple[int, DataFr
     total = lines.count()
     while True:
         k, ranks = levels[-1]
-        if not (_reaches(ranks.filter("rank > 0"), "lf", 2 * k) or _reaches(_behind(ranks, k), "lb", 2 * k)):
+        if not _goes_on(ranks, k):
             return levels
         levels.append((2 * k, materialize(_doubled(ranks, k, total))))
 
