@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnweave.functions import tails
+from turnweave.functions.permutation import Permutations
 from turnweave.operators import folds as fo
 from turnweave.operators import ranks as rk
 from turnweave.operators import resampling as rs
@@ -298,15 +299,48 @@ def test_stage_sets():
         st.stage_sets(NOVEL)
 
 
-def test_hot_rank_path_matches_small_path(spark, monkeypatch):
-    """Replicates cut by hash prefix give the positions of the one-task sort."""
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 30, 81, 1000])
+def test_permutations_are_one_to_one_and_invert(n):
+    pos = np.arange(n)
+    p = Permutations(42, range(1, 41), n)
+    image = p(pos)
+    assert (np.sort(image, axis=1) == pos).all()
+    assert all((Permutations(42, [rep], n)(image[rep - 1], back=True)[0] == pos).all() for rep in range(1, 41))
+    assert n < 7 or len({tuple(row) for row in image}) == 40
+
+
+def test_permutations_are_even_over_places():
+    """Every place goes everywhere alike often, alone and in pairs (chi-square far from both tails)."""
+    n, reps = 12, 20000
+    image = Permutations(7, range(reps), n)(np.arange(n))
+    for cells, k in ((np.arange(n) * n + image, n * n), (image[:, 3] * n + image[:, 8], None)):
+        seen = np.bincount(cells.ravel(), minlength=n * n)
+        seen = seen if k else seen[~np.eye(n, dtype=bool).ravel()]
+        expected = seen.sum() / len(seen)
+        chi, df = ((seen - expected) ** 2 / expected).sum(), len(seen) - 1
+        assert abs(chi - df) < 6 * np.sqrt(2 * df)
+
+
+def test_permuted_sums_match_a_plain_loop_on_both_paths(spark, monkeypatch):
     from turnweave.operators import skew
 
-    ids = spark.range(200).select(F.col("id").cast("string").alias("id"))
-    a = rs.permuted_positions(ids.withColumn("v", F.col("id")), "id", 200, 2, 42).toPandas().sort_values(["rep", "target"])
-    monkeypatch.setattr(skew, "ROWS_PER_TASK", 50)
-    b = rs.permuted_positions(ids.withColumn("v", F.col("id")), "id", 200, 2, 42).toPandas().sort_values(["rep", "target"])
-    assert a["v"].tolist() == b["v"].tolist()
+    pdf = make(11, 90, 2)
+    pdf["y2"] = pdf["y"] ** 2
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "id string, " + ", ".join(f"{c} double" for c in pdf.columns[1:]))
+    t = st.record_table(df, "id", ["x0", "x1"], ["y", "y2"], 5, 42)
+    b = ridge.basis(t, ["x0", "x1"], ["y", "y2"])
+    rows = t.select("pos", "fold", *b.vector()).toPandas().sort_values("pos")
+    z, y = rows[[f"z{i}" for i in range(1, b.width - 2)]].to_numpy(), rows[[f"z{b.width - 2}", f"z{b.width - 1}"]].to_numpy()
+    image = Permutations(42, [1, 2, 3], b.n)(np.arange(b.n))
+    for limit in (skew.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", limit)
+        got = rs.permuted_sums(t, b, 3, 42).collect()
+        assert len(got) == 6
+        for row in got:
+            star = y[image[row.rep - 1], row.o]
+            for part in row.parts:
+                at = (rows["fold"] == part.fold).to_numpy()
+                assert np.allclose([part.sy, part.syy, *part.zy], [star[at].sum(), (star[at] ** 2).sum(), *(star[at] @ z[at])])
 
 
 def test_large_paths_match_small_paths(spark, monkeypatch):

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import WORDS
+from ..functions.permutation import PRIME, ROUNDS
 from ..operators import folds as fo
 from ..operators import ranks as rk
 from ..operators import resampling as rs
@@ -151,15 +152,35 @@ N_PERM = 5000
 N_PERM_GROUPED = 1000
 
 
+def sql_rounds(places: str) -> str:
+    """rep, pos, x after the rounds of `functions/permutation.py`, from places (rep, pos, x)."""
+    out = f"SELECT rep, pos, x // b AS l, x % b AS r, a, b, c FROM {places} JOIN kc USING (rep), sides"
+    for i in range(ROUNDS):
+        to, by, size = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        c = [f"c[{4 * i + j + 1}]" for j in range(4)]
+        f = f"((({c[3]} * {by} + {c[2]}) % {PRIME} * {by} + {c[1]}) % {PRIME} * {by} + {c[0]}) % {PRIME}"
+        out = f"SELECT * REPLACE (({to} + {f} % {size}) % {size} AS {to}) FROM ({out})"
+    return f"SELECT rep, pos, l * b + r AS x FROM ({out})"
+
+
+def sql_ystar(n_perm: int) -> str:
+    """`ystar`(rep, pos, ys): the permuted outcome of each position; replicate 0 is the observed order."""
+    return f"""kc AS (SELECT rep.range AS rep, list(('0x' || substr(md5('{SEED}:' || rep.range || ':' || i.range // 4), 1 + 8 * (i.range % 4), 8))::BIGINT % {PRIME}
+    ORDER BY i.range) AS c FROM range(1, {n_perm + 1}) rep, range({4 * ROUNDS}) i GROUP BY 1),
+sides AS (SELECT a, (n + a - 1) // a AS b, n FROM (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM base)),
+walk(rep, pos, x) AS (
+  {sql_rounds("(SELECT rep, pos, pos AS x FROM base, kc)")}
+  UNION ALL {sql_rounds("(SELECT rep, pos, x FROM walk WHERE x >= (SELECT n FROM sides))")}),
+ystar AS (SELECT 0 AS rep, pos, y AS ys FROM base UNION ALL SELECT w.rep, w.pos, base.y FROM walk w JOIN base ON base.pos = w.x)"""
+
+
 def sql_permuted(src: str, xs: list[str], alpha: float = 100.0, n_perm: int = N_PERM) -> str:
     """rep, r_foldmean, r_oof; replicate 0 is the observed order."""
     p = len(xs)
     rhs = f"""SELECT tf, i.range AS i, {p + 1} + rep AS j, sum(z[i.range] * ys) AS v FROM z JOIN ystar USING (pos), range(1, {p + 1}) i
       WHERE is_tr GROUP BY tf, i.range, rep"""
     return f"""WITH RECURSIVE {sql_train(src, xs)},
-ystar AS (SELECT 0 AS rep, pos, y AS ys FROM base UNION ALL
-  SELECT rep.range, row_number() OVER (PARTITION BY rep.range ORDER BY md5('{SEED}:' || rep.range || ':' || id), id) - 1, y
-  FROM base, range(1, {n_perm + 1}) rep),
+{sql_ystar(n_perm)},
 {sql_solve(p, str(alpha), rhs)},
 beta AS (SELECT tf, j - {p + 1} AS rep, list(v ORDER BY i) AS b FROM coef GROUP BY 1, 2),
 yb AS (SELECT tf, rep, avg(ys) AS yb FROM z JOIN ystar USING (pos) WHERE is_tr GROUP BY 1, 2),
@@ -345,8 +366,7 @@ def sql_full(src: str, xs: list[str], n_perm: int, alpha: float = 100.0) -> str:
     p = len(xs)
     rhs = f"""SELECT tf, i.range AS i, {p + 1} + rep AS j, sum(z[i.range] * ys) AS v FROM z JOIN ystar USING (pos), range(1, {p + 1}) i GROUP BY tf, i.range, rep"""
     return f"""WITH RECURSIVE base AS ({src}), {sql_design("SELECT *, -1 AS fold, 0 AS tf, true AS is_tr FROM base", xs)},
-ystar AS (SELECT 0 AS rep, pos, y AS ys FROM base UNION ALL
-  SELECT rep.range, row_number() OVER (PARTITION BY rep.range ORDER BY md5('{SEED}:' || rep.range || ':' || id), id) - 1, y FROM base, range(1, {n_perm + 1}) rep),
+{sql_ystar(n_perm)},
 {sql_solve(p, str(alpha), rhs)}
 SELECT i, j - {p + 1} AS rep, v AS coef FROM coef"""
 

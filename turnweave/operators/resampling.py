@@ -1,55 +1,102 @@
 """Permutation and bootstrap replicates as rows: `rep` is a grouping column."""
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw_index, hash_key
+from ..functions.hashing import draw_index
+from ..functions.permutation import Permutations
 from . import ridge, skew
 from .ridge import CrossValidation, Factor, Spec, correlation
 
 
-def permuted_positions(ids: DataFrame, id_col: str, n: int, n_rep: int, seed: int) -> DataFrame:
-    """(rep, target, ...columns of ids): in each replicate the record moves to
-    the position of its md5(seed:rep:id) rank.
+# Values of permuted outcomes that a task holds at once, and permuted values that are worth a task of their own.
+CELLS, TASK_VALUES = 2_000_000, 50_000_000
 
-    Up to ROWS_PER_TASK records a replicate is ordered in one task; beyond, it
-    is cut into 65,536 even pieces by the hash.
-    """
-    d = skew.spread_rows(ids, n, n_rep).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_rep)))).withColumn(
-        "_hex", hash_key(seed, F.col("rep"), F.col(id_col))
-    )
-    # The first 15 digits as a number sort in the order of the text and faster.
-    d = d.withColumn("_key", F.conv(F.substring("_hex", 1, 15), 16, 10).cast("long"))
-    order = [F.col("_key"), F.col(id_col)]
-    if n <= skew.ROWS_PER_TASK:
-        w = Window.partitionBy("rep").orderBy(*order)
-        d = d.withColumn("target", F.row_number().over(w).cast("bigint"))
-    else:
-        d = skew.positions(d, order, F.substring("_hex", 1, 4), ["rep"], "target")
-    return d.withColumn("target", F.col("target") - 1).drop("_key", "_hex", id_col)
 
+def _moved(n: int, n_rep: int, seed: int):
+    """Every record once per replicate, with the position it moves to."""
 
-def permuted_sums(base: DataFrame, b: ridge.Basis, id_col: str, n_rep: int, seed: int) -> DataFrame:
+    def run(batches):
+        for pdf in batches:
+            step = max(1, CELLS // max(len(pdf), isqrt(n)))
+            for lo in range(1, n_rep + 1, step):
+                reps = range(lo, min(lo + step, n_rep + 1))
+                target = Permutations(seed, reps, n)(pdf["pos"].to_numpy(), back=True)
+                out = pdf.drop(columns="pos").loc[np.tile(pdf.index, len(reps))].reset_index(drop=True)
+                yield out.assign(rep=np.repeat(reps, len(pdf)), target=target.ravel())[["rep", "target", *out.columns]]
+
+    return run
+
+
+def _fold_sums(shared, names: list[str], n: int, n_rep: int, seed: int):
+    """Sums of the task's positions for every replicate; outcome values come from the shared table."""
+
+    def run(batches):
+        batches = [pdf for pdf in batches if len(pdf)]
+        if not batches:
+            return
+        pdf = pd.concat(batches).sort_values("fold", kind="stable")
+        pos, fold, z = pdf["pos"].to_numpy(), pdf["fold"].to_numpy(), pdf[names].to_numpy(dtype=float)
+        cuts = np.flatnonzero(np.diff(fold)) + 1
+        pieces = list(zip([0, *cuts], [*cuts, len(fold)]))
+        step = max(1, CELLS // max(len(pos), isqrt(n)))
+        for lo in range(1, n_rep + 1, step):
+            reps = np.arange(lo, min(lo + step, n_rep + 1))
+            source = Permutations(seed, reps.tolist(), n)(pos)
+            for o, y in enumerate(shared.value):
+                star = y[source]
+                for a, b in pieces:
+                    part = star[:, a:b]
+                    sums = pd.DataFrame(part @ z[a:b], columns=names)
+                    sums.insert(0, "syy", np.einsum("ij,ij->i", part, part))
+                    sums.insert(0, "sy", part.sum(axis=1))
+                    for name, value in (("fold", fold[a]), ("o", o), ("rep", reps)):
+                        sums.insert(0, name, value)
+                    yield sums
+
+    return run
+
+
+def permuted_sums(base: DataFrame, b: ridge.Basis, n_rep: int, seed: int) -> DataFrame:
     """Per (rep, outcome, fold): sums of y*, y*^2 and z y* where y* is the
-    permuted outcome; X and the folds stay. All outcomes share the permutation.
+    permuted outcome; X and the folds stay. All outcomes share the permutation:
+    position t takes the outcome of position `Permutations(t)`.
+
+    Outcomes under skew.BROADCAST_BYTES are sent to the tasks, which look their
+    positions' outcomes up and exchange sums only. Beyond, each record is sent
+    to its position in every replicate and joined there.
     """
-    ys = F.array(*[F.struct(F.lit(i).alias("o"), b.scaled(y).alias("y")) for i, y in enumerate(b.outcomes)])
-    moved = permuted_positions(base.select(id_col, ys.alias("ys")), id_col, b.n, n_rep, seed)
     z = [b.filled(f).alias(f"x{i}") for i, f in enumerate(b.features)]
     z += [b.missing(f).alias(f"m{i}") for i, f in enumerate(b.nullable)]
     names = [f"x{i}" for i in range(len(b.features))] + [f"m{i}" for i in range(len(b.nullable))]
-    x = base.select(F.col("pos").alias("target"), "fold", *z)
-    rows = moved.join(skew.join_side(x, b.n, 2 + len(names)), "target").select("rep", "fold", *names, F.explode("ys").alias("y")).select(
-        "rep", "fold", *names, "y.o", "y.y"
-    )
-    g = rows.groupBy("rep", "o", "fold").agg(
-        F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"),
-        *[F.sum(F.col(c) * F.col("y")).alias(c) for c in names],
-    )
-    part = F.struct("fold", "sy", "syy", F.array(*names).alias("zy"))
+    ys = [b.scaled(y).alias(f"y{i}") for i, y in enumerate(b.outcomes)]
+    x = base.select("pos", F.col("fold").cast("int").alias("fold"), *z)
+    if b.n * (1 + len(ys)) * 8 <= skew.BROADCAST_BYTES:
+        context = base.sparkSession.sparkContext
+        table = base.select("pos", *ys).toPandas().sort_values("pos")
+        shared = context.broadcast([table[f"y{i}"].to_numpy(dtype=float) for i in range(len(ys))])
+        tasks = max(1, min(isqrt(b.n) // 4, max(context.defaultParallelism, b.n * n_rep // TASK_VALUES)))
+        columns = ", ".join(f"{c} double" for c in ["sy", "syy", *names])
+        g = x.repartition(tasks).mapInPandas(
+            _fold_sums(shared, names, b.n, n_rep, seed), f"rep int, o int, fold int, {columns}")
+        g = g.groupBy("rep", "o", "fold").agg(*[F.sum(c).alias(c) for c in ["sy", "syy", *names]])
+    else:
+        columns = ", ".join(f"y{i} double" for i in range(len(ys)))
+        moved = skew.spread_rows(base.select("pos", *ys), b.n, n_rep).mapInPandas(
+            _moved(b.n, n_rep, seed), f"rep int, target bigint, {columns}")
+        outcomes = F.explode(F.array(*[F.struct(F.lit(i).alias("o"), F.col(f"y{i}").alias("y")) for i in range(len(ys))]))
+        x = skew.join_side(x.withColumnRenamed("pos", "target"), b.n, 2 + len(names))
+        rows = moved.join(x, "target").select("rep", "fold", *names, outcomes.alias("y")).select("rep", "fold", *names, "y.o", "y.y")
+        g = rows.groupBy("rep", "o", "fold").agg(
+            F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"),
+            *[F.sum(F.col(c) * F.col("y")).alias(c) for c in names],
+        )
+    part = F.struct("fold", "sy", "syy", F.array(*[F.col(c) for c in names]).cast("array<double>").alias("zy"))
     return g.groupBy("rep", "o").agg(F.sort_array(F.collect_list(part)).alias("parts"))  # k entries
 
 
@@ -119,7 +166,7 @@ def permutation_test(
         "r_foldmean double, r_oof double")
     if not n_perm:
         return _null_nan(obs, ["r_foldmean", "r_oof"]).withColumn("p_value", F.lit(1.0)).drop("spec")
-    reps = permuted_sums(cv.df, cv.b, id_col, n_perm, seed).mapInPandas(
+    reps = permuted_sums(cv.df, cv.b, n_perm, seed).mapInPandas(
         _PermutedCv(cv, specs), "rep int, spec int, r_foldmean double, r_oof double"
     )
     stars = reps.select("spec", F.abs(aggregate).alias("star")).filter(~F.isnan("star"))
@@ -161,7 +208,7 @@ def coefficient_test(
     if not n_perm:
         p = F.lit(1.0)
         return obs.select("feature", "coef_obs", p.alias("p_value"), (p < 0.05).alias("significant"))
-    sums = permuted_sums(base.withColumn("fold", F.lit(0)), b, id_col, n_perm, seed)
+    sums = permuted_sums(base.withColumn("fold", F.lit(0)), b, n_perm, seed)
     stars = sums.mapInPandas(solve, "coefs array<double>").select(F.posexplode("coefs").alias("i", "star"))
     hits = stars.join(F.broadcast(obs), "i").groupBy("i").agg(
         F.count_if(F.col("star") >= F.abs("coef_obs")).alias("hits"))
