@@ -357,3 +357,135 @@ def test_large_paths_match_small_paths(spark, monkeypatch):
     assert np.allclose(a["coef"], b["coef"])
     n = ridge.train_medians(t, ridge.basis(t, xs, ["y"]), 5)
     assert all(abs(m[f][c] - n[f][c]) < 1e-12 for f in m for c in m[f])
+
+
+# --- draws -------------------------------------------------------------------------
+def test_draws_of_ranges_are_the_draws_of_the_whole():
+    from turnweave.functions.draws import Draws
+
+    for n, span in ((1, 4), (4, 4), (5, 4), (103, 10), (64, 8)):
+        d = Draws(7, n, span)
+        for rep in (1, 2):
+            for _, first, last in d.blocks(3):
+                shares = [d.share(rep, first, last, at) for at in range(d.ranges)]
+                assert shares[0][0] == first and shares[-1][1] == last
+                assert all(a[1] == b[0] for a, b in zip(shares, shares[1:]))
+                got = d.places(rep, first, last)
+                assert len(got) == last - first and got.min() >= 0 and got.max() < n
+                assert got.tolist() == d.places(rep, first, last).tolist()
+    assert Draws(1, 3).blocks(5) == [(0, 0, 1), (1, 1, 2), (2, 2, 3)] and Draws(1, 0).blocks(2) == []
+
+
+def test_draws_of_one_range_are_plain_hashes():
+    import hashlib
+
+    from turnweave.functions.draws import Draws
+
+    want = [int(hashlib.md5(f"42:3:{i}".encode()).hexdigest()[:8], 16) % 50 for i in range(10, 40)]
+    assert Draws(42, 50).places(3, 10, 40).tolist() == want
+
+
+def test_draws_over_ranges_are_uniform_and_independent():
+    from turnweave.functions.draws import Draws
+
+    n, reps = 45, 4000  # ranges of 8, the last of 5
+    d = Draws(11, n, 8)
+    counts = np.array([np.bincount(d.places(r, 0, n), minlength=n) for r in range(reps)])
+    chi = ((counts.sum(0) - reps) ** 2 / reps).sum()
+    assert chi < n - 1 + 5 * math.sqrt(2 * (n - 1))
+    # multinomial: variance n p (1 - p), covariance -n p^2, within a range and between ranges
+    cov = np.cov(counts.T)
+    assert abs(np.diag(cov).mean() - (1 - 1 / n)) < 0.02
+    off = ~np.eye(n, dtype=bool)
+    same = np.equal.outer(np.arange(n) // 8, np.arange(n) // 8) & off
+    assert abs(cov[same].mean() + 1 / n) < 0.01 and abs(cov[off & ~same].mean() + 1 / n) < 0.01
+
+
+def test_weighted_median():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 40):
+        v, w = rng.integers(0, 9, n).astype(float), rng.integers(0, 4, n)
+        w[0] += 1
+        assert rs.weighted_median(v, np.argsort(v), w) == np.median(np.repeat(v, w))
+    assert rs.weighted_median(np.array([1.0]), np.array([0]), np.array([0])) is None
+    assert rs.weighted_median(np.array([1.0]), np.array([], int), np.array([3])) is None
+
+
+def test_weighted_quantiles_equal_repeated_rows(spark):
+    from turnweave.operators import skew
+
+    rng = np.random.default_rng(4)
+    rows = [(int(k), float(v), int(w)) for k, v, w in zip(rng.integers(0, 3, 300), rng.integers(0, 40, 300), rng.integers(0, 5, 300))]
+    rows += [(9, None, 4), (9, 2.5, 3), (10, 1.0, 0)]
+    t = spark.createDataFrame(rows, "k int, v double, w int")
+    got = {r.k: (r.a, r.b) for r in skew.exact_quantiles(t, ["k"], "v", [0.5, 0.9], ["a", "b"], weight="w").collect()}
+    want = {}
+    for k in (0, 1, 2, 9):
+        v = np.repeat([r[1] for r in rows if r[0] == k and r[1] is not None], [r[2] for r in rows if r[0] == k and r[1] is not None])
+        want[k] = tuple(np.quantile(v, [0.5, 0.9]))
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+@pytest.mark.parametrize("span", [None, 16])
+@pytest.mark.parametrize("alpha", [100.0, None])
+def test_bootstrap_paths_match_a_plain_loop(spark, monkeypatch, span, alpha):
+    """Shared and dealt rows, one range and six, features with missing values, against numpy."""
+    from turnweave.functions import draws
+    from turnweave.operators import skew
+
+    if span:
+        monkeypatch.setattr(draws, "SPAN", span)
+    xs = ["x0", "x1", "x2"]
+    t = table(spark, make(9, 90, 3))
+    d = t.toPandas().sort_values("pos")
+    x, y, n = d[xs].to_numpy(float), d["y"].to_numpy(), len(d)
+    x[::7, 1] = np.nan
+    d["x1"] = x[:, 1]
+    t = spark.createDataFrame([(int(p), *[None if np.isnan(v) else float(v) for v in row], float(o))
+                               for p, row, o in zip(d["pos"], x, y)], "pos long, x0 double, x1 double, x2 double, y double")
+    by = draws.Draws(42, n)
+    key, found = ["rep", "feature"], []
+    for limit in (skew.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", limit)
+        found.append(rs.bootstrap_coefficients(t, xs, "y", alpha, 5, 42).toPandas().sort_values(key, ignore_index=True))
+    assert len(found[0]) == 15 and np.allclose(found[0]["coef"], found[1]["coef"]) and np.allclose(found[0]["alpha"], found[1]["alpha"])
+    for rep in range(1, 6):
+        idx = np.concatenate([by.places(rep, a, b) for _, a, b in by.blocks(1 if alpha else 5)])
+        z = x[idx]
+        z = np.where(np.isnan(z), np.nanmedian(z, axis=0), z)
+        g = found[0][found[0]["rep"] == rep].set_index("feature")
+        _, beta, _ = fit(z, y[idx], g["alpha"].iloc[0])
+        assert np.allclose(g.loc[xs, "coef"], beta, atol=1e-8)
+
+
+def test_paired_bootstrap_paths_agree(spark, monkeypatch):
+    from turnweave.functions import draws
+    from turnweave.operators import skew
+
+    rng = np.random.default_rng(8)
+    v = rng.normal(0.1, 1, 83)
+    t = spark.createDataFrame([(i, float(a)) for i, a in enumerate(v)], "pos long, d double")
+    for span in (1 << 18, 10):
+        monkeypatch.setattr(draws, "SPAN", span)
+        by, got = draws.Draws(5, 83), []
+        for limit in (64 << 20, 0):
+            monkeypatch.setattr(skew, "BROADCAST_BYTES", limit)
+            got.append(rs.paired_bootstrap(t, 83, 200, 5).first())
+        m = np.array([v[by.places(r, 0, 83)].mean() for r in range(1, 201)])
+        p = min(1.0, 2 * min((m <= 0).sum() + 1, (m >= 0).sum() + 1) / 201)
+        want = [v.mean(), *np.quantile(m, [0.025, 0.975]), p]
+        assert all(np.allclose([r.mean_diff, r.ci_lo, r.ci_hi, r.p_boot], want) for r in got)
+
+
+def test_resampling_exchanges_no_drawn_rows(spark):
+    """The shared path has no exchange at all; the dealt one moves each row once per copy, not once per replicate."""
+    from turnweave.functions.draws import Draws
+
+    t = spark.createDataFrame([(i, float(i)) for i in range(40)], "pos long, d double")
+    keep = lambda rep, z, picks: pd.DataFrame({"rep": [rep], "rows": [len(z)]})
+    shared = rs._shared(t, ["d"], 40)
+    a = rs.resample(t, ["d"], Draws(1, 40, 10), 30, 1, shared, keep, "rep int, rows int")
+    assert "Exchange" not in a._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.rep for r in a.collect()) == list(range(1, 31)) and {r.rows for r in a.collect()} == {40}
+    b = rs.resample(t, ["d"], Draws(1, 40, 10), 30, 1, None, keep, "rep int, rows int").collect()
+    assert sorted(r.rep for r in b) == sorted(list(range(1, 31)) * 4) and {r.rows for r in b} == {10}

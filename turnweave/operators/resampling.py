@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw_index
+from ..functions.draws import Draws
 from ..functions.permutation import Permutations
+from ..runtime import materialize
 from . import ridge, skew
 from .ridge import CrossValidation, Factor, Spec, correlation
 
@@ -218,15 +219,56 @@ def coefficient_test(
 
 
 # --- bootstrap -----------------------------------------------------------------
-def draws(spark, n: int, n_rep: int, seed: int, inner: int = 1) -> DataFrame:
-    """(rep, pos, block, w): how often each record was drawn. Draw i of a
-    replicate is hash(seed:rep:i) mod n; block is the contiguous inner fold of
-    the draw."""
-    d = spark.range(n * n_rep).select(
-        (F.floor(F.col("id") / n) + 1).cast("int").alias("rep"), (F.col("id") % n).alias("i"))
-    d = d.withColumn("pos", draw_index(n, seed, F.col("rep"), F.col("i")))
-    d = d.withColumn("block", contiguous_block(F.col("i"), n, inner))
-    return d.groupBy("rep", "pos", "block").agg(F.count(F.lit(1)).alias("w"))
+# Draws that are worth a task of their own.
+TASK_DRAWS = 20_000_000
+
+
+def _shared(table: DataFrame, names: list[str], n: int):
+    """The numeric table as a matrix in the order of `pos`, sent to the tasks; None beyond skew.BROADCAST_BYTES."""
+    if n * (1 + len(names)) * 8 > skew.BROADCAST_BYTES:
+        return None
+    rows = table.select("pos", *names).toPandas().sort_values("pos")
+    return table.sparkSession.sparkContext.broadcast(rows[names].to_numpy(dtype=float))
+
+
+def resample(table: DataFrame, names: list[str], d: Draws, n_rep: int, inner: int, shared, work, schema: str) -> DataFrame:
+    """`work(rep, z, picks)` for every replicate, where the rows are.
+
+    z is a matrix of `names`, picks the drawn rows of z per block. With a shared
+    table each task takes whole replicates and z is the whole table. Beyond, a
+    task holds one range of positions (Draws.span rows) for a part of the
+    replicates and draws for its own range only, so that what `work` folds a
+    range into is all that is exchanged; rows move once, in as many copies as
+    it takes to keep a task under TASK_DRAWS draws or the cores busy.
+    """
+    cuts = d.blocks(inner)
+    if not cuts:
+        return table.sparkSession.createDataFrame([], schema)
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    wanted = max(cores, d.n * n_rep // TASK_DRAWS)
+    if shared is not None:
+
+        def whole(batches):
+            for pdf in batches:
+                for rep in pdf["id"].tolist():
+                    yield work(rep, shared.value, [(i, d.places(rep, a, b)) for i, a, b in cuts])
+
+        return table.sparkSession.range(1, n_rep + 1, 1, min(n_rep, wanted)).mapInPandas(whole, schema)
+    copies = max(1, min(n_rep, -(-wanted // d.ranges)))
+    unit = F.floor(F.col("pos") / d.span) * copies + F.col("_copy")
+    rows = table.select("pos", *names).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    rows = rows.repartitionById(d.ranges * copies, unit.cast("int"))
+
+    def ranged(batches):
+        batches = [pdf for pdf in batches if len(pdf)]
+        if not batches:
+            return
+        pdf = pd.concat(batches).sort_values("pos")
+        at, copy, z = int(pdf["pos"].iloc[0]) // d.span, int(pdf["_copy"].iloc[0]), pdf[names].to_numpy(dtype=float)
+        for rep in range(1 + copy, n_rep + 1, copies):
+            yield work(rep, z, [(i, d.inside(rep, a, b, at)) for i, a, b in cuts])
+
+    return rows.mapInPandas(ranged, schema)
 
 
 def contiguous_block(i: Column, n: int | Column, k: int) -> Column:
@@ -241,58 +283,44 @@ def contiguous_block(i: Column, n: int | Column, k: int) -> Column:
         extra + F.floor((i - edge) / F.greatest(small, F.lit(1)))).cast("int")
 
 
+def _gram(rep: int, z: np.ndarray, picks) -> pd.DataFrame:
+    """Weighted moments of the drawn rows per block."""
+    grams = []
+    for _, pick in picks:
+        w = np.bincount(pick, minlength=len(z)).astype(float)
+        grams.append((z.T @ (z * w[:, None])).ravel())
+    return pd.DataFrame({"rep": rep, "block": [i for i, _ in picks], "a": grams})
+
+
+def weighted_median(value: np.ndarray, order: np.ndarray, w: np.ndarray) -> float | None:
+    """Median of value[i] taken w[i] times; `order` sorts the values. None where nothing is taken."""
+    upto = np.cumsum(w[order])
+    n = int(upto[-1]) if len(upto) else 0
+    if not n:
+        return None
+    lo, hi = np.searchsorted(upto, [(n - 1) // 2, n // 2], side="right")
+    return float(value[order[lo]] + value[order[hi]]) / 2
+
+
 def bootstrap_coefficients(
     base: DataFrame, features: list[str], outcome: str, alpha: float | None = ridge.ALPHA,
     n_boot: int = 500, seed: int = 42, inner: int = 5, grid=ridge.ALPHA_GRID,
 ) -> DataFrame:
     """(rep, alpha, feature, coef): imputer, scaler and ridge refitted on every
     resample. alpha=None chooses the penalty per resample by inner folds.
+
+    Draws are made where the rows are (`resample`). Under skew.BROADCAST_BYTES a
+    task solves its replicates whole and nothing is exchanged. Beyond, moment
+    matrices per (replicate, block, range) are, and for features with missing
+    values the drawn counts per (replicate, value), whose medians are selected
+    from the counts.
     """
     b = ridge.basis(base, features, [outcome])
     d, ix, iy = b.width, b.x(features), b.y(outcome)
-    rows = draws(base.sparkSession, b.n, n_boot, seed, 1 if alpha is not None else inner)
-    x = base.select("pos", *b.vector())
-    drawn = rows.join(skew.join_side(x, b.n, 1 + d), "pos")
-    # A replicate larger than one task is spread over several.
-    salts = -(-b.n // skew.ROWS_PER_TASK)
-    spread = drawn.withColumn("_salt", F.col("pos") % salts).repartition("rep", "_salt")
-
-    def fold(batches):
-        acc: dict[tuple, np.ndarray] = {}
-        for pdf in batches:
-            z = pdf[[f"z{i}" for i in range(d)]].to_numpy(dtype=float)
-            key = pdf["rep"].to_numpy(dtype=np.int64) * inner + pdf["block"].to_numpy()
-            w = pdf["w"].to_numpy(dtype=float)[:, None]
-            order = np.argsort(key, kind="stable")
-            key, z, w = key[order], z[order], w[order]
-            cuts = np.flatnonzero(np.diff(key)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(key)]):
-                a = z[lo:hi].T @ (z[lo:hi] * w[lo:hi])
-                acc[key[lo]] = acc.get(key[lo], 0.0) + a
-        if acc:
-            yield pd.DataFrame({"rep": [int(k // inner) for k in acc], "block": [int(k % inner) for k in acc],
-                                "a": [a.ravel() for a in acc.values()]})
-
-    parts = spread.select("rep", "block", "w", *[f"z{i}" for i in range(d)]).mapInPandas(
-        fold, "rep int, block int, a array<double>")
-    if b.nullable:
-        # weighted median of the present values per resample, in scaled units
-        nm = len(b.nullable)
-        xi = {f: f"z{1 + b.features.index(f)}" for f in b.nullable}
-        present = lambda f: F.when(F.col(f"z{b.m(f)}") == 0, F.col(xi[f]))
-        if b.n <= skew.ROWS_PER_TASK:
-            med = drawn.groupBy("rep").agg(F.array(*[
-                F.percentile(present(f), F.lit(0.5), F.col("w")) for f in b.nullable]).alias("med"))
-        else:
-            long = drawn.select("rep", "w", *[present(f).alias(f"m{i}") for i, f in enumerate(b.nullable)]).unpivot(
-                ["rep", "w"], [f"m{i}" for i in range(nm)], "which", "value")
-            long = long.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
-            q = skew.exact_quantiles(long, ["rep", "which"], "value", [0.5], ["v"])
-            med = q.groupBy("rep").pivot("which", [f"m{i}" for i in range(nm)]).agg(F.first("v")).select(
-                "rep", F.array(*[f"m{i}" for i in range(nm)]).alias("med"))
-        parts = parts.join(med, "rep")
-    else:
-        parts = parts.withColumn("med", F.array().cast("array<double>"))
+    draws, blocks = Draws(seed, b.n), 1 if alpha is not None else inner
+    table, names = base.select("pos", *b.vector()), [f"z{i}" for i in range(d)]
+    shared = _shared(table, names, b.n)
+    nulls = [(1 + b.features.index(f), b.m(f)) for f in b.nullable]  # value column and its missing indicator
     unit, fixed = b.scale[outcome], alpha
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -308,7 +336,41 @@ def bootstrap_coefficients(
         beta, _, _ = fac.solve(total[ix, iy], np.asarray(total[0, iy]))
         return pd.DataFrame({"rep": pdf["rep"].iloc[0], "alpha": al, "feature": features, "coef": beta * unit})
 
-    return parts.groupBy("rep").applyInPandas(solve, "rep int, alpha double, feature string, coef double")
+    result = "rep int, alpha double, feature string, coef double"
+    if shared is not None:
+        orders: list[np.ndarray] = []  # per worker, found with its first replicate
+
+        def whole(rep, z, picks):
+            if not orders:
+                orders.extend(np.flatnonzero(z[:, m] == 0)[np.argsort(z[z[:, m] == 0, x], kind="stable")] for x, m in nulls)
+            w = np.bincount(np.concatenate([pick for _, pick in picks]), minlength=len(z))
+            med = [weighted_median(z[:, x], order, w) for (x, _), order in zip(nulls, orders)]
+            return solve(_gram(rep, z, picks).assign(med=[med] * len(picks)))
+
+        return resample(table, names, draws, n_boot, blocks, shared, whole, result)
+
+    parts = resample(table, names, draws, n_boot, blocks, None, _gram, "rep int, block int, a array<double>")
+    if nulls:
+
+        def counts(rep, z, picks):
+            w = np.bincount(np.concatenate([pick for _, pick in picks]), minlength=len(z))
+            out = []
+            for i, (x, m) in enumerate(nulls):
+                drawn = (w > 0) & (z[:, m] == 0)
+                value, at = np.unique(z[drawn, x], return_inverse=True)
+                out.append(pd.DataFrame({"rep": rep, "which": f"m{i}", "value": value, "w": np.bincount(at, w[drawn], len(value)).astype(int)}))
+            return pd.concat(out)
+
+        drawn = resample(table, names, draws, n_boot, blocks, None, counts, "rep int, which string, value double, w bigint")
+        drawn = materialize(drawn)  # read by the cut points and by the counts
+        q = skew.exact_quantiles(drawn, ["rep", "which"], "value", [0.5], ["v"], weight="w")
+        which = [f"m{i}" for i in range(len(nulls))]
+        med = q.groupBy("rep").pivot("which", which).agg(F.first("v")).select("rep", F.array(*which).alias("med"))
+        parts = parts.join(med, "rep", "left")
+        parts = parts.withColumn("med", F.coalesce("med", F.array(*[F.lit(None).cast("double")] * len(nulls))))
+    else:
+        parts = parts.withColumn("med", F.array().cast("array<double>"))
+    return parts.groupBy("rep").applyInPandas(solve, result)
 
 
 def bootstrap_variance(coefs: DataFrame) -> DataFrame:
@@ -365,10 +427,14 @@ def alpha_distribution(coefs: DataFrame) -> DataFrame:
 def paired_bootstrap(rows: DataFrame, n: int, n_boot: int, seed: int, value: str = "d") -> DataFrame:
     """Mean of paired differences with a percentile interval and
     p = min(1, 2 min(pL, pR)), both tails smoothed by one. `rows` has pos."""
-    spark = rows.sparkSession
-    drawn = draws(spark, n, n_boot, seed).join(
-        skew.join_side(rows.select("pos", F.col(value).alias("_d")), n, 2), "pos")
-    means = drawn.groupBy("rep").agg((F.sum(F.col("w") * F.col("_d")) / F.sum("w")).alias("m"))
+    table = rows.select("pos", F.col(value).cast("double").alias("_d"))
+
+    def sums(rep, z, picks):
+        drawn = z[picks[0][1], 0]
+        return pd.DataFrame({"rep": [rep], "s": [drawn.sum()], "c": [len(drawn)]})
+
+    parts = resample(table, ["_d"], Draws(seed, n), n_boot, 1, _shared(table, ["_d"], n), sums, "rep int, s double, c bigint")
+    means = parts.groupBy("rep").agg((F.sum("s") / F.sum("c")).alias("m"))
     tail = lambda c: (F.count_if(c) + 1.0) / (n_boot + 1.0)
     g = means.agg(
         F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"),  # n_boot values

@@ -136,7 +136,7 @@ def hash_positions(df: DataFrame, key: Column, ties: list[str], out: str = "pos"
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, qs: list[float], names: list[str]
+    df: DataFrame, keys: list[str], value: str, qs: list[float], names: list[str], weight: str | None = None
 ) -> DataFrame:
     """Linearly interpolated exact quantiles per key, without gathering a key.
 
@@ -145,11 +145,14 @@ def exact_quantiles(
        collapse before the shuffle, and the values are put into buckets;
     3. running counts name the one or two buckets that hold each wanted rank,
        and only those buckets are ordered.
-    NULL values are ignored. Intended for keys too big for `percentile`.
+    NULL values are ignored. A `weight` column of whole numbers says how often a
+    row counts. Intended for keys too big for `percentile`.
     """
-    d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    times = F.col(weight).cast("bigint") if weight else F.lit(1)
+    d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), times.alias("_w"))
+    d = d.filter("_w > 0")
     cuts = d.groupBy(*keys).agg(cut_points(F.col("v")).alias("_cuts"))
-    counts = d.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    counts = d.groupBy(*keys, "v").agg(F.sum("_w").alias("c"))
     counts = counts.join(cuts, keys).withColumn("_b", chunk_of(F.col("v"), F.col("_cuts"))).drop("_cuts")
     by_bucket = counts.groupBy(*keys, "_b").agg(F.sum("c").alias("nb"))
     w = Window.partitionBy(*keys).orderBy("_b")
