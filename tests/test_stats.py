@@ -359,6 +359,31 @@ def test_large_paths_match_small_paths(spark, monkeypatch):
     assert all(abs(m[f][c] - n[f][c]) < 1e-12 for f in m for c in m[f])
 
 
+def test_rank_sum_tail_in_constant_memory():
+    import tracemalloc
+
+    for m in range(1, 9):  # against running sums over all U
+        for n in (m, 11, 30):
+            n = max(m, n)
+            ways = np.zeros(m * n + 1, dtype=object)
+            ways[0] = 1
+            for i in range(1, m + 1):
+                for j in range(m * n, n + i - 1, -1):
+                    ways[j] -= ways[j - n - i]
+                for j in range(i, m * n + 1):
+                    ways[j] += ways[j - i]
+            for u in range(0, m * n + 1, 7):
+                want = min(1.0, 2 * sum(ways[:min(u, m * n - u) + 1]) / math.comb(m + n, m))
+                assert math.isclose(tails.rank_sum_exact(u, n, m), want, rel_tol=1e-14)
+    tracemalloc.start()
+    p = [tails.rank_sum_exact(float(u), 8, 10**9) for u in (0, 10**9, 3 * 10**9, 4 * 10**9)]
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
+    assert p == sorted(p) and 0 < p[0] < 1e-60 and p[3] == 1.0
+    z = (3e9 - 4e9) / math.sqrt(8e9 * (10**9 + 9) / 12)
+    assert abs(p[2] - math.erfc(-z / math.sqrt(2))) < 0.02
+
+
 # --- draws -------------------------------------------------------------------------
 def test_draws_of_ranges_are_the_draws_of_the_whole():
     from turnweave.functions.draws import Draws

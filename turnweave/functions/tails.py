@@ -5,6 +5,7 @@ They run on result tables (one row per feature or test), never on data rows.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -63,24 +64,46 @@ def signed_rank_exact(w: float, n: int) -> float:
     return float(min(1.0, 2.0 * counts[: int(w) + 1].sum() / 2.0**n))
 
 
+@lru_cache(maxsize=16)
+def _part_counts(m: int) -> tuple[int, list[int]]:
+    """L = lcm(1..m) and the coefficients of N with 1 / ((1 - x) (1 - x) (1 - x^2) ... (1 - x^m)) = N / (1 - x^L)^(m+1)."""
+    period = math.lcm(*range(1, m + 1))
+    coefs = [1]
+    for part in (1, *range(1, m + 1)):  # times 1 + x^part + ... + x^(L - part)
+        size = len(coefs) + period - part
+        coefs = coefs + [0] * (size - len(coefs))
+        sums = coefs[:]
+        for i in range(part, size):
+            sums[i] += sums[i - part]
+        coefs = [v - (sums[i - period] if i >= period else 0) for i, v in enumerate(sums)]
+    return period, coefs
+
+
+def _partitions_upto(t: int, m: int) -> int:
+    """How many partitions of 0, 1, ..., t have parts of at most m: a polynomial in t for each remainder of t by lcm(1..m)."""
+    period, coefs = _part_counts(m)
+    at = range(t % period, min(t + 1, len(coefs)), period)
+    return sum(coefs[i] * math.comb((t - i) // period + m, m) for i in at)
+
+
 def rank_sum_exact(u: float, n1: int, n2: int) -> float:
     """Two-sided exact Mann-Whitney p of either group's U.
 
     The counts of U are the coefficients of prod (1 - x^(n+i)) / (1 - x^i),
-    i = 1..m, with m the smaller and n the larger group. The lower tail needs
-    them up to the smaller U only: m passes of running sums over that many.
+    i = 1..m, with m the smaller and n the larger group. Their sum up to the
+    smaller U takes the numerator's at most 2^m terms by inclusion and
+    exclusion, each a closed count in whole numbers: time and memory depend on
+    m only (a table of (m + 1) lcm(1..m) numbers), never on n or U.
     """
     m, n = min(n1, n2), max(n1, n2)
     top = int(math.floor(min(u, n1 * n2 - u)))
-    ways = np.zeros(top + 1)
-    ways[0] = 1.0
-    for i in range(1, m + 1):
-        for first in range(min(i, top + 1)):
-            np.cumsum(ways[first::i], out=ways[first::i])
+    terms = {0: 1}
     for i in range(1, m + 1):
-        if n + i <= top:
-            ways[n + i:] -= ways[:top + 1 - n - i].copy()
-    return float(min(1.0, 2.0 * ways.sum() / math.comb(n1 + n2, m)))
+        for shift, sign in list(terms.items()):
+            if shift + n + i <= top:
+                terms[shift + n + i] = terms.get(shift + n + i, 0) - sign
+    ways = sum(sign * _partitions_upto(top - shift, m) for shift, sign in terms.items())
+    return min(1.0, 2 * ways / math.comb(n1 + n2, m))
 
 
 @F.pandas_udf(DoubleType())
