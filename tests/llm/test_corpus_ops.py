@@ -124,6 +124,60 @@ def test_surrogates_stay_distinct(spark):
     assert len({r.text for r in got.values()}) == 200
 
 
+def mod97(iban: str) -> int:
+    text = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+def test_surrogates_titles_are_no_names(spark):
+    got = replaced(spark, ["Dr Wang Mr. O'Neill-Smith", "Mr John M. Smith and Mrs Ito Dr. Prof. Wang", "Mr Don", "Frau Anna Mr"])
+    first = re.fullmatch(r"Dr (\S+) Mr\. (\S+)", got[0].text)
+    assert first and first[1] != "Wang" and not re.search("O'Neill|Smith", first[2]) and got[0].n_entities == 2
+    second = re.fullmatch(r"Mr (\S+) [A-Z]\. (\S+) and Mrs (\S+) Dr\. Prof\. (\S+)", got[1].text)
+    assert second and not {"John", "Smith", "Ito", "Wang"} & set(second.groups()) and second[4] == first[1]
+    assert "Don" not in got[2].text and got[3].text.startswith("Frau ") and "Anna" not in got[3].text
+
+
+def test_surrogates_names_in_capitals(spark):
+    got = replaced(spark, ["ALICE SMITH", "Alice Smith", "by MARY ANN O'HARA, LONDON", "ROSA IS HERE AND STAYS PUT", "MARTIN"])
+    a, b = got[0].text.split(), got[1].text.split()
+    assert [w.title() for w in a] == b and all(w.isupper() for w in a) and not {"ALICE", "SMITH"} & set(a)
+    assert re.fullmatch(r"by (?!MARY)[A-Z]+ [A-Z]+ [A-Z']+, LONDON", got[2].text) and "HARA" not in got[2].text
+    assert got[3].text.endswith(" AND STAYS PUT") and got[4].text == "MARTIN"
+
+
+def test_surrogates_of_greek_names_are_greek(spark):
+    got = replaced(spark, ["κ. Γιώργος Παπαδόπουλος", "Mr Παπαδόπουλος met Dr Ελένη Νικολάου"])
+    names = re.fullmatch(r"κ\. (\S+) (\S+)", got[0].text)
+    more = re.fullmatch(r"Mr (\S+) met Dr (\S+) (\S+)", got[1].text)
+    assert names[1] in surrogates.GIVEN["m", "greek"] and more[2] in surrogates.GIVEN["f", "greek"] and names[2] == more[1] != "Παπαδόπουλος"
+    assert all(re.fullmatch("[\u0370-\u03ff]+", n) for n in (*names.groups(), *more.groups()))
+
+
+def test_surrogates_of_ibans_have_valid_check_digits(spark):
+    real = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "DE88 3704 0044 0532 0130 00"]
+    got = replaced(spark, [f"to {x}." for x in real])
+    new = [re.fullmatch(r"to (.+)\.", got[i].text)[1] for i in range(len(real))]
+    assert [mod97(x) == 1 for x in real] == [mod97(x) == 1 for x in new] == [True, True, True, True, False]
+    for a, b in zip(real, new):
+        assert a != b and len(a) == len(b) and a[:2] == b[:2] and [c == " " for c in a] == [c == " " for c in b]
+
+
+def test_surrogates_of_a_full_format_grow(spark):
+    """Every +1-2-digit-pair number of a prefix is real: the surrogates must leave the format, and stay distinct."""
+    spec = surrogates.Surrogates(key="k", attempts=2)
+    units = spark.createDataFrame([([("phone", f"+1{n:02d}")],) for n in range(100)] + [([("ssn", f"{n}")],) for n in range(10)] + [([("ip", "1.2.3.4")],)],
+                                  "units array<struct<kind: string, unit: string>>")
+    rows = surrogates.surrogate_table(units, spec).collect()
+    assert len(rows) == 111
+    for kind in ("phone", "ssn"):
+        new, real = [r.surrogate for r in rows if r.kind == kind], {r.unit for r in rows if r.kind == kind}
+        assert len(set(new)) == len(real) and not set(new) & real and all(re.fullmatch(r"\+?\d+", x) for x in new)
+    # The digits beyond the unit's length end the mention.
+    m = spark.createDataFrame([("123-45-6789", "ssn", ["98765432107"])], "mention string, kind string, new array<string>")
+    assert m.select(surrogates._rendered(spec)).first()[0] == "987-65-432107"
+
+
 def test_surrogates_odd_rows(spark):
     df = table(spark, [(1, "a@b.co", "x"), (1, "a@b.co", "x"), (None, "a@b.co", None), (2, "z" * 100_000 + " a@b.co", "y")], "doc_id long, text string, n_entities string")
     rows = surrogates.replace(df, SPEC).collect()

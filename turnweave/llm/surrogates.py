@@ -2,7 +2,7 @@
 
 Found are e-mail addresses, keys and tokens, IBANs, IPv4 addresses, card
 numbers, telephone and social security numbers, and names after titles or
-with a listed given name: any number of words with inner capitals, apostrophes
+with a listed given name (also in capitals, with up to two more words): any number of words with inner capitals, apostrophes
 and hyphens, with particles and initials between them. White space may be wide;
 a line may break after a title, or after a title and a listed given name. In a
 document that has a name, its surnames are mentions wherever they stand alone,
@@ -13,8 +13,8 @@ turn by a keyed number of letters. A unit has one surrogate in the
 whole corpus, a function of the secret key, its kind and itself, so mentions
 that differ in punctuation, case or title stay coreferent ("Mr Smith", "John
 Smith"). The surrogate has the unit's type and format: digits for digits,
-letters for letters of the same case, the same separators and lengths, a valid
-check digit where there was one, a given name of the same gender, names in the
+letters for letters of the same case, the same separators and lengths, valid
+check digits where they were (cards, IBANs), a given name of the same gender, names in the
 same script. Letters of an address beyond a-z become other letters of their
 script (`LETTERS`; scripts without a pool share one), digits become digits. Text
 in a script without spaces before an address in other letters is not a part of
@@ -23,8 +23,10 @@ run is replaced, since nothing shows where the address begins.
 
 Collision check: over the distinct units, no two of a kind may have the same
 surrogate and no surrogate may be a unit of the corpus. Units that fail draw
-again with the next attempt number until all are distinct; names get longer
-with the attempts, so their supply does not run out.
+again with the next attempt number until all are distinct. Names get longer
+with the attempts, and from attempt 16 on every other format grows by a digit an
+attempt (an address gets a further part), so no supply runs out: a full format
+overflows into a wider one instead of ending the query.
 
 Shuffled are the mentions and distinct units, and the texts that have a
 mention; other texts stay in their scan.
@@ -54,6 +56,8 @@ GIVEN = {
     ("m", "latin"): ["James", "John", "Robert", "Michael", "William", "David", "Thomas", "Daniel", "Peter", "Paul", "Hans", "Karl", "Jürgen", "Pierre", "Jean", "Luis", "Carlos", "Pablo", "Diego", "Martin"],
     ("f", "latin"): ["Mary", "Anna", "Linda", "Susan", "Sarah", "Karen", "Laura", "Julia", "Emma", "Alice", "Heidi", "Ursula", "Claire", "Sophie", "Marie", "Lucía", "Carmen", "Elena", "Rosa", "Martha"],
     ("m", "cyrillic"): ["Иван", "Пётр", "Сергей", "Андрей", "Николай", "Дмитрий", "Павел", "Михаил", "Юрий", "Олег"],
+    ("m", "greek"): ["Γιώργος", "Γιάννης", "Δημήτρης", "Κώστας", "Νίκος", "Παναγιώτης", "Βασίλης", "Χρήστος", "Θανάσης", "Μιχάλης"],
+    ("f", "greek"): ["Μαρία", "Ελένη", "Κατερίνα", "Βασιλική", "Σοφία", "Αγγελική", "Γεωργία", "Δήμητρα", "Κωνσταντίνα", "Παρασκευή"],
     ("f", "cyrillic"): ["Анна", "Мария", "Елена", "Ольга", "Ирина", "Наталья", "Светлана", "Татьяна", "Вера", "Нина"],
 }
 SYLLABLES = {
@@ -63,6 +67,9 @@ SYLLABLES = {
     "cyrillic": (["Бар", "Вол", "Гор", "Дем", "Зар", "Кал", "Лаз", "Мор", "Ник", "Ром", "Сав", "Тар"],
                  ["а", "е", "и", "о", "у", "ми", "ра", "то"],
                  ["нов", "ров", "лев", "шин", "дин", "ский"]),
+    "greek": (["Βαρ", "Γαλ", "Δερ", "Καλ", "Λαν", "Μαρ", "Νικ", "Παπ", "Ρομ", "Σαλ", "Τορ", "Φεν"],
+              ["α", "ε", "ι", "ο", "ου", "μι", "ρα", "το"],
+              ["δης", "κης", "λης", "νος", "πουλος", "ρας"]),
 }
 
 # Scripts written without spaces: a mention in other letters may begin right after their text.
@@ -89,9 +96,15 @@ _BREAK = rf"(?:{_SPACE}|[\t\p{{Zs}}]{{0,8}}\r?\n[\t\p{{Zs}}]{{0,8}})"
 _INITIAL = rf"\p{{Lu}}(?![{_LETTER}\p{{N}}'’-])"
 PARTICLES = ["van", "von", "vom", "der", "den", "dem", "de", "del", "della", "di", "da", "das", "do", "dos", "du", "des", "la", "las", "le", "los", "bin", "ibn", "al", "el", "ten", "ter", "zu", "zum", "zur", "y", "af", "av"]
 _BETWEEN = rf"(?:{_INITIAL}(?:\.(?:{_SPACE})?|{_SPACE})|(?:{'|'.join(PARTICLES)}){_SPACE}|(?:al|el)-|[dl]['’](?=\p{{Lu}}))*+"
-_NAMES = rf"{_BETWEEN}{_WORD}(?:{_SPACE}{_BETWEEN}{_WORD})*"
+# A title before a capital begins another mention; "M." may as well be an initial.
+_NEXT = rf"(?!(?:{'|'.join(t for t in _TITLE.split('|') if len(t) > 1)})\.?{_BREAK}{_BETWEEN}\p{{Lu}})"
+_NAMES = rf"{_BETWEEN}{_WORD}(?:{_SPACE}{_NEXT}{_BETWEEN}{_WORD})*"
 _TITLES = rf"(?:(?:{_TITLE})\.?{_BREAK})+"
 _END = rf"(?![{_LETTER}\p{{N}}])"
+# Listed given names in capitals take at most two more words: the rest of the text may be in capitals too.
+_UPPER_JOIN = _JOIN.replace(f"[{_LETTER}]+", r"[\p{Lu}\p{M}]+")
+_UPPER = rf"\p{{Lu}}(?:[\p{{Lu}}\p{{M}}]+(?:{_UPPER_JOIN})*|(?:{_UPPER_JOIN})+)"
+_UPPER_NAME = rf"(?:{_GIVEN.upper()})(?:-{_UPPER})?(?:{_SPACE}{_NEXT}{_BETWEEN}{_UPPER}){{1,2}}"
 # Kinds in order of precedence. A mention never begins inside a word (`ANY` checks that once for all kinds).
 PATTERNS = {
     "email": rf"(?=[\p{{L}}\p{{M}}\p{{N}}._%+-]++@)(?:[\p{{L}}\p{{M}}\p{{N}}._%+-]++(?<=[{_UNSPACED}][._%+-]{{0,3}}\p{{N}}{{0,4}})|[\p{{L}}\p{{M}}\p{{N}}._%+\-&&[^{_UNSPACED}]]++)@" r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -101,7 +114,7 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9]){12,18}" + _RIGHT,
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _RIGHT,
     "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})" + _RIGHT,
-    "name": f"(?=[\\p{{Lu}}г])(?:{_TITLES}(?:(?:{_GIVEN}){_BREAK})?{_NAMES}|(?:{_GIVEN})(?:-{_WORD})?{_SPACE}{_NAMES}){_END}",
+    "name": f"(?=[\\p{{Lu}}г])(?:{_TITLES}(?:(?:{_GIVEN}){_BREAK})?{_NAMES}|(?:{_GIVEN})(?:-{_WORD})?{_SPACE}{_NAMES}|{_UPPER_NAME}){_END}",
 }
 _KINDS = "|".join(PATTERNS.values())
 ANY = f"{_LEFT}(?:{_KINDS})"
@@ -113,7 +126,7 @@ KEY = ("__tw_id", "__tw_hash")
 @dataclass(frozen=True)
 class Surrogates:
     key: str
-    attempts: int = 64
+    attempts: int = 16  # draws in the unit's own format, before it grows by a character an attempt
 
 
 def _keyed(docs: DataFrame) -> dict[str, Column]:
@@ -179,11 +192,11 @@ def mentions(docs: DataFrame) -> DataFrame:
         gender = F.when(hit, g) if gender is None else F.coalesce(gender, F.when(hit, g))
     listed = F.initcap(F.split(words[0], "-")[0])
     for g in ("m", "f"):
-        gender = F.coalesce(gender, F.when(listed.isin(GIVEN[g, "latin"] + GIVEN[g, "cyrillic"]), g))
+        gender = F.coalesce(gender, F.when(listed.isin([n for (of, _), ns in GIVEN.items() if of == g for n in ns]), g))
     gender = F.coalesce(gender, F.lit("n"))
 
     def unit(word: Column, i: Column) -> Column:
-        script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+        script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
         given = F.concat(F.lit("given "), gender, F.lit(" "), script)
         return F.struct(F.when(_is_surname(words, word, i), F.concat(F.lit("surname "), script)).otherwise(given).alias("kind"), F.lower(word).alias("unit"))
 
@@ -205,6 +218,12 @@ def _luhn_rest(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, b: a + b) % 10
 
 
+def _mod97(text: Column) -> Column:
+    """The number of a string of digits and capitals (A is 10, Z is 35) modulo 97."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97)
+
+
 def _surrogate(spec: Surrogates) -> Column:
     """The surrogate of (kind, unit, attempt)."""
     seed = F.concat_ws("\x1f", F.lit(spec.key), "kind", "unit", F.col("attempt").cast("string"))
@@ -233,15 +252,34 @@ def _surrogate(spec: Surrogates) -> Column:
             return out.when(c.rlike(r"\p{N}"), F.pmod(n, F.lit(10)).cast("string")).otherwise(c)
         return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
 
+    # Formats that fill up grow: one more digit with every attempt from `spec.attempts` on.
+    grown = F.col("attempt") - spec.attempts
+    more = F.when(grown < 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(grown, F.lit(0))), lambda i: F.pmod(draw(i + 17), F.lit(10)).cast("string")), ""))
     last = F.regexp_extract("unit", r"(\.[a-z]+)$", 1)
-    email = F.concat(letters(F.expr("substr(unit, 1, length(unit) - length(regexp_extract(unit, '([.][a-z]+)$', 1)))"), F.lit(0)), last)
+    email = F.concat(more, letters(F.expr("substr(unit, 1, length(unit) - length(regexp_extract(unit, '([.][a-z]+)$', 1)))"), F.lit(0)), last)
     ip = F.concat_ws(".", F.lit("10"), *[F.pmod(draw(F.lit(i)), F.lit(256)).cast("string") for i in range(3)])
-    card = letters(unit, F.lit(1))
-    head = F.expr("length(unit) - 1")
-    stem = F.substr(card, F.lit(1), head)
+    ip = F.when(grown < 0, ip).otherwise(F.concat_ws(".", ip, more))
+    card = F.concat(letters(unit, F.lit(1)), more)
+    stem = F.substr(card, F.lit(1), F.length(card) - 1)
     fixed = F.concat(stem, F.pmod(10 - _luhn_rest(F.concat(stem, F.lit("0"))), F.lit(10)).cast("string"))
     card = F.when(_luhn_rest(unit) == 0, fixed).otherwise(card)
     secret = letters(unit, F.when(unit.rlike("^(AKIA|ASIA)"), 4).when(unit.rlike("^[a-z]+[-_]"), F.length(F.regexp_extract("unit", "^([a-z]+[-_])", 1))).otherwise(0))
+    secret = F.concat(secret, more)
+    iban = F.concat(letters(unit, F.lit(4)), more)
+    country = F.substr(unit, F.lit(1), F.lit(2))
+    valid = _mod97(F.expr("concat(substr(unit, 5), substr(unit, 1, 4))")) == 1
+
+    def rechecked(x: Column) -> Column:
+        """Two last digits that agree with the check digits (18 * 10^6 is 1 modulo 97), or else new check digits."""
+        stem = F.substr(x, F.lit(5), F.length(x) - 6)
+        rest = _mod97(F.concat(stem, F.lit("00"), F.substr(x, F.lit(1), F.lit(4))))
+        ending = F.lpad(F.pmod(18 * (1 - rest), F.lit(97)).cast("string"), 2, "0")
+        digits = F.lpad((98 - _mod97(F.concat(F.substr(x, F.lit(5)), country, F.lit("00")))).cast("string"), 2, "0")
+        fits = F.when(x.rlike("[0-9]{2}$"), F.concat(F.substr(x, F.lit(1), F.lit(4)), stem, ending)).otherwise(
+            F.concat(country, digits, F.substr(x, F.lit(5))))
+        return F.when(valid, fits).otherwise(x)
+
+    iban = F.transform(F.array(iban), rechecked)[0]
     names = None
     for script, (starts, middles, ends) in SYLLABLES.items():
         extra = F.array_join(F.transform(F.sequence(F.lit(0), F.col("attempt")), lambda i: _pick(middles, draw(i + 2))), "")
@@ -254,15 +292,15 @@ def _surrogate(spec: Surrogates) -> Column:
             names = names.when(kind == f"given {gender} {script}", many)
     return (
         names.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "secret", secret)
-        .when(kind == "phone", letters(unit, F.when(unit.startswith("+"), 2).otherwise(0))).when(kind == "ssn", letters(unit, F.lit(0)))
-        .otherwise(letters(unit, F.lit(4))))
+        .when(kind == "phone", F.concat(letters(unit, F.when(unit.startswith("+"), 2).otherwise(0)), more))
+        .when(kind == "ssn", F.concat(letters(unit, F.lit(0)), more)).otherwise(iban))
 
 
 def surrogate_table(found: DataFrame, spec: Surrogates) -> DataFrame:
     """kind, unit, attempt, surrogate for every distinct unit: distinct within a kind, and none a unit of the corpus."""
     units = found.select(F.explode("units").alias("u")).select("u.kind", "u.unit").distinct()
     table = materialize(units.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(spec)))
-    for _ in range(spec.attempts):
+    while True:
         real = table.select("kind", F.col("unit").alias("low"), F.lit(True).alias("real"))
         first = table.groupBy("kind", F.lower("surrogate").alias("low")).agg(F.min("unit").alias("owner"))
         checked = (
@@ -274,7 +312,6 @@ def surrogate_table(found: DataFrame, spec: Surrogates) -> DataFrame:
         if fresh.isEmpty():
             return table
         table = materialize(table.join(fresh.select("kind", "unit"), ["kind", "unit"], "left_anti").unionByName(fresh))
-    raise ValueError(f"no distinct surrogates within {spec.attempts} attempts: too many units of one short format")
 
 
 def _turned(letters: str, by: int):
@@ -291,14 +328,17 @@ def _rendered(spec: Surrogates) -> Column:
         before = F.length(F.regexp_replace(F.substr(mention, F.lit(1), i), skip, ""))
         return F.when(c.rlike(skip), c).otherwise(F.substr(only, before + 1, F.lit(1)))
 
-    digits = F.array_join(F.transform(chars, lambda c, i: fill(c, i, "[^0-9]")), "")
-    phone = F.array_join(F.transform(chars, lambda c, i: fill(c, i, "[^0-9+]")), "")
-    iban = F.array_join(F.transform(chars, lambda c, i: fill(c, i, " ")), "")
+    def filled(skip: str) -> Column:
+        # What a grown surrogate has beyond the unit's length follows at the end.
+        rest = F.substr(only, F.length(F.regexp_replace(mention, skip, "")) + 1)
+        return F.concat(F.array_join(F.transform(chars, lambda c, i: fill(c, i, skip)), ""), rest)
+
+    digits, phone, iban = filled("[^0-9]"), filled("[^0-9+]"), filled(" ")
     title = F.regexp_extract("mention", f"^({_TITLES})", 1)
     bare = F.regexp_replace("mention", f"^{_TITLES}", "")
     words = F.zip_with(_name_words(mention), F.col("new"), lambda w, n: F.when(w == F.upper(w), F.upper(n)).otherwise(n))
     between = F.split(bare, _TOKEN, -1)
-    for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"):
+    for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"):
         by = int(hashlib.sha256(f"{spec.key}\x1finitial".encode()).hexdigest(), 16) % (len(letters) - 1) + 1
         between = F.transform(between, _turned(letters, by))
     name = F.concat(title, F.array_join(F.zip_with(between, words, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
