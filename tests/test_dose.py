@@ -82,6 +82,19 @@ def test_repair_levels(spark):
     assert got[0, 3].text == "え？なに\nわからない\nえ？\nえ？\nん？\nはい" and got[0, 3].inserted == 3
 
 
+def test_log_rounds_the_stored_number(spark):
+    pairs = [(n, d) for n in (2000, 1000, 320, 77) for d in range(1, 2 * n, 3)] + [(2000, 561), (2000, 107), (8, 1), (20000, 201)]
+    pct = [abs(d) * 100.0 / n for n, d in pairs]
+    df = spark.createDataFrame([(p,) for p in pct if p >= 5], "p double")
+    for r in df.select("p", do.one_digit(F.col("p")).alias("s")).collect():
+        assert r.s == f"{r.p:.1f}", r.p  # 28.05 -> 28.1, 5.35 -> 5.3, 12.25 -> 12.2
+    rules = do.RULES | {"YESNO": do.LineRules.of(("はい",), {"はい": "ほ" * 563}, {"あー": "はい"}, ("あー",))}
+    got = run(spark, "YESNO", "はい" + "x" * 1998, rules=rules)[0, 0]
+    assert (got.char_change_pct, got.warning) == (28.05, "char_change 28.1% exceeds ±5% limit")
+    got = run(spark, "YESNO", "はい" + "x" * 19998, rules=rules | {"YESNO": do.LineRules.of(("はい",), {"はい": "ほ" * 203}, {"あー": "はい"}, ("あー",))})[0, 0]
+    assert got.char_change_pct == 1.0  # 1.005 is stored as a little less
+
+
 def test_unknown_feature_and_level(spark):
     with pytest.raises(ValueError):
         do.dose_table(table(spark, "x"), "NOPE")
