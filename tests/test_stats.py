@@ -12,7 +12,7 @@ from turnweave.functions.permutation import Permutations
 from turnweave.operators import folds as fo
 from turnweave.operators import ranks as rk
 from turnweave.operators import resampling as rs
-from turnweave.operators import ridge
+from turnweave.operators import ridge, skew
 from turnweave.operators.features import CLASSICAL, DEMOGRAPHICS, NOVEL
 from turnweave.operators.ridge import Spec
 from turnweave.plans import studies as st
@@ -129,6 +129,27 @@ def test_rank_tests_end_to_end(spark):
     assert abs(c.rho_p - tails.t_two_sided(t, 58)) < 1e-12
 
 
+def test_ranks_and_quantiles_do_not_depend_on_the_sketch(spark, monkeypatch):
+    """A sketch that comes out otherwise whenever it is taken, as one merged in another order does."""
+    import random
+
+    def cuts(lo, hi):
+        draw = random.SystemRandom()
+        points = sorted(draw.uniform(lo, hi) for _ in range(skew.CUTS - 1))
+        return points, [points[i - 1] for i in range(skew.STEP, skew.CUTS, skew.STEP)]
+
+    shaky = F.udf(cuts, "struct<cuts:array<double>,marks:array<double>>").asNondeterministic()
+    monkeypatch.setattr(skew, "cut_points", lambda v: shaky(F.min(v), F.max(v)))
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"k": np.repeat(["a", "b"], 4000), "v": np.round(rng.normal(size=8000), 2)})
+    df = spark.createDataFrame(pdf)
+    got = rk.average_ranks(df, ["k"], "v").toPandas().sort_values(["k", "v"])
+    want = pdf.assign(w=pdf.groupby("k").v.rank()).sort_values(["k", "v"])
+    assert np.array_equal(got.avg_rank.to_numpy(), want.w.to_numpy())
+    for r in skew.exact_quantiles(df, ["k"], "v", [0.25, 0.9], ["lo", "hi"]).collect():
+        assert [r.lo, r.hi] == pytest.approx(np.quantile(pdf[pdf.k == r.k].v, [0.25, 0.9]))
+
+
 def test_wilcoxon_small_sample(spark):
     d = [0.3, -0.1, 0.5, 0.7, -0.2, 0.0]
     got = rk.wilcoxon(spark.createDataFrame([(v,) for v in d], "d double"), [], "d").first()

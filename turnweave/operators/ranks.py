@@ -31,6 +31,10 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, extra: dict[str, Col
 
     `before` counts the rows with a smaller value; avg_rank = before + (c+1)/2.
     `extra` aggregates are computed per (key, value) in the same shuffle.
+
+    The cut points are a sketch that depends on the order in which partial
+    sketches arrive, so rows get their bucket once and are written with it:
+    found anew for the offsets, an edge could lie elsewhere.
     """
     d, keys = _keyed(df.filter(F.col(value).isNotNull()), keys)
     counts = d.groupBy(*keys, value).agg(
@@ -40,6 +44,7 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, extra: dict[str, Col
     b = counts.join(_small(cuts, keys), keys).withColumn(
         "_b", skew.chunk_of(F.col(value), F.col("_cuts"))
     ).drop("_cuts")
+    b = materialize(b)
     sizes = b.groupBy(*keys, "_b").agg(F.sum("c").alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_off"))

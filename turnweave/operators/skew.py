@@ -142,7 +142,9 @@ def exact_quantiles(
 
     1. a mergeable sketch gives cut points per key;
     2. rows are counted per (key, value) with map-side combining, so heavy ties
-       collapse before the shuffle, and the values are put into buckets;
+       collapse before the shuffle, and the values are put into buckets. They
+       are written with their bucket: a sketch depends on the order in which
+       its parts arrive, and the counts are read twice;
     3. running counts name the one or two buckets that hold each wanted rank,
        and only those buckets are ordered.
     NULL values are ignored. A `weight` column of whole numbers says how often a
@@ -154,6 +156,7 @@ def exact_quantiles(
     cuts = d.groupBy(*keys).agg(cut_points(F.col("v")).alias("_cuts"))
     counts = d.groupBy(*keys, "v").agg(F.sum("_w").alias("c"))
     counts = counts.join(cuts, keys).withColumn("_b", chunk_of(F.col("v"), F.col("_cuts"))).drop("_cuts")
+    counts = materialize(counts)
     by_bucket = counts.groupBy(*keys, "_b").agg(F.sum("c").alias("nb"))
     w = Window.partitionBy(*keys).orderBy("_b")
     buckets = by_bucket.select(
