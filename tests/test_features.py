@@ -85,6 +85,22 @@ def test_hot_conversation_of_equal_times_is_cut(spark):
     assert [(r.prev_text, r.resp_text) for r in got] == [(f"t{i - 1}", f"t{i}") for i in range(1, 600)]
 
 
+def test_many_pieces_need_no_task_each(spark, monkeypatch):
+    """More pieces than ranges: runs of the sorted order inside a bounded number of partitions."""
+    monkeypatch.setattr(skew, "RANGES", 4)
+    data = [(f"c{i % 3}", "AB"[i % 2], i, f"t{i}", 5.0, 6.0) for i in range(900)]
+    df = spark.createDataFrame(data, SCHEMA)
+    cut = skew.order_chunks(turns.conform_utterances(df), ["conversation_id"], turns.turn_order(), 90)
+    assert len({r.f for r in cut.select(F.input_file_name().alias("f")).collect()}) <= 4
+    rows_ = cut.orderBy("conversation_id", "utt_seq").select("chunk").collect()
+    chunks = [r.chunk for r in rows_]
+    assert chunks == sorted(chunks) and max(map(chunks.count, set(chunks))) <= 10 and len(set(chunks)) >= 90
+    split, whole = turns.turn_pairs(df, rows_per_task=10), turns.turn_pairs(df)
+    assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect()))
+    a, b = (rows(ft.extract_features(df, lex=WORDS, rows_per_task=n)) for n in (10, 10**6))
+    assert a.keys() == b.keys() and all(isinstance(v, str) or close(v, b[k][c]) for k in a for c, v in a[k].items())
+
+
 def test_target_filter_keeps_partner_turns(spark):
     pairs = spark.createDataFrame([("c", "B")], "conversation_id string, speaker_id string")
     got = rows(ft.extract_features(spark.createDataFrame(GOLDEN, SCHEMA), pairs))

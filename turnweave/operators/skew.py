@@ -61,15 +61,27 @@ def chunk_of(value: Column, points: Column) -> Column:
     return F.coalesce(start + below(F.slice(points["cuts"], start + 1, F.lit(STEP - 1))), F.lit(0))
 
 
+# Most range partitions of one exchange; more pieces than that are cut inside them.
+RANGES = 512
+
+
 def order_chunks(df: DataFrame, keys: list[str], order: list[Column], pieces: int) -> DataFrame:
     """Add `chunk`: consecutive pieces of the sort order (key, order...).
 
     Range partitioning compares the whole sort key, so rows with equal times
-    are still cut at the unique sequence number. The table is written with its
-    chunk numbers: they do not change when a task is run again.
+    are still cut at the unique sequence number. Beyond RANGES pieces every
+    range is sorted and cut into runs of rows / pieces rows: the number of
+    tasks, and what they sample and write, does not grow with the pieces. The
+    table is written with its chunk numbers: they do not change when a task is
+    run again.
     """
-    ranged = df.repartitionByRange(pieces, *[F.col(k) for k in keys], *order)
-    return materialize(ranged.withColumn("chunk", F.spark_partition_id()))
+    by = [*[F.col(k) for k in keys], *order]
+    if pieces <= RANGES:
+        return materialize(df.repartitionByRange(pieces, *by).withColumn("chunk", F.spark_partition_id()))
+    run = max(1, -(-df.count() // pieces))
+    ranged = df.repartitionByRange(RANGES, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))  # the row's number in its partition
+    return materialize(ranged.withColumn("chunk", F.col("_id") - place + F.floor(place / run)).drop("_id"))
 
 
 def pieces_for(rows: int, rows_per_task: int) -> int:
@@ -135,6 +147,10 @@ def hash_positions(df: DataFrame, key: Column, ties: list[str], out: str = "pos"
     ).drop("_key")
 
 
+# Rows of a key whose quantiles one aggregate may take whole.
+SMALL_KEY = 1000
+
+
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, qs: list[float], names: list[str], weight: str | None = None
 ) -> DataFrame:
@@ -148,11 +164,23 @@ def exact_quantiles(
     3. running counts name the one or two buckets that hold each wanted rank,
        and only those buckets are ordered.
     NULL values are ignored. A `weight` column of whole numbers says how often a
-    row counts. Intended for keys too big for `percentile`.
+    row counts. Only keys of more than SMALL_KEY rows go this way; `percentile`
+    takes the others, which would carry CUTS cut points each for a few rows.
     """
-    times = F.col(weight).cast("bigint") if weight else F.lit(1)
+    times = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), times.alias("_w"))
     d = d.filter("_w > 0")
+    for k in keys:
+        d = d.filter(F.col(k).isNotNull())
+    hot = hot_keys(d, keys, SMALL_KEY)
+    n_hot = hot.count()
+    few, many = split_on(d, keys, hot, n_hot) if n_hot else (d, None)
+    p = F.percentile("v", F.array(*[F.lit(float(q)) for q in qs]), F.col("_w"))
+    few = few.groupBy(*keys).agg(p.alias("_p")).select(*keys, *[F.get("_p", F.lit(i)).alias(nm) for i, nm in enumerate(names)])
+    return few.unionByName(_bucket_quantiles(many, keys, qs, names)) if n_hot else few
+
+
+def _bucket_quantiles(d: DataFrame, keys: list[str], qs: list[float], names: list[str]) -> DataFrame:
     cuts = d.groupBy(*keys).agg(cut_points(F.col("v")).alias("_cuts"))
     counts = d.groupBy(*keys, "v").agg(F.sum("_w").alias("c"))
     counts = counts.join(cuts, keys).withColumn("_b", chunk_of(F.col("v"), F.col("_cuts"))).drop("_cuts")
