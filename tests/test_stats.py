@@ -431,6 +431,28 @@ def test_draws_of_one_range_are_plain_hashes():
     assert Draws(42, 50).places(3, 10, 40).tolist() == want
 
 
+def test_hash_heads_equal_hashlib_in_a_fraction_of_the_time():
+    import time
+    from hashlib import md5
+
+    from turnweave.functions.draws import Draws
+    from turnweave.functions.md5heads import Heads
+
+    plain = lambda head, a, b: np.frombuffer(b"".join(md5(head + b"%d" % i).digest() for i in range(a, b)), ">u4")[::4]
+    heads = Heads()
+    for head in (b"", b"42:1:", b"42:17:", b"42:5000:", b"-7:123456:"):
+        for a, b in ((0, 25), (3, 3), (95, 1203), (9990, 14000), (32700, 32800), (99990, 100020), (9999999990, 10000000003)):
+            assert np.array_equal(heads(head, a, b), plain(head, a, b)), (head, a, b)
+    draws, n = Draws(42, 200_000), 200_000
+    draws.inside(1, 0, n, 0)
+    start = time.process_time()
+    got = draws.inside(2, 0, n, 0)
+    middle = time.process_time()
+    want = plain(b"42:2:", 0, n)
+    assert np.array_equal(got, want.astype(np.int64) % n)
+    assert middle - start < (time.process_time() - middle) / 2
+
+
 def test_draws_over_ranges_are_uniform_and_independent():
     from turnweave.functions.draws import Draws
 

@@ -12,12 +12,11 @@ every draw is the plain hash modulo n.
 """
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 
-try:
-    from _md5 import md5  # less work per call than hashlib's
-except ImportError:
-    from hashlib import md5
+from .md5heads import Heads
 
 SPAN = 1 << 18
 
@@ -26,6 +25,7 @@ class Draws:
     def __init__(self, seed: int, n: int, span: int | None = None):
         self.seed, self.n, self.span = seed, n, span or SPAN
         self.ranges = max(1, -(-n // self.span))
+        self.heads = Heads()
 
     def blocks(self, k: int) -> list[tuple[int, int, int]]:
         """(block, first, last) draws of k consecutive folds, the first n mod k one longer; empty ones are left out."""
@@ -49,8 +49,7 @@ class Draws:
     def inside(self, rep: int, first: int, last: int, at: int) -> np.ndarray:
         """Places drawn in range `at`, counted from its start."""
         a, b = self.share(rep, first, last, at)
-        head = b"%d:%d:" % (self.seed, rep)
-        bits = np.frombuffer(b"".join([md5(b"%s%d" % (head, i)).digest() for i in range(a, b)]), ">u4")[::4]
+        bits = self.heads(b"%d:%d:" % (self.seed, rep), a, b)
         return bits.astype(np.int64) % (min(self.span, self.n - at * self.span))
 
     def places(self, rep: int, first: int, last: int) -> np.ndarray:
