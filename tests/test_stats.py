@@ -364,6 +364,24 @@ def test_permuted_sums_match_a_plain_loop_on_both_paths(spark, monkeypatch):
                 assert np.allclose([part.sy, part.syy, *part.zy], [star[at].sum(), (star[at] ** 2).sum(), *(star[at] @ z[at])])
 
 
+def test_permuted_sums_hold_little_at_once():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    n, rng = 90_000, np.random.default_rng(2)
+    pdf = pd.DataFrame({"pos": np.arange(7500), "fold": np.arange(7500) % 5, "x0": rng.normal(size=7500)})
+    y = rng.normal(size=n)
+    tracemalloc.start()
+    got = pd.concat(rs._fold_sums(SimpleNamespace(value=[y]), ["x0"], n, 300, 42)([pdf]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+    star = y[Permutations(42, [7], n)(pdf["pos"].to_numpy())[0]]
+    row = got[(got.rep == 7) & (got.fold == 3)].iloc[0]
+    at = pdf["fold"].to_numpy() == 3
+    assert len(got) == 1500 and np.allclose([row.sy, row.syy, row.x0], [star[at].sum(), (star[at] ** 2).sum(), (star[at] * pdf.x0[at]).sum()])
+
+
 def test_large_paths_match_small_paths(spark, monkeypatch):
     from turnweave.operators import skew
 

@@ -15,8 +15,9 @@ from . import ridge, skew
 from .ridge import CrossValidation, Factor, Spec, correlation
 
 
-# Values of permuted outcomes that a task holds at once, and permuted values that are worth a task of their own.
-CELLS, TASK_VALUES = 2_000_000, 50_000_000
+# Values of permuted outcomes that a task holds at once (a dozen work arrays of that length), and permuted values that are
+# worth a task of their own.
+CELLS, TASK_VALUES = 250_000, 50_000_000
 
 
 def _moved(n: int, n_rep: int, seed: int):
@@ -51,14 +52,13 @@ def _fold_sums(shared, names: list[str], n: int, n_rep: int, seed: int):
             source = Permutations(seed, reps.tolist(), n)(pos)
             for o, y in enumerate(shared.value):
                 star = y[source]
-                for a, b in pieces:
-                    part = star[:, a:b]
-                    sums = pd.DataFrame(part @ z[a:b], columns=names)
-                    sums.insert(0, "syy", np.einsum("ij,ij->i", part, part))
-                    sums.insert(0, "sy", part.sum(axis=1))
-                    for name, value in (("fold", fold[a]), ("o", o), ("rep", reps)):
-                        sums.insert(0, name, value)
-                    yield sums
+                parts = [star[:, a:b] for a, b in pieces]
+                sums = pd.DataFrame(
+                    np.vstack([np.column_stack([p.sum(axis=1), np.einsum("ij,ij->i", p, p), p @ z[a:b]]) for p, (a, b) in zip(parts, pieces)]),
+                    columns=["sy", "syy", *names])
+                for name, value in (("fold", np.repeat(fold[[a for a, _ in pieces]], len(reps))), ("o", o), ("rep", np.tile(reps, len(pieces)))):
+                    sums.insert(0, name, value)
+                yield sums
 
     return run
 
